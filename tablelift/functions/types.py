@@ -132,38 +132,80 @@ def element_type(dialect: Column, explicit: Column, native: Column) -> Column:
 # Order in which compatibility classes are preferred, best first.
 COMPATIBILITY_PRIORITY = {"EXACT": 4, "SAFE": 3, "LOSSY": 2, "UNKNOWN": 1, "INCOMPATIBLE": 0}
 
+# Type classes of a column pair: (compatibility, dimensions proven).
+TYPE_CLASSES = (
+    ("INCOMPATIBLE", False),
+    ("UNKNOWN", False),
+    ("LOSSY", False),
+    ("SAFE", False),
+    ("SAFE", True),
+    ("EXACT", False),
+    ("EXACT", True),
+)
+
 DIMENSIONS = ("character_length", "numeric_precision", "numeric_scale", "datetime_precision")
+_LARGEST = 2**31 - 1
+
+
+def constants(values: list, element: str) -> Column:
+    """A constant array; Catalyst folds it once per plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{element}>")
+
+
+def _family_pair(source: str, target: str) -> int:
+    """What two families allow before dimensions are compared; 4 and 5 depend on them."""
+    if "UNKNOWN" in (source, target):
+        return 1
+    if source == target:
+        return 5
+    if (source, target) == ("INTEGER", "DECIMAL"):
+        return 4
+    if (source, target) == ("DATE", "TIMESTAMP"):
+        return 3
+    if (source, target) in (("DECIMAL", "INTEGER"), ("DECIMAL", "FLOAT"), ("INTEGER", "FLOAT")):
+        return 2
+    return 0
+
 
+_FAMILY_PAIRS = [_family_pair(source, target) for source in CANONICAL_TYPES for target in CANONICAL_TYPES]
 
-def type_compatibility(source: dict[str, Column], target: dict[str, Column]) -> tuple[Column, Column]:
-    """(compatibility class, dimensions proven) for a source and a target column.
+TYPE_CODES = ("family", "known", *DIMENSIONS)
 
-    Both arguments map ``canonical_type`` and the four dimension names to columns.
+
+def type_codes(side: str) -> dict[str, Column]:
+    """Integers that stand for a column's type: family number, known dimensions, dimensions.
+
+    An unknown dimension becomes the value that can never narrow on its side, so
+    pairs compare plain integers.
     """
-    pairs = [(source[name], target[name]) for name in DIMENSIONS]
+    unknown = -1 if side == "source" else _LARGEST
+    family = F.array_position(F.array(*[F.lit(name) for name in CANONICAL_TYPES]), F.col("canonical_type"))
+    known = F.lit(0)
+    for position, name in enumerate(DIMENSIONS):
+        known = known + F.when(F.col(name).isNotNull(), 2**position).otherwise(0)
+    return {
+        "family": (F.coalesce(F.nullif(family, F.lit(0)), F.lit(len(CANONICAL_TYPES))) - 1).cast("int"),
+        "known": known,
+        **{name: F.coalesce(F.col(name).cast("int"), F.lit(unknown)) for name in DIMENSIONS},
+    }
+
+
+def type_class(source: dict[str, Column], target: dict[str, Column]) -> Column:
+    """Index into ``TYPE_CLASSES`` for two sets of type codes."""
+    pair = F.get(constants(_FAMILY_PAIRS, "int"), source["family"] * len(CANONICAL_TYPES) + target["family"])
     narrows = F.lit(False)
-    known = F.lit(False)
-    for left, right in pairs:
-        narrows = narrows | F.coalesce(right < left, F.lit(False))
-        known = known | (left.isNotNull() & right.isNotNull())
-    s, t = source["canonical_type"], target["canonical_type"]
-    unknown = (s == "UNKNOWN") | (t == "UNKNOWN")
-    sized = (s == t) | ((s == "INTEGER") & (t == "DECIMAL"))
-    compatibility = (
-        F.when(unknown, "UNKNOWN")
-        .when(sized & narrows, "LOSSY")
-        .when(s == t, "EXACT")
-        .when((s == "INTEGER") & (t == "DECIMAL"), "SAFE")
-        .when((s == "DATE") & (t == "TIMESTAMP"), "SAFE")
-        .when((s == "DECIMAL") & t.isin("INTEGER", "FLOAT"), "LOSSY")
-        .when((s == "INTEGER") & (t == "FLOAT"), "LOSSY")
-        .otherwise("INCOMPATIBLE")
-    )
-    return compatibility, ~unknown & sized & ~narrows & known
+    for name in DIMENSIONS:
+        narrows = narrows | (target[name] < source[name])
+    proven = F.when(source["known"].bitwiseAND(target["known"]) != 0, 1).otherwise(0)
+    return F.when(pair < 4, pair).when(narrows, 2).when(pair == 4, 3 + proven).otherwise(5 + proven)
+
+
+def compatibility_of(type_class_value: Column) -> Column:
+    return F.get(constants([name for name, _ in TYPE_CLASSES], "string"), type_class_value)
 
 
-def compatibility_priority(compatibility: Column) -> Column:
-    return case([(compatibility == name, F.lit(rank)) for name, rank in COMPATIBILITY_PRIORITY.items()])
+def priority_of(type_class_value: Column) -> Column:
+    return F.get(constants([COMPATIBILITY_PRIORITY[name] for name, _ in TYPE_CLASSES], "int"), type_class_value)
 
 
 class UnsupportedTypeError(ValueError):
