@@ -27,9 +27,9 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def request_hash(operation: str, payload: Column) -> Column:
-    """Fingerprint that binds the operation name to its inputs."""
-    return fingerprint(F.concat(F.lit('{"operation":"' + operation + '","payload":'), payload, F.lit("}")))
+def request_hash(command: str, request: Column) -> Column:
+    """Fingerprint that binds the command name to its canonical JSON request."""
+    return fingerprint(F.concat(F.lit('{"command_type":"' + command + '","request":'), request, F.lit("}")))
 
 
 def normalized_key(key: Column) -> Column:
@@ -39,3 +39,17 @@ def normalized_key(key: Column) -> Column:
 def redacted(metadata: Column) -> Column:
     """Drop sensitive keys of a map; longer words that merely contain one are kept."""
     return F.map_filter(metadata, lambda key, _: ~normalized_key(key).isin(list(SENSITIVE_KEYS)))
+
+
+def canonical_row(names: list[str]) -> Column:
+    """Columns of a row as JSON with sorted keys and explicit NULLs; vendor metadata is left out."""
+    kept = sorted(name for name in names if name != "vendor_metadata")
+    return F.to_json(F.struct(*kept), {"ignoreNullFields": "false"})
+
+
+def richness(names: list[str]) -> Column:
+    """How many of the columns hold a value."""
+    total = F.lit(0)
+    for name in names:
+        total = total + F.when(F.col(name).isNotNull(), 1).otherwise(0)
+    return total

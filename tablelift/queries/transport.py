@@ -204,7 +204,7 @@ ORACLES = {
     """,
     "canonical_json_events": f"""
         SELECT event_id, document, sha256(document) AS document_sha256,
-               sha256(concat('{{"operation":"LOAD_EVENT","payload":', document, '}}')) AS request_sha256
+               sha256(concat('{{"command_type":"LOAD_EVENT","request":', document, '}}')) AS request_sha256
         FROM (SELECT event_id, {_DOCUMENT} AS document FROM events) AS d
     """,
     "not_null_assertion": """
