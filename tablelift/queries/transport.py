@@ -26,7 +26,7 @@ from tablelift.session import new_run_dir
 from tablelift.sinks.publish import publish
 from tablelift.sinks.staging import file_evidence, landed, stage, staging_database, totals
 from tablelift.sources.tables import query, scan
-from tablelift.streaming.load import batch_evidence, load_stream, read_files
+from tablelift.streaming.load import batch_evidence, load_stream, loaded, read_files
 from tablelift.workflow import full_run, load
 
 
@@ -142,14 +142,17 @@ def _streamed_events(spark, sf_dir):
 
 def stream_rows(spark, sf_dir):
     """Everything the micro-batches wrote."""
-    return spark.read.parquet(_streamed_events(spark, sf_dir)).select("event_key", "kind")
+    return loaded(spark, _streamed_events(spark, sf_dir))
 
 
 def stream_counts(spark, sf_dir):
     """Totals over the batch evidence."""
     batches = batch_evidence(spark, _streamed_events(spark, sf_dir))
     return batches.agg(
-        F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("batches"), F.max("batch_id").cast("int").alias("last_batch")
+        F.sum("rows_read").alias("rows_read"),
+        F.sum("rows_written").alias("rows_written"),
+        F.count(F.lit(1)).alias("batches"),
+        F.max("batch_id").cast("int").alias("last_batch"),
     )
 
 
@@ -232,5 +235,5 @@ ORACLES = {
     "reconcile_published_customer": VALIDATION_ORACLES["reconcile_customer"],
     "full_run_report": report_sql(VALIDATION_ORACLES["reconcile_customer"]),
     "stream_load_rows": "SELECT CAST(event_id AS DECIMAL(20, 0)) AS event_key, event_type AS kind FROM events",
-    "stream_load_counts": "SELECT count(*) AS rows, 4 AS batches, 3 AS last_batch FROM events",
+    "stream_load_counts": "SELECT count(*) AS rows_read, count(*) AS rows_written, 4 AS batches, 3 AS last_batch FROM events",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,15 +15,20 @@ def read_files(spark: SparkSession, folder: str, schema: T.StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def load_stream(stream: DataFrame, plan: Plan, output: str, checkpoint: str) -> list[dict]:
-    """Project every micro-batch into ``output/batch_id=<id>`` and return one evidence dict per batch.
+def load_stream(stream: DataFrame, plan: Plan, output: str, checkpoint: str) -> None:
+    """Project every micro-batch into ``output/rows/batch_id=<id>``, then confirm it in ``output/log``.
 
-    A repeated batch overwrites its own folder, so a retry cannot duplicate rows.
+    A repeated batch overwrites its own folders, so a retry cannot duplicate rows,
+    and progress is only reported for rows that are written.
     """
-    evidence: list[dict] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        project(batch, plan).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        observed = Observation()
+        counted = batch.observe(observed, F.count(F.lit(1)).alias("rows"))
+        project(counted, plan).write.mode("overwrite").parquet(f"{output}/rows/batch_id={batch_id}")
+        spark = batch.sparkSession
+        log = spark.createDataFrame([(observed.get["rows"],)], "rows_read bigint").coalesce(1)
+        log.write.mode("overwrite").parquet(f"{output}/log/batch_id={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -33,13 +38,16 @@ def load_stream(stream: DataFrame, plan: Plan, output: str, checkpoint: str) ->
     )
     try:
         query.awaitTermination()
-        for progress in query.recentProgress:
-            evidence.append({"batch_id": progress["batchId"], "rows": progress["numInputRows"]})
     finally:
         query.stop()
-    return evidence
+
+
+def loaded(spark: SparkSession, output: str) -> DataFrame:
+    """All rows the micro-batches wrote."""
+    return spark.read.parquet(f"{output}/rows").drop("batch_id")
 
 
 def batch_evidence(spark: SparkSession, output: str) -> DataFrame:
-    """Rows per confirmed batch, with the running total, from what was written."""
-    return spark.read.parquet(output).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
+    """Rows read and rows stored per confirmed batch."""
+    stored = spark.read.parquet(f"{output}/rows").groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows_written"))
+    return spark.read.parquet(f"{output}/log").join(stored, "batch_id", "left").fillna(0, ["rows_written"])
