@@ -87,21 +87,22 @@ def native_type_key(native: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(lowered, r"\s*\([^)]*\)", "")), F.lit(""))
 
 
-def canonical_type(dialect: Column, native: Column, numeric_scale: Column) -> Column:
-    """Canonical family of a native type; unknown names become UNKNOWN."""
+# Type names that stand for a whole pattern: arrays in PostgreSQL, nested types in Spark.
+_PATTERNS = {"postgresql": (r"^.*\[\]$", "array"), "spark": (r"^(array|map|struct)<.*$", "variant")}
+
+
+def canonical_type(dialect: str, native: Column, numeric_scale: Column) -> Column:
+    """Canonical family of a native type; unknown names become UNKNOWN.
+
+    One lookup in a constant map, so the name is normalized once per row.
+    """
     key = native_type_key(native)
-    fixed_point = F.when(numeric_scale == 0, "INTEGER").otherwise("DECIMAL")
-    by_dialect = []
-    for name, families in NATIVE_TYPES.items():
-        branches = []
-        if name == "postgresql":
-            branches.append((key.endswith("[]"), F.lit("SEMI_STRUCTURED")))
-        elif name == "spark":
-            branches.append((F.lower(F.trim(native)).rlike("^(array|map|struct)<"), F.lit("SEMI_STRUCTURED")))
-        for family, names in families.items():
-            branches.append((key.isin(names), fixed_point if family == "FIXED_POINT" else F.lit(family)))
-        by_dialect.append((dialect == name, case(branches, F.lit("UNKNOWN"))))
-    return case(by_dialect, F.lit("UNKNOWN"))
+    if dialect in _PATTERNS:
+        key = F.regexp_replace(key, *_PATTERNS[dialect])
+    entries = [(name, family) for family, names in NATIVE_TYPES[dialect].items() for name in names]
+    families = F.create_map(*[F.lit(item) for entry in entries for item in entry])
+    family = F.coalesce(families[key], F.lit("UNKNOWN"))
+    return F.when(family == "FIXED_POINT", F.when(numeric_scale == 0, "INTEGER").otherwise("DECIMAL")).otherwise(family)
 
 
 def case(branches: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
@@ -119,7 +120,7 @@ def decimal_digits(canonical: Column, precision: Column, radix: Column) -> Colum
     return F.when((canonical == "INTEGER") & (radix == 2) & (precision > 0), digits).otherwise(precision)
 
 
-def element_type(dialect: Column, explicit: Column, native: Column) -> Column:
+def element_type(dialect: str, explicit: Column, native: Column) -> Column:
     """Array element family: an explicit canonical name wins, else the native type decides."""
     named = F.upper(F.trim(explicit))
     return (

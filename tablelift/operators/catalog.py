@@ -105,7 +105,7 @@ def normalize_columns(rows: DataFrame, dialect: str) -> DataFrame:
     """Raw catalog column rows of one dialect as canonical columns."""
     native = optional_text(pick(rows, "data_type", "native_type"))
     scale = optional_int(pick(rows, "numeric_scale"))
-    canonical = canonical_type(F.lit(dialect), native, scale)
+    canonical = canonical_type(dialect, native, scale)
     precision = optional_int(pick(rows, "numeric_precision"))
     if dialect == "postgresql":
         precision = decimal_digits(canonical, precision, optional_int(pick(rows, "numeric_precision_radix")))
@@ -133,7 +133,7 @@ def normalize_columns(rows: DataFrame, dialect: str) -> DataFrame:
         is_generated(dialect, marker, extra).alias("is_generated"),
         optional_int(pick(rows, "array_dimensions", "attndims")).cast("int").alias("array_dimensions"),
         element.alias("element_native_type"),
-        element_type(F.lit(dialect), explicit_element, element).alias("element_canonical_type"),
+        element_type(dialect, explicit_element, element).alias("element_canonical_type"),
     )
 
 
