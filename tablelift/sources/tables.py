@@ -12,7 +12,7 @@ from tablelift.functions.types import family_of
 from tablelift.plans.expressions import column
 from tablelift.plans.limits import MAX_ROWS, effective_limit
 
-COLUMNS_SCHEMA = T.StructType.fromDDL(
+COLUMNS_SCHEMA = (
     "table_id string, column_name string, ordinal_position int, native_type string, canonical_type string,"
     " nullable boolean, character_length int, numeric_precision int, numeric_scale int, datetime_precision int"
 )
