@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablelift.functions.catalog import (
     decode,
     estimated_rows,
+    has_field,
     is_auto_increment,
     is_generated,
     is_system_schema,
@@ -157,15 +158,49 @@ def quarantine(rows: DataFrame, readable: Column, warning: str) -> tuple[DataFra
     return flagged.filter("readable").drop("readable"), coverage
 
 
-def facet_coverage(tables: DataFrame, facet: DataFrame | None) -> DataFrame:
-    """Coverage of one facet for every table: not read UNAVAILABLE, read and empty COMPLETE."""
+def facet_coverage(tables: DataFrame, facet: DataFrame | None, *, known: str = "COMPLETE") -> DataFrame:
+    """Coverage of one facet for every table: not read UNAVAILABLE, read and empty COMPLETE.
+
+    ``known`` caps what complete membership can prove, where the server reports
+    less about the constraints themselves.
+    """
     if facet is None:
         return tables.select("table_id", F.lit("UNAVAILABLE").alias("coverage"))
     return tables.select("table_id").join(facet.select("table_id", "coverage"), "table_id", "left").select(
-        "table_id", F.coalesce("coverage", F.lit("COMPLETE")).alias("coverage")
+        "table_id",
+        F.when(F.col("coverage").isNull(), "COMPLETE")
+        .when(F.col("coverage") == "COMPLETE", known)
+        .otherwise(F.col("coverage"))
+        .alias("coverage"),
     )
 
 
+# Object fields whose presence in the catalog rows proves a facet was read.
+_FACET_FIELDS = {
+    "comments": ("comment", "table_comment", "object_comment"),
+    "estimated_row_count": ("estimated_row_count", "row_count", "reltuples"),
+    "partitioning": ("is_partitioned", "partitioning_expression"),
+}
+
+
+def default_facets(rows: DataFrame, object_kind: Column, results: dict[str, DataFrame | None]) -> DataFrame:
+    """Coverage per facet when only presence is known.
+
+    ``results`` holds the constraint result sets by facet, None for one that was
+    not read. An object field counts as read when the rows have it, even as NULL.
+    """
+    facets = {"columns": F.lit("COMPLETE")}
+    for name, frame in results.items():
+        facets[name] = F.lit("UNAVAILABLE" if frame is None else "COMPLETE")
+    for name, fields in _FACET_FIELDS.items():
+        facets[name] = F.lit("COMPLETE" if has_field(rows, *fields) else "UNAVAILABLE")
+    view = "COMPLETE" if has_field(rows, "view_definition") else "UNAVAILABLE"
+    facets["view_definition"] = F.when(object_kind.isin("VIEW", "MATERIALIZED_VIEW"), view).otherwise("NOT_APPLICABLE")
+    clustered = has_field(rows, "clustering_expression", "clustering_key")
+    facets["clustering"] = F.lit("COMPLETE" if clustered else "NOT_APPLICABLE")
+    return rows.select("table_id", *[value.alias(name) for name, value in facets.items()])
+
+
 def warnings(*coverages: DataFrame) -> DataFrame:
     """Sorted distinct warning codes per table."""
     codes = coverages[0].select("table_id", "warning")

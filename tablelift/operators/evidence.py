@@ -45,6 +45,16 @@ def with_sequence(events: DataFrame, key: str, order: list[str], bucket: Column)
     return running(events, [key], order, bucket, totals={"sequence_number": F.lit(1).cast("bigint")})
 
 
+def sealed(artifacts: DataFrame) -> DataFrame:
+    """Artifacts with the SHA-256 of their payload."""
+    return artifacts.withColumn("payload_sha256", fingerprint(F.col("payload")))
+
+
+def append(artifacts: DataFrame, log: str) -> None:
+    """Add sealed artifacts to a log; existing rows are never rewritten."""
+    sealed(artifacts).write.mode("append").parquet(log)
+
+
 def hash_mismatches(artifacts: DataFrame) -> DataFrame:
     """Artifacts whose payload no longer has its recorded SHA-256."""
     return artifacts.filter(~fingerprint(F.col("payload")).eqNullSafe(F.col("payload_sha256")))

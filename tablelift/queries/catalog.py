@@ -10,6 +10,7 @@ from tablelift.functions.types import NATIVE_TYPES
 from tablelift.operators.arrays import array_chains
 from tablelift.operators.catalog import (
     base_tables,
+    default_facets,
     facet_coverage,
     is_readable_column,
     live_columns,
@@ -387,6 +388,20 @@ def documents(spark, sf_dir):
     )
 
 
+def presence_facets(spark, sf_dir):
+    """Facets by presence alone: keys read, checks not, comments there, partitioning not."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("t"), "o_orderkey").alias("table_id"),
+        F.lit(None).cast("string").alias("Comment"),
+        F.col("o_totalprice").alias("reltuples"),
+        F.lit("SELECT 1").alias("view_definition"),
+        "o_orderstatus",
+    )
+    kind = F.when(F.col("o_orderstatus") == "P", "VIEW").otherwise("TABLE")
+    results = {"primary_key": key_rows(spark, sf_dir), "check_constraints": None}
+    return default_facets(rows, kind, results)
+
+
 def listed_databases(spark, sf_dir):
     """Databases named after customers, with server databases and templates mixed in."""
     names = F.when(F.col("c_custkey") % 50 == 0, "MySQL").when(F.col("c_custkey") % 50 == 1, "sys").otherwise(F.col("c_name"))
@@ -413,6 +428,7 @@ QUERIES = {
     "fk_references": references,
     "constraint_coverage": coverage,
     "table_warnings": warning_codes,
+    "default_facets": presence_facets,
     "membership_marks": marks,
     "richness_dedup": lambda spark, sf: richest(on_spark(spark, sf, DUPLICATES_SQL), ["table_id", "column_name"]),
     "pk_acceptance": accepted,
@@ -678,6 +694,14 @@ ORACLES = {
                    AS warnings, true AS codes_valid
         FROM ({_COVERAGE_SQL}) AS c
     """,
+    "default_facets": """
+        SELECT concat('t', o_orderkey) AS table_id, 'COMPLETE' AS columns, 'COMPLETE' AS primary_key,
+               'UNAVAILABLE' AS check_constraints, 'COMPLETE' AS comments, 'COMPLETE' AS estimated_row_count,
+               'UNAVAILABLE' AS partitioning,
+               CASE WHEN o_orderstatus = 'P' THEN 'COMPLETE' ELSE 'NOT_APPLICABLE' END AS view_definition,
+               'NOT_APPLICABLE' AS clustering
+        FROM orders
+    """,
     "membership_marks": f"""
         SELECT c.table_id, n.column_name,
                CASE WHEN EXISTS (SELECT 1 FROM ({_KEYS_SQL}) AS m WHERE m.table_id = c.table_id

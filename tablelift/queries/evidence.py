@@ -20,6 +20,7 @@ from tablelift.operators.evidence import (
     page,
     percent_complete,
     progress_violations,
+    sealed,
     sequence_gaps,
     several_active,
     stale_references,
@@ -129,7 +130,7 @@ def stale(spark, sf_dir):
 def hash_audit(spark, sf_dir):
     """Payload hashes recomputed against a log in which one type was altered after hashing."""
     altered = F.when(F.col("artifact_type") == "error", F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
-    log = artifacts(spark, sf_dir).withColumn("payload_sha256", F.sha2("payload", 256)).withColumn("payload", altered)
+    log = sealed(artifacts(spark, sf_dir)).withColumn("payload", altered)
     return hash_mismatches(log).select("workflow_id", "artifact_version", "payload_sha256")
 
 

@@ -235,5 +235,5 @@ ORACLES = {
     "reconcile_published_customer": VALIDATION_ORACLES["reconcile_customer"],
     "full_run_report": report_sql(VALIDATION_ORACLES["reconcile_customer"]),
     "stream_load_rows": "SELECT CAST(event_id AS DECIMAL(20, 0)) AS event_key, event_type AS kind FROM events",
-    "stream_load_counts": "SELECT count(*) AS rows_read, count(*) AS rows_written, 4 AS batches, 3 AS last_batch FROM events",
+    "stream_load_counts": "SELECT count(*) AS rows_read, count(*) AS rows_written, CAST(4 AS BIGINT) AS batches, 3 AS last_batch FROM events",
 }

@@ -135,6 +135,8 @@ def test_key_coverage(spark):
     read = {row.table_id: row.coverage for row in facet_coverage(tables, key_coverage(frame, "p")).collect()}
     assert read == {"whole": "COMPLETE", "bare": "COMPLETE"}
     assert {row.coverage for row in facet_coverage(tables, None).collect()} == {"UNAVAILABLE"}
+    capped = facet_coverage(tables, key_coverage(frame, "p"), known="PARTIAL").collect()
+    assert {row.table_id: row.coverage for row in capped} == {"whole": "PARTIAL", "bare": "COMPLETE"}
 
 
 def test_marks_are_three_valued(spark):

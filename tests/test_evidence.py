@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablelift.operators.evidence import (
-    JOB_TRANSITIONS, WORKFLOW_TRANSITIONS, idempotency, is_allowed, job_violations, lineage, percent_complete,
+    JOB_TRANSITIONS, WORKFLOW_TRANSITIONS, append, hash_mismatches, idempotency, is_allowed, job_violations, lineage, percent_complete,
     progress_violations, transition_violations, with_sequence,
 )
 from tablelift.operators.ordered import running
@@ -79,6 +79,16 @@ def test_idempotency_outcomes(spark):
     }
 
 
+def test_log_is_appended_and_checked(spark):
+    log = new_run_dir(spark, "log-test")
+    for batch in ([("a", "{}")], [("b", '{"x":1}')]):
+        append(spark.createDataFrame(batch, "id string, payload string"), log)
+    stored = spark.read.parquet(log)
+    assert stored.count() == 2 and hash_mismatches(stored).count() == 0
+    changed = stored.withColumn("payload", F.when(F.col("id") == "a", "[]").otherwise(F.col("payload")))
+    assert [row.id for row in hash_mismatches(changed).collect()] == ["a"]
+
+
 def test_lineage(spark):
     kinds = ["LOAD", "EXECUTION", "CLEANUP", "VALIDATION"]
     rows = [("good", kind, 1, "r", "f") for kind in kinds] + [("short", kind, 1, "r", "f") for kind in kinds[:3]]
