@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablelift.operators.audits import is_lossy
-from tablelift.operators.projection import project
+from tablelift.operators.projection import mapped_value, project
 from tablelift.plans.expressions import column, quote
-from tablelift.plans.plan import Plan
+from tablelift.plans.plan import Approval, Plan
 
 
 class PublishRefused(ValueError):
@@ -19,12 +19,28 @@ def relation(name: str) -> str:
     return ".".join(quote(part) for part in name.split("."))
 
 
-def refuse_broken(projected: DataFrame, required: list[str], lossy: dict[str, Column] | None = None) -> None:
-    """Raise when a required column holds NULL. One aggregate row reaches the driver."""
-    rules = {f"null:{name}": column(name).isNull() for name in required} | (lossy or {})
+def _null_rule(plan: Plan, mapping: Approval, null_mode: str) -> Column:
+    """The mapped value is NULL. A cast is judged by its input: it gives NULL only for NULL."""
+    if mapping.transformation.kind == "CAST":
+        return column(mapping.transformation.columns[0]).isNull()
+    return mapped_value(plan, mapping, null_mode=null_mode).isNull()
+
+
+def refuse_broken(staged: DataFrame, plan: Plan, *, null_mode: str = "propagate") -> None:
+    """Raise when a required column would hold NULL or an approved cast would change a value.
+
+    All rules share one pass; one aggregate row reaches the driver.
+    """
+    rules = {}
+    for item in plan.mappings:
+        if not item.target_nullable:
+            rules[f"null:{item.target_column}"] = _null_rule(plan, item, null_mode)
+        if item.transformation.kind == "CAST" and item.status == "APPROVED" and item.target_type is not None:
+            name = item.transformation.columns[0]
+            rules[f"lossy:{item.target_column}"] = is_lossy(column(name), staged.schema[name].dataType, item.target_type)
     if not rules:
         return
-    counts = projected.agg(*[F.count_if(rule).alias(key) for key, rule in rules.items()]).first().asDict()
+    counts = staged.agg(*[F.count_if(rule).alias(key) for key, rule in rules.items()]).first().asDict()
     broken = {key: rows for key, rows in counts.items() if rows}
     if broken:
         raise PublishRefused(f"Rows that break the target: {broken}")
@@ -39,18 +55,8 @@ def publish(staged: DataFrame, plan: Plan, target: str, *, null_mode: str = "pro
     spark = staged.sparkSession
     if not plan.is_complete:
         raise PublishRefused("The plan still has pending columns.")
-    lossy = {
-        f"lossy:{item.target_column}": is_lossy(
-            column(item.transformation.columns[0]),
-            staged.schema[item.transformation.columns[0]].dataType,
-            item.target_type,
-        )
-        for item in plan.mappings
-        if item.transformation.kind == "CAST" and item.status == "APPROVED" and item.target_type is not None
-    }
-    refuse_broken(staged, [], lossy)
+    refuse_broken(staged, plan, null_mode=null_mode)
     projected = project(staged, plan, null_mode=null_mode)
-    refuse_broken(projected, [item.target_column for item in plan.mappings if not item.target_nullable])
     observed = Observation()
     counted = projected.observe(observed, F.count(F.lit(1)).alias("rows"))
     insert(spark, counted, target)

@@ -100,8 +100,8 @@ def stage(source: DataFrame, transport_id: str | uuid.UUID, database: str) -> St
     """Write the source to a new staging table and prove that every row arrived.
 
     One narrow write job. The observed count sits in the writing stage, whose tasks
-    count once however often they are retried; the stored count comes from the file
-    footers. A difference, like any failure, drops the table.
+    count once however often they are retried; the stored count comes from reading
+    the files back without any column. A difference, like any failure, drops the table.
     """
     spark = source.sparkSession
     relation = f"{quote(database)}.{quote(staging_name(transport_id))}"
@@ -114,8 +114,7 @@ def stage(source: DataFrame, transport_id: str | uuid.UUID, database: str) -> St
             .observe(observed, F.count(F.lit(1)).alias("rows"))
             .write.mode("errorifexists").format("parquet").saveAsTable(relation)
         )
-        stored = spark.table(relation)
-        written, files = stored.count(), len(stored.inputFiles())
+        written, files = _stored(spark.table(relation))
         read = observed.get["rows"]
         if read != written:
             raise TransferError(f"Read {read} rows but stored {written}.", "STAGING_LOAD_FAILED")
@@ -124,6 +123,12 @@ def stage(source: DataFrame, transport_id: str | uuid.UUID, database: str) -> St
     return Staged(str(transport_id), relation, read, written, files)
 
 
+def _stored(frame: DataFrame) -> tuple[int, int]:
+    """(rows, files) as stored, from a scan that reads no column."""
+    row = file_evidence(frame).agg(F.sum("rows_written").alias("rows"), F.count(F.lit(1)).alias("files")).first()
+    return row.rows or 0, row.files
+
+
 def _cleaned_up(spark: SparkSession, relation: str, database: str, error: Exception) -> TransferError:
     try:
         drop_staging(spark, relation, database)
