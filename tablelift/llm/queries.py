@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelift.llm import gam, langid, licenses, toxicity
+from tablelift.llm import gam, langid, licenses, packing, simhash, toxicity
 from tablelift.llm.text import id_remainder, table
 
 
@@ -36,10 +37,25 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score_quality(documents.select("doc_id", held_out, "text"), gam.fit_sample(sample), balance=balance)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_json(path: str | None = None) -> str:
+    """The tokenizer's file as text, which is sent to the executors; by default the public 49k word vocabulary."""
+    import public_tokenizers
+
+    return Path(path or public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json())
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(documents, _labelled(spark, sf_dir, "toxic"))
@@ -50,7 +66,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_quality": op3_quality,
+    "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
+    "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
 
