@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelift.llm import gam, langid, licenses, packing, simhash, toxicity
+from tablelift.llm import gam, langid, licenses, packing, rules, simhash, toxicity
 from tablelift.llm.text import id_remainder, table
 
 
@@ -45,6 +45,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_json(path: str | None = None) -> str:
     """The tokenizer's file as text, which is sent to the executors; by default the public 49k word vocabulary."""
     import public_tokenizers
@@ -68,8 +72,9 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
+    "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_quality_rules": rules.SQL}
