@@ -203,7 +203,9 @@ def learn(documents: DataFrame) -> PiiModel:
 
     Only counts per pattern reach the driver: at most 3 ** labelers times the values of the features.
     """
-    spans = candidates(documents.select("text"), valid=False).select(F.explode(F.concat("_base", "_extra")).alias("span"))
+    # The outer form keeps Spark from finding all spans once more below, to see whether there are any.
+    spans = candidates(documents.select("text"), valid=False).select(F.explode_outer(F.concat("_base", "_extra")).alias("span"))
+    spans = spans.filter(F.col("span").isNotNull())
     span = F.col("span")
     columns = [labeler(span).alias(f"v_{name}") for name, labeler in LABELERS.items()]
     columns += [value.alias(f"f_{name}") for name, value in _features(span).items()]

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelift.llm import gam, langid, licenses, packing, pii, rules, simhash, toxicity
+from tablelift.llm import decontam, gam, langid, licenses, packing, pii, rules, simhash, toxicity
 from tablelift.llm.text import id_remainder, table
 
 
@@ -45,6 +45,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return pii.digest(documents, pii.learn(documents))
@@ -77,6 +81,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
+    "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
