@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelift.llm import decontam, gam, langid, licenses, packing, pii, rules, simhash, toxicity
+import corpus_pipeline
+from tablelift.llm import decontam, gam, hmm, langid, licenses, packing, pii, rules, simhash, toxicity
 from tablelift.llm.text import id_remainder, table
 
 
@@ -19,6 +19,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(documents.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base score's terms of words that are not frequent come from the same join as the model's."""
+    held_out = (id_remainder(F.col("doc_id"), 7) == 2).alias("held_out")
+    documents = table(spark, sf_dir, "documents").select("doc_id", held_out, "text")
+    return hmm.score_texts(documents, *hmm.learn(documents.filter(~F.col("held_out")).select("text")))
+
+
 def _labelled(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(id_remainder(F.col("doc_id"), 4) != 2)
     return labels.select("doc_id", F.col(name).alias("label")).dropna().dropDuplicates(["doc_id"])
@@ -58,15 +65,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_json(path: str | None = None) -> str:
-    """The tokenizer's file as text, which is sent to the executors; by default the public 49k word vocabulary."""
-    import public_tokenizers
-
-    return Path(path or public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
-
-
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json())
+    return packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_json())
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents.select("doc_id", held_out, "text"), model)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_language_model": op2_language_model,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 ORACLES = {"op8_quality_rules": rules.SQL}
