@@ -63,9 +63,6 @@ class WordTokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, unknown: set[bytes]) -> None:
-        if len(self.words) + len(unknown) > CACHED:
-            self.words.clear()
-            self.parts = {"": b""}
         plain, missing = [], set()
         for word in unknown:
             found = self.suffix and _PLAIN.fullmatch(low := _lower(word))
@@ -89,7 +86,12 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
-        unknown = set().union(*split) - self.words.keys()
+        every = set().union(*split)
+        unknown = every - self.words.keys()
+        if unknown and len(self.words) + len(unknown) > CACHED:
+            self.words.clear()
+            self.parts = {"": b""}
+            unknown = every
         if unknown:
             self.learn(unknown)
         known = self.words.__getitem__
