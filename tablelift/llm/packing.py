@@ -33,7 +33,7 @@ END_ID = 2
 #: Pieces that are ranked together, and the most such groups per bin.
 RANKED, RANK_GROUPS = 1000, 4096
 #: Entries after which a worker's cache of tokenized words is started anew.
-CACHED = 1_500_000
+CACHED = 1_200_000
 
 _PLAIN = re.compile("([a-zß-öø-ÿ]*)([!#$%&()*+,\\-./:;=?@\\[\\]^_`{|}~]*)")
 _caches: dict[int, "WordTokens"] = {}
@@ -63,12 +63,16 @@ class WordTokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, unknown: set[bytes]) -> None:
-        plain, missing = [], set()
+        plain, missing, parts = [], set(), self.parts
         for word in unknown:
             found = self.suffix and _PLAIN.fullmatch(low := _lower(word))
             if found and low:
-                plain.append((word, found[1], found[2]))
-                missing.update(part for part in (found[1], found[2]) if part not in self.parts)
+                letters, marks = found.groups()
+                plain.append((word, letters, marks))
+                if letters not in parts:
+                    missing.add(letters)
+                if marks not in parts:
+                    missing.add(marks)
             else:
                 self.words[word] = self._encode(word.decode()).tobytes()
         order = sorted(missing)
