@@ -23,20 +23,25 @@ def has_field(frame: DataFrame, *names: str) -> bool:
     return any(name.lower() in present for name in names)
 
 
+def stripped(text: Column) -> Column:
+    """Text without outer white space of any kind, line breaks and tabs too."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def optional_text(value: Column) -> Column:
     """Blank becomes NULL, other text is kept exactly."""
     text = value.cast("string")
-    return F.when(F.trim(text) != "", text)
+    return F.when(stripped(text) != "", text)
 
 
 def optional_int(value: Column) -> Column:
     """Whole numbers only, sign and outer blanks allowed; anything else is NULL."""
-    text = F.trim(value.cast("string"))
+    text = stripped(value.cast("string"))
     return F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text).try_cast("bigint")
 
 
 def _marker(value: Column, yes: list[str], no: list[str]) -> Column:
-    text = F.lower(F.trim(value.cast("string")))
+    text = F.lower(stripped(value.cast("string")))
     return F.when(text.isin(yes), True).when(text.isin(no), False)
 
 

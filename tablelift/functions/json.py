@@ -18,7 +18,7 @@ SENSITIVE_KEYS = (
 def canonical_json(value: Column, data_type: T.DataType | None = None) -> Column:
     """Compact JSON with sorted keys. Text is parsed as JSON, nested values are rendered first."""
     if data_type is not None and not isinstance(data_type, T.StringType):
-        value = F.to_json(value)
+        value = F.to_json(value, {"ignoreNullFields": "false"})
     return F.to_json(F.parse_json(value))
 
 

@@ -11,16 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelift.operators.projection import mapped_value
 from tablelift.plans.expressions import column
 from tablelift.plans.plan import Plan
 
-# Several exact distinct counts in one aggregation make Spark expand each row
-# once per distinct column. Eight keeps one scan for ordinary tables; wider
-# tables take one aggregation per chunk and union the one-row results.
-DISTINCTS_PER_AGGREGATION = 8
-
 CHECK_SCHEMA = "check_id string, check_type string, source_column string, target_column string"
 
 
@@ -59,23 +55,58 @@ def metrics(frame: DataFrame, values: list[tuple[Column, bool]], *, mode: str =
     """Metrics of ``values``, pairs of (column, count distinct values too)."""
     if mode not in ("exact", "approx"):
         raise ValueError("mode is 'exact' or 'approx'.")
-    plain: dict[str, Column] = {"row_count": F.count(F.lit(1))}
-    distinct: dict[str, Column] = {}
+    if mode == "exact":
+        return exact_metrics(frame, values)
+    aggregates: dict[str, Column] = {"row_count": F.count(F.lit(1))}
     for index, (value, with_distinct) in enumerate(values):
         # SUM, not count_if: over zero rows it is NULL, and the check becomes UNAVAILABLE.
-        plain[f"m{index:03d}_null_count"] = F.sum(F.when(value.isNull(), 1).otherwise(0))
+        aggregates[f"m{index:03d}_null_count"] = F.sum(F.when(value.isNull(), 1).otherwise(0))
         if with_distinct:
-            counter = F.countDistinct if mode == "exact" else F.approx_count_distinct
-            distinct[f"m{index:03d}_distinct_count"] = counter(value)
-    if mode == "approx":
-        return long_form(frame, plain | distinct)
-    names = list(distinct)
-    size = DISTINCTS_PER_AGGREGATION
-    chunks = [{name: distinct[name] for name in names[at : at + size]} for at in range(0, len(names), size)]
-    result = long_form(frame, plain | (chunks[0] if chunks else {}))
-    for chunk in chunks[1:]:
-        result = result.unionByName(long_form(frame, chunk))
-    return result
+            aggregates[f"m{index:03d}_distinct_count"] = F.approx_count_distinct(value)
+    return long_form(frame, aggregates)
+
+
+def value_key(value: Column, data_type: T.DataType) -> Column:
+    """Text that two values share if and only if grouping takes them for equal; NULL for NULL."""
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return (value + F.lit(0.0)).cast("string")
+    if isinstance(data_type, T.BinaryType):
+        return F.hex(value)
+    if isinstance(data_type, T.AtomicType):
+        return value.cast("string")
+    return F.when(value.isNotNull(), F.to_json(F.struct(value), {"ignoreNullFields": "false"}))
+
+
+def exact_metrics(frame: DataFrame, values: list[tuple[Column, bool]]) -> DataFrame:
+    """One plan for tables of any width: one scan, one shuffle of distinct values.
+
+    A row becomes one short row per column, (column number, value key), whose groups are counted on the map side.
+    A column has as many distinct values as groups with a key, its nulls are the group without one, and a column
+    that is never null counts the rows. Columns without a distinct check share two keys.
+    """
+    named = frame.select(*[value.alias(f"v{index}") for index, (value, _) in enumerate(values)])
+    keys = [
+        value_key(F.col(f"v{index}"), named.schema[f"v{index}"].dataType) if distinct else F.when(F.col(f"v{index}").isNotNull(), "")
+        for index, (_, distinct) in enumerate(values)
+    ]
+    cells = [F.struct(F.lit(index).alias("place"), key.alias("key")) for index, key in enumerate([*keys, F.lit("")])]
+    groups = named.select(F.inline(F.array(*cells))).groupBy("place", "key").agg(F.count(F.lit(1)).alias("n"))
+    totals = groups.groupBy("place").agg(
+        F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
+        F.count("key").alias("distinct"),
+        F.sum("n").alias("rows"),
+    )
+    wanted = [("row_count", len(values), "rows")]
+    for index, (_, distinct) in enumerate(values):
+        wanted.append((f"m{index:03d}_null_count", index, "nulls"))
+        if distinct:
+            wanted.append((f"m{index:03d}_distinct_count", index, "distinct"))
+    checks = frame.sparkSession.createDataFrame(wanted, "check_id string, place int, kind string")
+    # Over zero rows there are no groups: no rows and no values, but null counts are unavailable.
+    found = F.when(F.col("kind") == "nulls", F.col("nulls")).otherwise(
+        F.coalesce(F.when(F.col("kind") == "rows", F.col("rows")).otherwise(F.col("distinct")), F.lit(0))
+    )
+    return checks.join(totals, "place", "left").select("check_id", found.cast("bigint").alias("value"))
 
 
 def source_metrics(source: DataFrame, plan: Plan, *, null_mode: str = "propagate", mode: str = "exact") -> DataFrame:

@@ -10,8 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelift.plans.limits import DEFAULT_ROWS, DEFAULT_TIMEOUT_SECONDS, MAX_ROWS, effective_limit
-from tablelift.sources.tables import scan
+from tablelift.plans.limits import DEFAULT_ROWS, MAX_ROWS, effective_limit
+from tablelift.sources.tables import capped, scan
 
 # Identifier quote of each dialect.
 _QUOTES = {"postgresql": '"', "mysql": "`", "snowflake": '"', "sqlserver": '"'}
@@ -63,8 +63,10 @@ def scan_options(
         "url": url,
         "dbtable": relation.quoted(),
         "fetchsize": str(effective_limit(fetch_size or DEFAULT_ROWS, MAX_ROWS)),
-        "queryTimeout": str(timeout_seconds or DEFAULT_TIMEOUT_SECONDS),
     }
+    # A large table takes its time: only a caller who wants an end to it names one.
+    if timeout_seconds is not None:
+        options["queryTimeout"] = str(timeout_seconds)
     if split is not None:
         options |= {
             "partitionColumn": split.column,
@@ -92,12 +94,14 @@ def read_table(
 
 
 def read_query(
-    spark: SparkSession, url: str, sql: str, *, max_rows: int | None = None, credentials: dict[str, str] | None = None
-) -> DataFrame:
-    """A remote SELECT, capped like a local one."""
-    options = {"url": url, "query": sql, "queryTimeout": str(DEFAULT_TIMEOUT_SECONDS)}
-    frame = spark.read.format("jdbc").options(**options, **(credentials or {})).load()
-    return frame.limit(effective_limit(max_rows, MAX_ROWS))
+    spark: SparkSession, url: str, sql: str, *, max_rows: int | None = None, timeout_seconds: int | None = None,
+    credentials: dict[str, str] | None = None,
+) -> DataFrame:
+    """A remote SELECT, capped like a local one; whole and without a timeout unless the caller names them."""
+    options = {"url": url, "query": sql}
+    if timeout_seconds is not None:
+        options["queryTimeout"] = str(timeout_seconds)
+    return capped(spark.read.format("jdbc").options(**options, **(credentials or {})).load(), max_rows)
 
 
 def write_table(

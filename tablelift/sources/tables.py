@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelift.functions.types import family_of
-from tablelift.plans.expressions import column
-from tablelift.plans.limits import MAX_ROWS, effective_limit
+from tablelift.plans.expressions import column, quote
+from tablelift.plans.limits import effective_limit
 
 COLUMNS_SCHEMA = (
     "table_id string, column_name string, ordinal_position int, native_type string, canonical_type string,"
@@ -32,14 +33,26 @@ def query(
     args: Mapping[str, Any] | None = None,
     *,
     max_rows: int | None = None,
-    profile_rows: int = MAX_ROWS,
+    profile_rows: int | None = None,
     **frames: DataFrame,
 ) -> DataFrame:
-    """A SELECT with named parameters, capped at min(requested, profile) rows.
+    """A SELECT with named parameters, capped at the lower of the requested and the profile's rows.
 
-    ``frames`` may be used in the text as ``{name}``.
+    Without either, all rows. ``frames`` may be used in the text as ``{name}``.
     """
-    return spark.sql(sql, args=dict(args or {}), **frames).limit(effective_limit(max_rows, profile_rows))
+    return capped(spark.sql(sql, args=dict(args or {}), **frames), max_rows, profile_rows)
+
+
+def capped(frame: DataFrame, max_rows: int | None, profile_rows: int | None = None) -> DataFrame:
+    """The frame cut at the lower of two limits; whole where the caller names none."""
+    if max_rows is None and profile_rows is None:
+        return frame
+    return frame.limit(effective_limit(max_rows, profile_rows if profile_rows is not None else max_rows))
+
+
+def is_cut(frame: DataFrame, max_rows: int) -> bool:
+    """Whether a limit of ``max_rows`` leaves rows out; at most one row more than the limit is read."""
+    return frame.limit(max_rows + 1).count() > max_rows
 
 
 def describe(table_id: str, schema: T.StructType) -> list[tuple]:
@@ -80,5 +93,7 @@ def databases(spark: SparkSession) -> DataFrame:
 
 def tables(spark: SparkSession, database: str = "default") -> DataFrame:
     """Base tables of one database, by name; temporary views are left out."""
-    names = [item.name for item in spark.catalog.listTables(database) if item.tableType in ("MANAGED", "EXTERNAL")]
-    return spark.createDataFrame([(name,) for name in sorted(names)], "table_name string")
+    listed = spark.sql(f"SHOW TABLES IN {quote(database)}").filter("NOT isTemporary")
+    views = spark.sql(f"SHOW VIEWS IN {quote(database)}").filter("NOT isTemporary").select(F.col("viewName").alias("tableName"))
+    names = listed.select("tableName").join(views, "tableName", "left_anti")
+    return names.select(F.col("tableName").alias("table_name")).orderBy("table_name")

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelift.operators import metrics as metrics_module
 from tablelift.operators.metrics import checks_frame, checks_of, source_metrics, target_metrics
 from tablelift.operators.reconcile import count_value, reconcile, report, validate
 from tablelift.queries.data import CUSTOMER_PLAN, copy_plan, customer_source
@@ -65,13 +64,26 @@ def test_empty_and_all_null_inputs(spark):
     assert values(source_metrics(nulls, plan)) == dict(zip(IDS, [4, 4, 0, 4, 0]))
 
 
-def test_wide_tables_are_measured_in_chunks(spark, monkeypatch):
-    frame = spark.range(50).select(*[(F.col("id") % (n + 1)).alias(f"c{n}") for n in range(7)])
-    plan = copy_plan(frame, "s", "t")
-    whole = values(target_metrics(frame, plan))
-    monkeypatch.setattr(metrics_module, "DISTINCTS_PER_AGGREGATION", 3)
-    assert values(target_metrics(frame, plan)) == whole
-    assert [whole[f"m{n:03d}_distinct_count"] for n in range(7)] == list(range(1, 8))
+@pytest.mark.parametrize("width", [3, 30])
+def test_tables_of_any_width_take_one_scan(spark, sf_dir, width):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    frame = orders.select(*[(F.col("o_orderkey") % (n + 1)).alias(f"c{n}") for n in range(width)])
+    measured = target_metrics(frame, copy_plan(frame, "s", "t"))
+    whole = values(measured)
+    assert [whole[f"m{n:03d}_distinct_count"] for n in range(width)] == list(range(1, width + 1))
+    assert measured._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_distinct_keys_follow_grouping(spark):
+    frame = spark.sql(
+        "SELECT * FROM VALUES (0.0D, array(1, NULL), X'00', 1.50BD, timestamp'2020-01-01 00:00:00.000001'),"
+        " (-0.0D, array(1), X'01', 1.5BD, timestamp'2020-01-01'), (double('NaN'), array(1, NULL), X'00', NULL, NULL),"
+        " (double('NaN'), NULL, NULL, NULL, NULL) AS t(a, b, c, d, e)"
+    )
+    found = values(target_metrics(frame, copy_plan(frame, "s", "t")))
+    for n, name in enumerate("abcde"):
+        assert found[f"m{n:03d}_distinct_count"] == frame.select(F.countDistinct(name)).first()[0], name
+        assert found[f"m{n:03d}_null_count"] == frame.filter(F.col(name).isNull()).count()
 
 
 def test_approximate_checks_say_so(spark):
