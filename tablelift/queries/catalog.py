@@ -438,7 +438,6 @@ QUERIES = {
     "object_types_filtered": lambda spark, sf: objects(
         on_spark(spark, sf, SF_OBJECTS_SQL), "snowflake", ["TABLE", "DYNAMIC_TABLE", "VIEW"]
     ),
-    "object_types_empty_filter": lambda spark, sf: objects(on_spark(spark, sf, SF_OBJECTS_SQL), "snowflake", []),
     "partition_facts": lambda spark, sf: partition_facts(spark, sf, True),
     "partition_facts_without_helpers": lambda spark, sf: partition_facts(spark, sf, False),
     "live_columns": live,
@@ -776,7 +775,6 @@ ORACLES = {
         on_duckdb(PG_OBJECTS_SQL),
     ),
     "object_types_filtered": f"SELECT * FROM ({_SF_OBJECTS}) AS o WHERE object_type IN ('TABLE', 'DYNAMIC_TABLE', 'VIEW')",
-    "object_types_empty_filter": f"SELECT * FROM ({_SF_OBJECTS}) AS o WHERE false",
     "partition_facts": _partition_sql(True),
     "partition_facts_without_helpers": _partition_sql(False),
     "live_columns": f"""

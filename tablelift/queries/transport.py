@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +67,36 @@ def run_steps(spark, sf_dir):
     return steps.select("step", "stage", "status", "rows", "plan_version")
 
 
+def failed_run_report(spark, sf_dir):
+    """A run whose staging name is taken: nothing is published, and the report must not pass."""
+    source, run, database = customer_source(spark, sf_dir), uuid.uuid4(), staging_database(spark)
+    target = target_table(spark)
+    publish(source, CUSTOMER_PLAN, target)
+    stage(source, run, database)
+    return full_run(spark, source, CUSTOMER_PLAN, target, database, run)[2]
+
+
+def repeated_run(spark, sf_dir):
+    """The same run twice: its rows are in the target once, and the second call returns the first one's evidence."""
+    source, run, database, target = customer_source(spark, sf_dir), uuid.uuid4(), staging_database(spark), target_table(spark)
+    load(source, CUSTOMER_PLAN, target, database, run)
+    again = load(source, CUSTOMER_PLAN, target, database, run)
+    rows = spark.table(target).agg(F.count(F.lit(1)).alias("target_rows"))
+    return again.select("step", "stage", "status", "rows").join(rows)
+
+
+def refused_run(spark, sf_dir):
+    """A source with a NULL in a required column: the publish is refused, staging goes, the target stays empty."""
+    plan = Plan("customer", "customer_target", tuple(
+        replace(item, target_nullable=False) if item.target_column == "c_nationkey" else item for item in CUSTOMER_PLAN.approvals
+    ))
+    source = null_out(customer_source(spark, sf_dir), "c_nationkey", "7")
+    target, database = target_table(spark), staging_database(spark)
+    steps = load(source, plan, target, database, uuid.uuid4())
+    rows = spark.table(target).agg(F.count(F.lit(1)).alias("target_rows"))
+    return steps.select("step", "stage", "status", "rows").join(rows)
+
+
 def lineitem_evidence(spark, sf_dir):
     """Rows read against rows per written file of a staged lineitem."""
     source = table(spark, sf_dir, "lineitem")
@@ -74,8 +105,20 @@ def lineitem_evidence(spark, sf_dir):
 
 
 def landed_embeddings(spark, sf_dir):
-    """Staging types at work: arrays land as canonical JSON text, integers and text as they are."""
-    return landed(table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<int>")))
+    """Staging types at work: arrays land as canonical JSON text, from which every value can be read back."""
+    stored = landed(table(spark, sf_dir, "embeddings"))
+    values = F.from_json("embedding", "array<float>")
+    return stored.select("vec_id", "label", F.posexplode(values).alias("position", "value"))
+
+
+def landed_nested(spark, sf_dir):
+    """Structs with NULL fields and long decimals land with all fields and all digits."""
+    item = F.struct(
+        F.nullif(F.col("l_returnflag"), F.lit("N")).alias("flag"),
+        ((F.col("l_orderkey") + 1).cast("decimal(38,0)") * F.lit("1000000000000000000000").cast("decimal(22,0)") + F.col("l_linenumber")).cast("decimal(38,0)").alias("number"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", item.alias("item"))
+    return landed(lines)
 
 
 def json_events(spark, sf_dir):
@@ -178,6 +221,10 @@ QUERIES = {
     "publish_insert_select": published_customer,
     "load_evidence_lineitem": lineitem_evidence,
     "staging_types_cast": landed_embeddings,
+    "staging_nested_fields": landed_nested,
+    "failed_run_report": failed_run_report,
+    "repeated_run": repeated_run,
+    "refused_run": refused_run,
     "canonical_json_events": json_events,
     "not_null_assertion": null_checks,
     "lossy_cast_audit": lambda spark, sf: lossy_casts(table(spark, sf, "lineitem"), LOSSY_PLAN),
@@ -201,10 +248,30 @@ ORACLES = {
         SELECT count(*) AS rows_read, count(*) AS rows_written, true AS complete FROM lineitem
     """,
     "staging_types_cast": """
-        SELECT vec_id, concat('[', array_to_string(list_transform(embedding, lambda x: CAST(trunc(x) AS INTEGER)), ','),
-                              ']') AS embedding, label
+        SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS position, unnest(embedding) AS value
         FROM embeddings
     """,
+    "staging_nested_fields": """
+        SELECT l_orderkey, l_linenumber,
+               concat('{"flag":', CASE WHEN l_returnflag = 'N' THEN 'null' ELSE concat('"', l_returnflag, '"') END, ',"number":',
+                      l_orderkey + 1, right(concat('000000000000000000000', l_linenumber), 21), '}') AS item
+        FROM lineitem
+    """,
+    "failed_run_report": """
+        SELECT CAST(0 AS BIGINT) AS matched_count, CAST(0 AS BIGINT) AS mismatched_count, CAST(11 AS BIGINT) AS unavailable_count,
+               'FAILED' AS status, 1 AS plan_version
+    """,
+    "repeated_run": """
+        SELECT step, stage, 'SUCCEEDED' AS status, CASE WHEN stage <> 'CLEANING_UP' THEN n END AS rows, n AS target_rows
+        FROM (VALUES (1, 'STAGING'), (2, 'EXECUTING'), (3, 'CLEANING_UP')) AS s(step, stage),
+             (SELECT count(*) AS n FROM customer) AS c
+    """,
+    "refused_run": """
+        SELECT step, stage, CASE WHEN stage = 'EXECUTING' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+               CASE WHEN stage = 'STAGING' THEN n END AS rows, CAST(0 AS BIGINT) AS target_rows
+        FROM (VALUES (1, 'STAGING'), (2, 'EXECUTING'), (3, 'CLEANING_UP')) AS s(step, stage),
+             (SELECT count(*) AS n FROM customer) AS c
+    """,
     "canonical_json_events": f"""
         SELECT event_id, document, sha256(document) AS document_sha256,
                sha256(concat('{{"command_type":"LOAD_EVENT","request":', document, '}}')) AS request_sha256

@@ -144,9 +144,12 @@ def report_statuses(spark, sf_dir):
 
 
 def distinct_profile(spark, sf_dir):
-    """Estimated distinct counts of all event columns in one shuffle-light pass."""
+    """Estimated distinct counts of all event columns, and whether they lie within four standard errors of the exact ones."""
     events = table(spark, sf_dir, "events")
-    return target_metrics(events, copy_plan(events, "events", "events"), mode="approx")
+    plan = copy_plan(events, "events", "events")
+    guessed = target_metrics(events, plan, mode="approx").withColumnRenamed("value", "guess")
+    within = F.abs(F.col("guess") - F.col("value")) <= 4 * 0.05 * F.col("value")
+    return target_metrics(events, plan).join(guessed, "check_id").select("check_id", "value", within.alias("within"))
 
 
 def duplicate_names(spark, sf_dir):
@@ -193,6 +196,13 @@ QUERIES = {
     "distinct_profile_events": distinct_profile,
 }
 
+_EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+_PROFILE = " UNION ALL ".join(
+    ["SELECT 'row_count' AS check_id, count(*) AS value, true AS within FROM events"]
+    + [f"SELECT 'm{n:03d}_null_count', count(*) - count({name}), true FROM events" for n, name in enumerate(_EVENTS)]
+    + [f"SELECT 'm{n:03d}_distinct_count', count(DISTINCT {name}), true FROM events" for n, name in enumerate(_EVENTS)]
+)
+
 _CUSTOMER_RECONCILED = reconcile_sql(
     CUSTOMER_SOURCE_SQL, CUSTOMER_TARGET_SQL, CUSTOMER_VALUES, CUSTOMER_COLUMNS, CUSTOMER_TARGETS
 )
@@ -204,6 +214,7 @@ _EMPTY_TARGET = CUSTOMER_TARGET_SQL.replace("AS src", "AS src WHERE c_custkey <
 _EMPTY = reconcile_sql(_EMPTY_SOURCE, _EMPTY_TARGET, CUSTOMER_VALUES, CUSTOMER_COLUMNS, CUSTOMER_TARGETS)
 
 ORACLES = {
+    "distinct_profile_events": _PROFILE,
     "transform_customer": CUSTOMER_TARGET_SQL,
     "transform_null_concat": f"SELECT c_name || c_mktsegment AS label FROM ({CUSTOMER_SOURCE_SQL}) AS src",
     "transform_null_concat_skip": f"SELECT concat(c_name, c_mktsegment) AS label FROM ({CUSTOMER_SOURCE_SQL}) AS src",

@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_written: dict[str, list[str]] = {}
 
 
 def assert_session(spark: SparkSession) -> None:
     """Fail early when casts or timestamps would not mean what the plan says."""
     if spark.conf.get("spark.sql.ansi.enabled", "true") != "true":
         raise ValueError("spark.sql.ansi.enabled must be true: lossy casts must fail, not return NULL.")
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "UCT", "GMT", "Z", "+00:00"):
+        raise ValueError("spark.sql.session.timeZone must be UTC: canonical times are UTC.")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A machine-local temporary folder is only used when the session is local and
-    the setting is unset (tests); on a cluster the setting is required.
+    Where the setting is unset, a folder below the warehouse, which every executor reaches too.
     """
     configured = spark.conf.get(_CHECKPOINT_DIR, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{_CHECKPOINT_DIR} must name a shared folder on a cluster.")
-    folder = tempfile.mkdtemp(prefix="tablelift-")
-    spark.conf.set(_CHECKPOINT_DIR, folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tablelift"
 
 
 def new_run_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one; never reused, so writes never overwrite."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def discard_written(spark: SparkSession) -> int:
+    """Remove the folders that this application wrote between steps, once no frame made from them is used any more."""
+    folders = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in folders:
+        path = hadoop.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
 
 
 def materialize(frame: DataFrame, label: str) -> DataFrame:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelift.operators.reconcile import report, validate
+from tablelift.operators.metrics import checks_frame, checks_of
+from tablelift.operators.reconcile import reconcile, report, validate
 from tablelift.plans.plan import Plan
 from tablelift.session import assert_session
-from tablelift.sinks.publish import publish
+from tablelift.sinks.publish import PublishRefused, insert, publish
 from tablelift.sinks.staging import TransferError, drop_staging, stage
 
+RUN_LOG = "RUN_LOG"
 STEP_SCHEMA = (
     "run_id string, step int, stage string, status string, rows bigint, detail string, plan_version int,"
     " plan_fingerprint string"
@@ -22,29 +25,56 @@ STEP_SCHEMA = (
 def load(source: DataFrame, plan: Plan, target: str, database: str, transport_id: str | uuid.UUID) -> DataFrame:
     """Stage, publish and drop staging. Stops at the first step that fails; the rest stay unrun.
 
-    Staging is dropped only after the insert committed or provably wrote nothing.
+    A run that was published before is not repeated: its evidence is read from the run log of the staging database.
+    Staging is dropped after the insert committed or provably wrote nothing; an insert of unknown outcome keeps it.
     """
     spark = source.sparkSession
     assert_session(spark)
-    steps: list[tuple] = []
+    run_id, steps = str(transport_id), []
 
     def record(stage_name: str, status: str, rows: int | None, detail: str | None) -> None:
-        run_id, number = str(transport_id), len(steps) + 1
-        steps.append((run_id, number, stage_name, status, rows, detail, plan.version, plan.fingerprint()))
+        steps.append((run_id, len(steps) + 1, stage_name, status, rows, detail, plan.version, plan.fingerprint()))
 
-    staged = None
+    earlier = run_log(spark, database).filter(F.col("run_id") == run_id)
+    published = earlier.filter("stage = 'EXECUTING' AND status = 'SUCCEEDED'").select("plan_fingerprint").distinct().collect()
+    if published:
+        if [row.plan_fingerprint for row in published] == [plan.fingerprint()]:
+            return replayed(earlier, run_id, plan)
+        record("STAGING", "FAILED", None, "RUN_ID_REUSED")
+        return spark.createDataFrame(steps, STEP_SCHEMA)
+    _run(source, plan, target, database, transport_id, record)
+    done = spark.createDataFrame(steps, STEP_SCHEMA)
+    insert(spark, done.coalesce(1), f"{database}.{RUN_LOG}")
+    return done
+
+
+def _run(source: DataFrame, plan: Plan, target: str, database: str, transport_id: str | uuid.UUID, record: Callable) -> None:
+    spark = source.sparkSession
     try:
         staged = stage(source, transport_id, database)
-        record("STAGING", "SUCCEEDED", staged.rows_written, staged.relation)
-        written = publish(staged.frame(spark), plan, target)
-        record("EXECUTING", "SUCCEEDED", written, target)
     except Exception as error:
-        category = error.category if isinstance(error, TransferError) else type(error).__name__
-        record("STAGING" if staged is None else "EXECUTING", "FAILED", None, category)
-    if staged is not None:
+        record("STAGING", "FAILED", None, error.category if isinstance(error, TransferError) else type(error).__name__)
+        return
+    record("STAGING", "SUCCEEDED", staged.rows_written, staged.relation)
+    try:
+        record("EXECUTING", "SUCCEEDED", publish(staged.frame(spark), plan, target), target)
+    except PublishRefused as error:
+        record("EXECUTING", "FAILED", None, type(error).__name__)
+    except Exception:
+        # Rows may have been written: what was staged is the proof and stays.
+        record("EXECUTING", "FAILED", None, "OUTCOME_UNCERTAIN")
+        return
+    try:
         drop_staging(spark, staged.relation, database)
         record("CLEANING_UP", "SUCCEEDED", None, staged.relation)
-    return spark.createDataFrame(steps, STEP_SCHEMA)
+    except Exception as error:
+        record("CLEANING_UP", "FAILED", None, type(error).__name__)
+
+
+def run_log(spark: SparkSession, database: str) -> DataFrame:
+    """Evidence of all runs over this staging database; the table is made at the first call."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{RUN_LOG} ({STEP_SCHEMA}) USING parquet")
+    return spark.table(f"{database}.{RUN_LOG}")
 
 
 def replayed(log: DataFrame, run_id: str, plan: Plan) -> DataFrame:
@@ -55,7 +85,15 @@ def replayed(log: DataFrame, run_id: str, plan: Plan) -> DataFrame:
 def full_run(
     spark: SparkSession, source: DataFrame, plan: Plan, target: str, database: str, transport_id: str | uuid.UUID
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(steps, checks, report) of one migration. Validation reads the live source and the target table."""
+    """(steps, checks, report) of one migration. Validation reads the live source and the target table.
+
+    Only a published run is validated. After a failed step every check is UNAVAILABLE and the report FAILED.
+    """
     steps = load(source, plan, target, database, transport_id)
-    checks = validate(source, spark.table(target), plan)
-    return steps, checks, report(checks, plan_version=plan.version)
+    failed = steps.filter("status = 'FAILED' AND stage <> 'CLEANING_UP'").count() > 0
+    if not failed:
+        checks = validate(source, spark.table(target), plan)
+        return steps, checks, report(checks, plan_version=plan.version)
+    nothing = spark.createDataFrame([], "check_id string, value bigint")
+    checks = reconcile(checks_frame(spark, checks_of(plan)), nothing, nothing)
+    return steps, checks, report(checks, plan_version=plan.version).withColumn("status", F.lit("FAILED"))

@@ -10,12 +10,15 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('warehouse')}"
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tablelift-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", folder)
+        .config("spark.checkpoint.dir", f"{folder}/shared")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")

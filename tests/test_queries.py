@@ -7,7 +7,9 @@ import pytest
 import __spark_entry__ as entry_module
 from tools.compare import connect, difference
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+MODULES = [importlib.import_module(f"tablelift.queries.{name}") for name in entry_module._MODULES]
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +18,8 @@ def database(sf_dir):
 
 
 def test_every_oracle_has_a_query_and_names_are_unique():
-    assert set(ORACLES) <= set(QUERIES)
-    modules = [importlib.import_module(f"tablelift.queries.{name}") for name in entry_module._MODULES]
-    assert sum(len(module.QUERIES) for module in modules) == len(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) and sum(len(module.QUERIES) for module in MODULES) == len(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 def test_entry_returns_the_reconciled_checks(spark):

@@ -16,7 +16,7 @@ from tablelift.sinks.staging import (
     TransferError, drop_staging, file_evidence, landed, stage, staging_database, staging_name, staging_schema, totals,
 )
 from tablelift.sources.jdbc import Relation, Split, scan_options
-from tablelift.sources.tables import columns_of, query, scan
+from tablelift.sources.tables import columns_of, is_cut, query, scan
 from tablelift.streaming.load import batch_evidence, load_stream, loaded, read_files
 from tablelift.workflow import full_run, load, replayed
 
@@ -93,7 +93,7 @@ def test_staging_types(spark):
     text = T.StringType()
     assert kinds == [T.ShortType(), T.DecimalType(6, 2), T.DoubleType(), text, text, text, T.BinaryType()]
     row = landed(frame).first()
-    assert (row.d, row.e, row.f) == ('{"a":2,"z":1}', "[2,1]", '{"y":1}')
+    assert (row.d, row.e, row.f) == ('{"a":2,"z":1}', "[2,1]", '{"x":null,"y":1}')
     with pytest.raises(UnsupportedTypeError):
         staging_schema(spark.sql("SELECT INTERVAL '1' DAY AS i").schema)
 
@@ -131,6 +131,32 @@ def test_failed_publish_still_cleans_up(spark, database):
     assert got == [("STAGING", "SUCCEEDED"), ("EXECUTING", "FAILED"), ("CLEANING_UP", "SUCCEEDED")]
 
 
+def test_a_failed_run_never_passes_and_is_not_validated(spark, database):
+    target, run = people(spark, database), uuid.uuid4()
+    publish(customers(spark), plan(), target)
+    stage(customers(spark), run, database)
+    steps, checks, result = full_run(spark, customers(spark), plan(), target, database, run)
+    assert [(row.stage, row.status, row.detail) for row in steps.collect()] == [("STAGING", "FAILED", "STAGING_EXISTS")]
+    assert result.first().status == "FAILED" and {row.status for row in checks.collect()} == {"UNAVAILABLE"}
+
+
+def test_a_published_run_is_not_repeated(spark, database):
+    target, run = people(spark, database), uuid.uuid4()
+    first = load(customers(spark), plan(), target, database, run).collect()
+    again = load(customers(spark), plan(), target, database, run)
+    assert sorted(again.collect()) == sorted(first) and spark.table(target).count() == 3
+    other = Plan("customers", "people", plan().approvals[:1])
+    reused = load(customers(spark), other, target, database, run).collect()
+    assert [(row.status, row.detail) for row in reused] == [("FAILED", "RUN_ID_REUSED")] and spark.table(target).count() == 3
+
+
+def test_staging_stays_where_the_outcome_is_unknown(spark, database):
+    run = uuid.uuid4()
+    steps = load(customers(spark), plan(), f"{database}.no_such_table", database, run).collect()
+    assert [(row.stage, row.status, row.detail) for row in steps][1:] == [("EXECUTING", "FAILED", "OUTCOME_UNCERTAIN")]
+    assert spark.catalog.tableExists(f"{database}.{staging_name(run)}")
+
+
 def test_null_violations(spark):
     frame = customers(spark, [(1, None), (2, None), (None, "x")])
     counts = {row.column_name: row.null_rows for row in null_violations(frame, ["customer_id", "full_name"]).collect()}
@@ -159,6 +185,9 @@ def test_lossy_casts(spark, value, source, target, lossy):
 def test_bounded_query_and_scan(spark):
     frame = spark.range(100)
     assert query(spark, "SELECT id FROM {f} WHERE id >= :low", {"low": 10}, max_rows=7, f=frame).count() == 7
+    wide = spark.range(20_000)
+    assert query(spark, "SELECT id FROM {f}", f=wide).count() == 20_000
+    assert is_cut(wide, 19_999) and not is_cut(wide, 20_000)
     assert scan(customers(spark), ["full_name"]).columns == ["full_name"]
     described = columns_of(spark, {"t": spark.sql("SELECT 1 AS a, CAST(1 AS DECIMAL(9,3)) AS b").schema}).collect()
     assert [(row.canonical_type, row.numeric_precision, row.numeric_scale) for row in described] == [
@@ -170,7 +199,9 @@ def test_jdbc_options():
     relation = Relation("snowflake", "S", 'a"b', "DB")
     options = scan_options("jdbc:x", relation, fetch_size=50_000, timeout_seconds=None, split=Split("id", "0", "9", 4))
     assert options["dbtable"] == '"DB"."S"."a""b"' and options["fetchsize"] == "10000"
-    assert options["numPartitions"] == "4" and options["queryTimeout"] == "30"
+    assert options["numPartitions"] == "4" and "queryTimeout" not in options
+    timed = scan_options("jdbc:x", relation, fetch_size=None, timeout_seconds=90, split=None)
+    assert timed["queryTimeout"] == "90"
     assert Relation("mysql", "d", "t", "d").quoted() == "`d`.`t`"
     for build in (
         lambda: Relation("mysql", "d", "t", "other"), lambda: Relation("mysql", "d", "t" * 65),
