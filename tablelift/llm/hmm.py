@@ -28,8 +28,8 @@ STATES, FREQUENT, CLASSES = 12, 1 << 16, 512
 SAMPLE_ROWS, SAMPLE_LONGEST, SAMPLE_ROUNDS = 1_500, 40_000, 12
 #: Baum-Welch rounds over all training texts.
 ROUNDS = 2
-#: Pull of emissions towards the words' overall shares, and of transitions towards staying, in counts.
-PULL, STAY = 50.0, 5.0
+#: Pull of transitions towards staying, in counts.
+STAY = 5.0
 #: Bytes of text whose chains run in step, and distinct words that a task counts before it hands them on.
 BLOCK, COUNTED = 2_000_000, 500_000
 
@@ -202,11 +202,15 @@ def expected(model: Hmm, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray
 
 
 def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.ndarray) -> Hmm:
-    """Probabilities from expected counts, pulled towards the overall shares, so that nothing is impossible."""
+    """Probabilities from expected counts; nothing is impossible.
+
+    A state's emissions are pulled towards the overall shares by as many counts as it has different symbols
+    (Witten and Bell), so that a state of few tokens trusts the shares and one of many trusts itself.
+    """
     states = len(start)
     start = start + 1.0
     move = move + STAY * np.eye(states) + 0.1
-    emit = emit + PULL * shares[:, None]
+    emit = emit + (np.minimum(emit, 1.0).sum(axis=0) + 1.0) * shares[:, None]
     return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 

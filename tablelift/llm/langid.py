@@ -199,6 +199,9 @@ def fit(sample: list[tuple[bytes, str]], seed: int = 7) -> CrfModel:
 
 def label_texts(model: CrfModel, texts: list[bytes]) -> dict:
     """Language, posterior share and number of label changes of each text."""
+    if not model.langs:
+        size = len(texts)
+        return {"lang_pred": pa.array(["und"] * size), "score": pa.array([0.0] * size), "n_switches": pa.array([0] * size, pa.int64())}
     parts, counts = [], []
     for start, end in blocks(texts, 1_000_000):
         letters, heads, found = words_of(texts[start:end])
@@ -210,12 +213,12 @@ def label_texts(model: CrfModel, texts: list[bytes]) -> dict:
     chains = np.repeat(np.column_stack((np.full(len(sizes), CHAIN), rest)).ravel(), np.column_stack((full, np.ones_like(full))).ravel())
     guess, _ = posteriors(model, scores, chains)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    share = np.stack([np.bincount(owner, guess[:, k], len(sizes)) for k in range(guess.shape[1])], 1)
+    share = np.stack([np.bincount(owner, guess[:, k], len(sizes)) for k in range(guess.shape[1])], 1).astype(float)
     share /= np.maximum(sizes, 1)[:, None]
     label = guess.argmax(axis=1)
     changes = np.bincount(owner[1:], (label[1:] != label[:-1]) & (owner[1:] == owner[:-1]), len(sizes)) if len(owner) else np.zeros(len(sizes))
-    known = [bool(len(model.langs)) and has_letter(text) and size > 0 for text, size in zip(texts, sizes, strict=True)]
-    best = share.argmax(axis=1) if len(model.langs) else np.zeros(len(sizes), int)
+    known = [has_letter(text) and size > 0 for text, size in zip(texts, sizes, strict=True)]
+    best = share.argmax(axis=1)
     return {
         "lang_pred": pa.array([model.langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)], pa.string()),
         "score": pa.array([float(min(1.0, share[i, k])) if ok else 0.0 for i, (k, ok) in enumerate(zip(best, known, strict=True))], pa.float64()),
