@@ -104,6 +104,26 @@ def richest(rows: DataFrame, identity: list[str]) -> DataFrame:
 
 def normalize_columns(rows: DataFrame, dialect: str) -> DataFrame:
     """Raw catalog column rows of one dialect as canonical columns."""
+    return rows.select(*_canonical_columns(rows, dialect))
+
+
+def normalize_catalogs(rows: DataFrame, dialects: tuple[str, ...] = ("postgresql", "mysql", "snowflake")) -> DataFrame:
+    """Raw column rows of several dialects, told apart by ``dialect``, as canonical columns in one pass.
+
+    Rows of other dialects are left out.
+    """
+    names = normalize_columns(rows, dialects[0]).columns
+    parts = [_canonical_columns(rows, dialect) for dialect in dialects]
+    fields = []
+    for place, name in enumerate(names):
+        value = F.when(F.col("dialect") == dialects[0], parts[0][place])
+        for dialect, part in zip(dialects[1:], parts[1:]):
+            value = value.when(F.col("dialect") == dialect, part[place])
+        fields.append(value.alias(name))
+    return rows.filter(F.col("dialect").isin(*dialects)).select(*fields)
+
+
+def _canonical_columns(rows: DataFrame, dialect: str) -> list[Column]:
     native = optional_text(pick(rows, "data_type", "native_type"))
     scale = optional_int(pick(rows, "numeric_scale"))
     canonical = canonical_type(dialect, native, scale)
@@ -116,9 +136,9 @@ def normalize_columns(rows: DataFrame, dialect: str) -> DataFrame:
     element = optional_text(pick(rows, "element_native_type", "array_element_type"))
     explicit_element = pick(rows, "element_canonical_type", "array_element_canonical_type")
     identity_flag = F.lit(None).cast("boolean") if dialect == "mysql" else optional_bool(identity)
-    return rows.select(
+    return [
         F.lit(dialect).alias("system"),
-        "table_id",
+        F.col("table_id"),
         optional_text(pick(rows, "column_name")).alias("column_name"),
         optional_int(pick(rows, "ordinal_position")).cast("int").alias("ordinal_position"),
         native.alias("native_type"),
@@ -135,7 +155,7 @@ def normalize_columns(rows: DataFrame, dialect: str) -> DataFrame:
         optional_int(pick(rows, "array_dimensions", "attndims")).cast("int").alias("array_dimensions"),
         element.alias("element_native_type"),
         element_type(dialect, explicit_element, element).alias("element_canonical_type"),
-    )
+    ]
 
 
 def is_readable_column() -> Column:
@@ -175,6 +195,25 @@ def facet_coverage(tables: DataFrame, facet: DataFrame | None, *, known: str = "
     )
 
 
+def facet_coverages(tables: DataFrame, facets: dict[str, DataFrame | None], *, known: str = "COMPLETE") -> DataFrame:
+    """One column of ``facet_coverage`` per facet. All facets meet the tables in one join."""
+    together = None
+    for name, frame in facets.items():
+        if frame is not None:
+            part = frame.select("table_id", F.lit(name).alias("facet"), "coverage")
+            together = part if together is None else together.unionByName(part)
+    result = tables.select("table_id")
+    if together is not None:
+        read = [name for name, frame in facets.items() if frame is not None]
+        wide = together.groupBy("table_id").agg(*[F.max(F.when(F.col("facet") == name, F.col("coverage"))).alias(name) for name in read])
+        result = result.join(wide, "table_id", "left")
+    values = {}
+    for name, frame in facets.items():
+        found = F.coalesce(name, F.lit("COMPLETE")) if frame is not None else F.lit("UNAVAILABLE")
+        values[name] = F.when(found == "COMPLETE", known if frame is not None and known != "COMPLETE" else "COMPLETE").otherwise(found)
+    return result.select("table_id", *[value.alias(name) for name, value in values.items()])
+
+
 # Object fields whose presence in the catalog rows proves a facet was read.
 _FACET_FIELDS = {
     "comments": ("comment", "table_comment", "object_comment"),

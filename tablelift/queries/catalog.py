@@ -12,9 +12,11 @@ from tablelift.operators.catalog import (
     base_tables,
     default_facets,
     facet_coverage,
+    facet_coverages,
     is_readable_column,
     live_columns,
     mark_membership,
+    normalize_catalogs,
     normalize_columns,
     objects,
     partitions,
@@ -198,11 +200,7 @@ def raw_columns(spark, sf_dir, dialect=None):
 
 def normalized(spark, sf_dir):
     """Raw rows of three dialects as one canonical frame."""
-    result = None
-    for dialect in ("postgresql", "mysql", "snowflake"):
-        part = normalize_columns(raw_columns(spark, sf_dir, dialect), dialect)
-        result = part if result is None else result.unionByName(part)
-    return result
+    return normalize_catalogs(raw_columns(spark, sf_dir))
 
 
 def native_type_counts(spark, sf_dir):
@@ -228,15 +226,7 @@ def keys(spark, sf_dir):
     return key_constraints(key_rows(spark, sf_dir)).withColumn("columns", F.array_join("columns", "|"))
 
 
-def coverage_frames(spark, sf_dir):
-    rows, foreign = key_rows(spark, sf_dir), on_spark(spark, sf_dir, FOREIGN_ROWS_SQL)
-    tables = table_ids(spark, sf_dir)
-    return {
-        "primary_key": facet_coverage(tables, key_coverage(rows, "p", strict=True)),
-        "unique_constraints": facet_coverage(tables, key_coverage(rows, "u")),
-        "foreign_keys": facet_coverage(tables, foreign_key_coverage(foreign)),
-        "check_constraints": facet_coverage(tables, None),
-    }
+FACETS = ("primary_key", "unique_constraints", "foreign_keys", "check_constraints")
 
 
 def table_ids(spark, sf_dir):
@@ -245,19 +235,16 @@ def table_ids(spark, sf_dir):
 
 def coverage(spark, sf_dir):
     """Coverage of four facets of every table; checks were never read."""
-    result = table_ids(spark, sf_dir)
-    for name, frame in coverage_frames(spark, sf_dir).items():
-        result = result.join(frame.withColumnRenamed("coverage", name), "table_id")
-    return result
+    rows, foreign = key_rows(spark, sf_dir), on_spark(spark, sf_dir, FOREIGN_ROWS_SQL)
+    read = (key_coverage(rows, "p", strict=True), key_coverage(rows, "u"), foreign_key_coverage(foreign), None)
+    return facet_coverages(table_ids(spark, sf_dir), dict(zip(FACETS, read)))
 
 
 def warning_codes(spark, sf_dir):
     """Sorted warnings of every table with an incomplete facet."""
-    frames = []
-    for name, frame in coverage_frames(spark, sf_dir).items():
-        code = F.when(F.col("coverage") != "COMPLETE", F.concat(F.lit(name.upper() + "_"), F.col("coverage")))
-        frames.append(frame.withColumn("warning", code))
-    joined = warnings(*frames)
+    long = coverage(spark, sf_dir).unpivot("table_id", list(FACETS), "facet", "coverage")
+    code = F.when(F.col("coverage") != "COMPLETE", F.concat(F.upper("facet"), F.lit("_"), F.col("coverage")))
+    joined = warnings(long.withColumn("warning", code))
     return joined.select(
         "table_id",
         F.array_join("warnings", ",").alias("warnings"),
