@@ -44,7 +44,7 @@ def default_rules() -> tuple[Rule, ...]:
     body, words = F.col("body"), F.col("n_words")
     return (
         Rule("symbols", F.col("n_symbols") > F.lit(0.1) * words),
-        Rule("duplicate_lines", _per(F.col("n_dup_lines"), F.col("n_lines")) > 0.3),
+        Rule("duplicate_lines", _per(F.col("n_dup_lines"), F.col("n_lines")) > 0.5),
         Rule("word_length", (F.col("word_chars") > F.lit(15) * words) | (F.col("word_chars") < F.lit(2) * words)),
         Rule("exclamations", _matches(body, r"[^!]+") > F.lit(0.1) * words),
         Rule("capitals", _matches(body, r"[^A-Z]+") > F.lit(0.5) * F.col("word_chars")),
@@ -80,10 +80,11 @@ def measured(documents: DataFrame) -> DataFrame:
     split = split.withColumn("words", F.filter(F.split("body", _SPACE), lambda word: word != ""))
     split = split.withColumn("lines", F.filter(F.split("body", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     size = F.size("words")
-    hashed = F.transform(
-        F.slice("words", F.lit(1), F.greatest(size - 2, F.lit(0))),
-        lambda word, i: F.xxhash64(word, F.get("words", i + 1), F.get("words", i + 2)),
-    )
+    # Zipped slices, not places inside a lambda: a filter on the result may be moved below and evaluated there, and
+    # would split the text again at every place.
+    count = F.greatest(size - 2, F.lit(0))
+    zipped = F.arrays_zip(*(F.slice("words", F.lit(first), count).alias(f"w{first}") for first in (1, 2, 3)))
+    hashed = F.transform(zipped, lambda three: F.xxhash64(three["w1"], three["w2"], three["w3"]))
     split = split.withColumn("windows", hashed)
     return split.select(
         *documents.columns,
@@ -163,7 +164,7 @@ WITH split AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR n_symbols > 0.1 * n_words
-            OR (n_lines > 0 AND n_dup_lines / n_lines > 0.3)
+            OR (n_lines > 0 AND n_dup_lines / n_lines > 0.5)
             OR word_chars > 15 * n_words OR word_chars < 2 * n_words
             OR length(regexp_replace(body, '[^!]+', '', 'g')) > 0.1 * n_words
             OR length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 0.5 * word_chars
