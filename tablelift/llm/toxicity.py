@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -15,16 +17,23 @@ from tablelift.llm.text import map_texts, sampled_texts
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 #: Documents per label value, and the longest of them, in the bounded sample that the log-odds are learned from.
-SAMPLE_ROWS, SAMPLE_LONGEST = 6_000, 200_000
-#: Weight of the Dirichlet prior in words: a word's prior count is its share of the sample times this.
-PRIOR_WORDS = 2_000.0
+SAMPLE_ROWS, SAMPLE_LONGEST = 4_000, 200_000
+#: Weight of the Dirichlet prior: a part's prior count on either side is this share of its count in the sample.
+PRIOR_SHARE = 0.03
 #: Standard errors by which a log-odds must lie above zero to count, and the score of any other word.
 Z_LEAST, OTHER = 3.0, -0.35
+#: Best segments of a text that are weighed together, and the evidence beyond which more does not count.
+TOP, MOST_EVIDENCE = 8, 40.0
+#: Folds of the sample that the calibration is fitted over.
+FOLDS = 5
+#: Lengths in bytes of the word beginnings that have log-odds of their own, for words that take many endings; the
+#: toxic documents of the sample that a word or beginning must occur in; words that a task remembers scores of.
+BEGINNINGS, LEAST_DOCUMENTS, REMEMBERED = (4, 5, 6, 7), 4, 500_000
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """weights: log-odds of words that stand out; rate, constant: of the extreme-value law; slope, offset: its link."""
+    """weights: log-odds of words and beginnings that stand out; rate, constant: of the extreme-value law; slope, offset: its link."""
 
     weights: dict
     rate: float
@@ -62,8 +71,28 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(start, end, after - before) for start, end, before, after in stack]
 
 
-def _word_scores(text: bytes, weights: dict) -> np.ndarray:
-    return np.array([weights.get(word, OTHER) for word in _WORD.findall(text.lower())], dtype=float)
+def _parts(word: bytes) -> list[bytes]:
+    """The word, and its beginnings marked as such."""
+    return [word, *(word[:size] + b"*" for size in BEGINNINGS if len(word) > size)]
+
+
+class WordScores(dict):
+    """Score of a word: the best log-odds of the word and its beginnings, else OTHER."""
+
+    def __init__(self, weights: dict) -> None:
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        score = max([self.weights.get(part, OTHER) for part in _parts(word)])
+        self[word] = score
+        return score
+
+
+def _word_scores(text: bytes, known: WordScores) -> np.ndarray:
+    return np.array([known[word] for word in _WORD.findall(text.lower())], dtype=float)
 
 
 def best_segment(scores: np.ndarray) -> float:
@@ -74,42 +103,69 @@ def best_segment(scores: np.ndarray) -> float:
     return float((totals[1:] - np.minimum.accumulate(totals[:-1])).max())
 
 
-def fit(rows: list[tuple[bytes, int]]) -> ToxicModel:
-    """Fit on (text, label) rows; without rows of both labels every document scores alike, far below any threshold."""
-    toxic = np.array([bool(label) for _, label in rows], dtype=bool)
-    if not len(rows) or toxic.all() or not toxic.any():
-        return ToxicModel({}, 1.0, 1.0, 0.0, -4.0 if not toxic.all() or not len(rows) else 4.0)
-    # A word counts once per document, so that a repeated passage is not taken for many witnesses.
-    sides = (Counter(), Counter())
-    seen: set[tuple[bytes, ...]] = set()
-    for (text, _), label in zip(rows, toxic, strict=True):
-        words = tuple(sorted(set(_WORD.findall(text.lower()))))
-        if (words, label) not in seen:
-            seen.add((words, label))
-            sides[int(label)].update(words)
-    both = sides[0] + sides[1]
-    totals, everything = [sum(side.values()) for side in sides], sum(both.values())
+def log_odds(texts: list[bytes], toxic: np.ndarray) -> dict[bytes, float]:
+    """Log-odds of the words and beginnings that stand out on the toxic side, under an informative Dirichlet prior."""
+    # A part counts once per document, and a document once, so that copies are not taken for many witnesses.
+    # Parts of few toxic documents cannot stand out, so the clean side counts only what is left of the toxic side.
+    documents: dict[bool, dict[int, bytes]] = {False: {}, True: {}}
+    for text, label in zip(texts, toxic.tolist(), strict=True):
+        documents[label][hash(frozenset(_WORD.findall(text.lower())))] = text
+    sides, totals = (Counter(), Counter()), [0, 0]
+    for label in (True, False):
+        for text in documents[label].values():
+            found = {part for word in set(_WORD.findall(text.lower())) for part in _parts(word)}
+            totals[label] += len(found)
+            sides[label].update(found if label else found & sides[True].keys())
+        if label:
+            for part in [part for part, count in sides[True].items() if count < LEAST_DOCUMENTS]:
+                del sides[True][part]
+    prior_total = PRIOR_SHARE * sum(totals)
     weights = {}
-    for word, count in both.items():
-        prior = PRIOR_WORDS * count / everything
+    for word in sides[True]:
+        prior = PRIOR_SHARE * (sides[0][word] + sides[1][word])
         odds, errors = [], 0.0
         for side, total in zip(sides, totals, strict=True):
             seen_here = side[word] + prior
-            odds.append(np.log(seen_here / (total + PRIOR_WORDS - seen_here)))
+            odds.append(np.log(seen_here / (total + prior_total - seen_here)))
             errors += 1 / seen_here
         gap = float(odds[1] - odds[0])
         if gap - Z_LEAST * errors**0.5 > 0 and gap > 1.0:
             weights[word] = gap
-    scores = [_word_scores(text, weights) for text, _ in rows]
-    best, lengths = np.array([best_segment(one) for one in scores]), np.array([max(1, len(one)) for one in scores])
+    return weights
+
+
+def top_segments(scores: np.ndarray) -> np.ndarray:
+    """Scores of the best segments, the best first; as many as the calibration looks at."""
+    if not len(scores) or scores.max() <= 0:
+        return np.zeros(0)
+    return np.sort(np.array([score for _, _, score in segments(scores)]))[::-1][:TOP]
+
+
+def fit(rows: list[tuple[bytes, int]]) -> ToxicModel:
+    """Fit on (text, label) rows; without rows of both labels every document scores alike, far below any threshold."""
+    toxic = np.array([bool(label) for _, label in rows], dtype=bool)
+    if not len(rows) or toxic.all() or not toxic.any():
+        return ToxicModel({}, 1.0, 1.0, 0.0, -4.0 if not toxic.all() or not len(rows) else 4.0)
+    # Words chosen on a text look better on it than on others: the law and its link are fitted on scores of each fold
+    # of the sample by the words of the other folds.
+    fold = np.array([zlib.crc32(text) % FOLDS for text, _ in rows])
+    scores = [np.zeros(0)] * len(rows)
+    for side in (fold != number for number in range(FOLDS)):
+        own = side if toxic[side].any() and not toxic[side].all() else np.ones(len(rows), bool)
+        known = WordScores(log_odds([row[0] for row, is_own in zip(rows, own, strict=True) if is_own], toxic[own]))
+        for place in np.flatnonzero(~side):
+            scores[place] = _word_scores(rows[place][0], known)
+    found, lengths = [top_segments(one) for one in scores], [max(1, len(one)) for one in scores]
     rate = _rate(scores, toxic)
     # Of clean documents: the number of segments above a score s is about constant * words * exp(-rate * s).
-    clean = ~toxic
-    level = float(np.median(best[clean & (best > 0)])) if (clean & (best > 0)).any() else 1.0
-    constant = max(1e-6, float((best[clean] >= level).sum()) / float(lengths[clean].sum())) * float(np.exp(rate * level))
-    evidence = _evidence(best, lengths, rate, constant)
+    clean = np.flatnonzero(~toxic)
+    chance = np.sort(np.concatenate([found[place] for place in clean]))
+    words = sum(lengths[place] for place in clean)
+    level = float(np.median(chance)) if len(chance) else 1.0
+    constant = max(1.0, float((chance >= level).sum())) / words * float(np.exp(rate * level))
+    evidence = np.array([_evidence(one, size, rate, constant) for one, size in zip(found, lengths, strict=True)])
     slope, offset = _logistic(evidence, toxic.astype(float))
-    return ToxicModel(weights, rate, constant, slope, offset)
+    return ToxicModel(log_odds([text for text, _ in rows], toxic), rate, constant, slope, offset)
 
 
 def _rate(scores: list[np.ndarray], toxic: np.ndarray) -> float:
@@ -127,15 +183,27 @@ def _rate(scores: list[np.ndarray], toxic: np.ndarray) -> float:
     return low
 
 
-def _evidence(best: np.ndarray, lengths: np.ndarray, rate: float, constant: float) -> np.ndarray:
-    """Minus log of the chance that a clean document of this length has a segment at least as good."""
-    expected = np.maximum(constant * lengths * np.exp(-rate * best), 1e-300)
-    return np.where(best > 0, -np.log(-np.expm1(-expected) + 1e-300), 0.0)
+def _evidence(scores: np.ndarray, length: int, rate: float, constant: float) -> float:
+    """Minus log of the least chance, over r, that a clean text of this length has r segments as good as the r-th best.
+
+    Segments above a score come by chance like a Poisson law whose mean is the extreme-value expectation.
+    """
+    most = 0.0
+    for r, score in enumerate(scores.tolist(), 1):
+        mean = constant * length * math.exp(-rate * score)
+        term = math.exp(r * math.log(mean) - mean - math.lgamma(r + 1)) if mean > 1e-250 else 0.0
+        total, k = 0.0, r
+        while term > 1e-18 * total and k < r + 500:
+            total += term
+            k += 1
+            term *= mean / k
+        most = max(most, -math.log(min(1.0, max(total, 1e-250))))
+    return min(most, MOST_EVIDENCE)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Newton steps on a logistic link with a weak pull of the slope to 0."""
-    design, beta = np.column_stack((np.minimum(x, 40.0), np.ones_like(x))), np.zeros(2)
+    design, beta = np.column_stack((x, np.ones_like(x))), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         weight = np.maximum(p * (1 - p), 1e-9)
@@ -149,17 +217,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 SCHEMA = "score double, predicted int, n_segments long, segments array<struct<start: long, end: long, score: double>>"
 
 
-def score_texts(model: ToxicModel, texts: list[bytes], threshold: float) -> dict:
-    best, lengths, found = [], [], []
+def score_texts(model: ToxicModel, texts: list[bytes], threshold: float, known: WordScores | None = None) -> dict:
+    known = WordScores(model.weights) if known is None else known
+    evidence, found = [], []
     for text in texts:
-        scores = _word_scores(text, model.weights)
-        lengths.append(max(1, len(scores)))
-        best.append(best_segment(scores))
-        parts = segments(scores) if best[-1] > 0 else []
-        limit = model.constant * lengths[-1]
+        scores = _word_scores(text, known)
+        length = max(1, len(scores))
+        evidence.append(_evidence(top_segments(scores), length, model.rate, model.constant))
+        parts = segments(scores) if evidence[-1] > 0 else []
+        limit = model.constant * length
         found.append([{"start": a, "end": b, "score": s} for a, b, s in parts if limit * np.exp(-model.rate * s) <= 0.5])
-    evidence = _evidence(np.array(best, dtype=float), np.array(lengths, dtype=float), model.rate, model.constant)
-    score = 1 / (1 + np.exp(-np.clip(model.slope * np.minimum(evidence, 40.0) + model.offset, -30, 30)))
+    score = 1 / (1 + np.exp(-np.clip(model.slope * np.array(evidence, dtype=float) + model.offset, -30, 30)))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     return {
         "score": pa.array(score, pa.float64()),
@@ -180,4 +248,5 @@ def score_toxicity(documents: DataFrame, model: ToxicModel, threshold: float = 0
     One row per row of ``documents`` with all columns but text. A null, empty or wordless text scores as a document
     without any segment. Ties between segments are kept as the single pass finds them; repeated rows repeat.
     """
-    return map_texts(documents, lambda texts: score_texts(model, texts, threshold), SCHEMA)
+    known = WordScores(model.weights)
+    return map_texts(documents, lambda texts: score_texts(model, texts, threshold, known), SCHEMA)
