@@ -241,6 +241,6 @@ def identify_language(documents: DataFrame, model: CrfModel) -> DataFrame:
     return map_texts(documents, lambda texts: label_texts(model, texts), "lang_pred string, score double, n_switches long")
 
 
-def accepted(found: DataFrame) -> DataFrame:
-    """Rows whose language could be told: there is a letter, and one language holds most of the words."""
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
+def accepted(found: DataFrame, least: float = 0.3) -> DataFrame:
+    """Rows whose language could be told: there is a letter, and one language holds the least share of the words."""
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))

@@ -45,8 +45,10 @@ def sampled_texts(documents: DataFrame, labelled: DataFrame, label: str, rows: i
     ``labelled`` (doc_id, label) is cut to ``rows`` rows per label before it meets the texts. Texts of more than
     ``longest`` characters stay out of the sample; it bounds the driver's memory to rows * longest per label.
     """
-    chosen = F.broadcast(bounded_ids(labelled, label, rows))
+    chosen = F.broadcast(bounded_ids(labelled, label, rows).dropDuplicates(["doc_id"]))
     found = documents.select("doc_id", "text").join(chosen, "doc_id").filter(F.length("text") <= longest)
+    # An id that many rows repeat is one row of the sample.
+    found = found.dropDuplicates(["doc_id"])
     rows_ = [(row["text"].encode(), row[label]) for row in found.select("text", label).toLocalIterator()]
     return sorted(rows_, key=lambda row: (str(row[1]), row[0]))
 
