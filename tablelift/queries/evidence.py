@@ -187,7 +187,7 @@ def stage_steps(spark, sf_dir):
     """Stage changes of the jobs of one workflow, in queue order, that skip or repeat a stage."""
     log = jobs(spark, sf_dir)
     chained = running(
-        log, ["workflow_id"], ["queued_at", "job_id"], F.date_trunc("year", "queued_at"), previous={"previous_stage": "stage"}
+        log, ["workflow_id"], ["queued_at", "job_id"], F.date_trunc("day", "queued_at"), previous={"previous_stage": "stage"}
     )
     allowed = is_allowed(F.col("previous_stage"), F.col("stage"), JOB_TRANSITIONS)
     return chained.filter(F.col("previous_stage").isNotNull()).select(

@@ -32,7 +32,8 @@ def _check(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iter
         "TIME_NOT_GROWING": after["updated_at"] <= before["updated_at"],
         "ESTIMATE_CHANGED": after["total_rows_estimate"] != before["total_rows_estimate"],
     }
-    last = arrived.iloc[-1]
+    # The latest by its own time: a snapshot that comes late is reported, but never replaces a newer one.
+    last = arrived.loc[arrived["updated_at"].idxmax()]
     state.update(
         (int(last["batches_completed"]), int(last["rows_read"]), int(last["total_rows_estimate"]), last["updated_at"])
     )

@@ -151,6 +151,18 @@ def test_progress_stream_keeps_state_between_batches(spark):
     ]
 
 
+def test_a_late_snapshot_does_not_replace_a_newer_one(spark):
+    run = new_run_dir(spark, "progress-late")
+    for batches, second in ((5, 5), (3, 3), (6, 6)):
+        frame = spark.createDataFrame([(9, batches, batches * 10, 100)], "job_id bigint, batches_completed bigint, rows_read bigint, total_rows_estimate bigint")
+        frame = frame.withColumn("updated_at", F.timestamp_seconds(F.lit(1704067200 + second)))
+        frame.coalesce(1).write.mode("append").parquet(f"{run}/in")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{run}/in")
+        run_to_files(progress_stream(stream), f"{run}/out", f"{run}/state")
+    got = sorted((row.batches_completed, row.violation) for row in spark.read.parquet(f"{run}/out").collect())
+    assert got == [(3, "BATCHES_NOT_GROWING"), (3, "ROWS_NOT_GROWING"), (3, "TIME_NOT_GROWING")]
+
+
 @pytest.mark.parametrize("read,estimate,expected", [(5, None, None), (5, 0, 100), (1, 3, 33), (9, 3, 100), (0, 7, 0)])
 def test_percent(spark, read, estimate, expected):
     frame = spark.createDataFrame([(read, estimate)], "r bigint, e bigint")
