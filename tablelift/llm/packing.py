@@ -33,9 +33,10 @@ END_ID = 2
 #: Pieces that are ranked together, and the most such groups per bin.
 RANKED, RANK_GROUPS = 1000, 4096
 #: Entries after which a worker's cache of tokenized words is started anew.
-CACHED = 1_200_000
+CACHED = 1_000_000
 
 _PLAIN = re.compile("([a-zß-öø-ÿ]*)([!#$%&()*+,\\-./:;=?@\\[\\]^_`{|}~]*)")
+_WIDE = re.compile("[^\x00-ÿ]")
 _caches: dict[int, "WordTokens"] = {}
 
 
@@ -64,9 +65,16 @@ class WordTokens:
 
     def learn(self, unknown: set[bytes]) -> None:
         plain, missing, parts = [], set(), self.parts
-        for word in unknown:
-            found = self.suffix and _PLAIN.fullmatch(low := _lower(word))
-            if found and low:
+        order = list(unknown)
+        # All words are lower-cased at once: no Latin-1 letter changes into a blank or into several letters.
+        text = b" ".join(order).decode()
+        if _WIDE.search(text):
+            order = [word for word in order if not _WIDE.search(word.decode())]
+            text = b" ".join(order).decode()
+            for word in unknown.difference(order):
+                self.words[word] = self._encode(word.decode()).tobytes()
+        for word, found in zip(order, map(_PLAIN.fullmatch, text.lower().split(" ") if order else ()), strict=True):
+            if found and self.suffix:
                 letters, marks = found.groups()
                 plain.append((word, letters, marks))
                 if letters not in parts:
@@ -102,12 +110,6 @@ class WordTokens:
         return [b"".join(map(known, words)) for words in split]
 
 
-def _lower(word: bytes) -> str:
-    """Lower case of words of ASCII and Latin-1 letters; others keep a letter that no plain word has."""
-    text = word.decode()
-    return text.lower() if text.isascii() or max(text) <= "ÿ" else "Ā"
-
-
 def _worker_tokens(tokenizer_json: str) -> WordTokens:
     key = zlib.crc32(tokenizer_json.encode())
     if key not in _caches:
@@ -138,7 +140,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer_json: str) -> DataFrame:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            for begin, stop in blocks(texts, 1_000_000):
+            for begin, stop in blocks(texts):
                 rows, owner = [], []
                 for place, ids in enumerate(tokens.encode(texts[begin:stop]), begin):
                     ids += end
