@@ -6,11 +6,12 @@ import math
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablelift.llm.text import map_texts, sampled_texts
 
@@ -25,7 +26,7 @@ Z_LEAST, OTHER = 3.0, -0.35
 #: Best segments of a text that are weighed together, and the evidence beyond which more does not count.
 TOP, MOST_EVIDENCE = 8, 40.0
 #: Folds of the sample that the calibration is fitted over.
-FOLDS = 5
+FOLDS = 4
 #: Lengths in bytes of the word beginnings that have log-odds of their own, for words that take many endings; the
 #: toxic documents of the sample that a word or beginning must occur in; words that a task remembers scores of.
 BEGINNINGS, LEAST_DOCUMENTS, REMEMBERED = (4, 5, 6, 7), 4, 500_000
@@ -238,8 +239,19 @@ def score_texts(model: ToxicModel, texts: list[bytes], threshold: float, known:
 
 
 def learn(documents: DataFrame, labelled: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_LONGEST) -> ToxicModel:
-    """Fit on a bounded sample of ``labelled`` (doc_id, label 0/1; null labels are ignored)."""
-    return fit(sampled_texts(documents, labelled.dropna(), "label", rows, longest))
+    """Fit on a bounded sample of ``labelled`` (doc_id, label 0/1; null labels are ignored).
+
+    The sample holds more toxic documents than the table; the link's offset is moved back to the table's share.
+    """
+    known = labelled.dropna()
+    sample = sampled_texts(documents, known, "label", rows, longest)
+    model = fit(sample)
+    toxic, every = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    drawn = sum(1 for _, label in sample if label)
+    if not (0 < drawn < len(sample) and 0 < toxic < every):
+        return model
+    shift = math.log(toxic / (every - toxic)) - math.log(drawn / (len(sample) - drawn))
+    return replace(model, offset=model.offset + shift)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
