@@ -33,7 +33,7 @@ END_ID = 2
 #: Pieces that are ranked together, and the most such groups per bin.
 RANKED, RANK_GROUPS = 1000, 4096
 #: Entries after which a worker's cache of tokenized words is started anew.
-CACHED = 1_000_000
+CACHED = 700_000
 
 _PLAIN = re.compile("([a-zß-öø-ÿ]*)([!#$%&()*+,\\-./:;=?@\\[\\]^_`{|}~]*)")
 _WIDE = re.compile("[^\x00-ÿ]")
