@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelift.llm.text import as_bytes, blocks, ship_package
+from tablelift.llm.text import as_bytes, blocks, held, ship_package
 from tablelift.session import materialize
 
 #: Latent states, most frequent words that are symbols of their own, classes of the other words.
@@ -34,7 +34,6 @@ STAY = 5.0
 BLOCK, COUNTED = 2_000_000, 500_000
 
 _KEY = "_row"
-_lexicons: dict[str, dict] = {}
 
 
 def word_class(word: bytes) -> int:
@@ -118,10 +117,7 @@ def lexicon(counts: DataFrame, frequent: int = FREQUENT) -> Lexicon:
 
 def _numbers(lexicon_: Lexicon) -> dict:
     """Word to symbol, built once per worker and lexicon."""
-    if lexicon_.key not in _lexicons:
-        _lexicons.clear()
-        _lexicons[lexicon_.key] = {word: place for place, word in enumerate(lexicon_.words)}
-    return _lexicons[lexicon_.key]
+    return held(lexicon_.key, lambda: {word: place for place, word in enumerate(lexicon_.words)})
 
 
 def symbols_of(lexicon_: Lexicon, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelift.llm.text import as_bytes, blocks, ship_package
+from tablelift.llm.text import as_bytes, blocks, held, ship_package
 from tablelift.session import materialize
 
 #: Tokens of a sequence, tokens of a bin, parts of an enumerated combination.
@@ -37,7 +37,6 @@ CACHED = 700_000
 
 _PLAIN = re.compile("([a-zß-öø-ÿ]*)([!#$%&()*+,\\-./:;=?@\\[\\]^_`{|}~]*)")
 _WIDE = re.compile("[^\x00-ÿ]")
-_caches: dict[int, "WordTokens"] = {}
 
 
 class WordTokens:
@@ -111,10 +110,7 @@ class WordTokens:
 
 
 def _worker_tokens(tokenizer_json: str) -> WordTokens:
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _caches:
-        _caches[key] = WordTokens(tokenizer_json)
-    return _caches[key]
+    return held(zlib.crc32(tokenizer_json.encode()), lambda: WordTokens(tokenizer_json))
 
 
 def tokenizer_json(path: str | None = None) -> str:

@@ -53,6 +53,23 @@ def sampled_texts(documents: DataFrame, labelled: DataFrame, label: str, rows: i
     return sorted(rows_, key=lambda row: (str(row[1]), row[0]))
 
 
+#: What a Python worker keeps from one task to the next: one thing at a time, for the operator that runs.
+_held: dict = {}
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """The thing kept under ``key``, built anew if another operator ran in between."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of what another operator kept in this worker."""
+    _held.clear()
+
+
 def blocks(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about ``limit`` bytes."""
     start = size = 0
@@ -95,6 +112,7 @@ def map_texts(frame: DataFrame, function: Callable[[list[bytes]], dict], schema:
     head = ", ".join(f"`{name}` {frame.schema[name].dataType.simpleString()}" for name in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
             for start, end in blocks(texts):
