@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelift.llm.text import map_texts
+from tablelift.llm.text import ROW, map_texts, numbered
 from tablelift.session import materialize
 
 #: Differing bits that still link; one less than a power of two, so that a full counter is an overflow.
@@ -198,7 +198,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``documents`` that name their component: one document of each group of near copies stays.
 
-    Of repeated rows of one doc_id one stays. A row without doc_id stays only if its whole component has none.
+    doc_id tells documents apart: of repeated rows of one doc_id one stays, and all rows without one are one document.
+    Where ids can be null or stand on several texts, use ``without_copies``.
     """
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = kept.withColumnRenamed("doc_id", "_kept")
@@ -206,6 +207,14 @@ def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
     return chosen.dropDuplicates(["doc_id"])
 
 
+def without_copies(documents: DataFrame) -> DataFrame:
+    """Exactly one row of each component of near copies: that of the smallest doc_id, one without id if none has any."""
+    rows = numbered(documents)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.number").alias("_kept"))
+    return rows.join(kept, rows[ROW]["number"] == kept["_kept"], "left_semi").drop(ROW)
+
+
 def brute_force(texts: dict[int, bytes]) -> dict[int, tuple[str, int]]:
     """doc_id to (fingerprint, component_id) by comparing all pairs; for tests."""
     marks = {doc_id: fingerprint(text) for doc_id, text in texts.items()}

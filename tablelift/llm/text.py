@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelift.session import materialize
+
 #: Bytes of text that a Python task works on at once. A longer text is a batch of its own.
 BATCH_BYTES = 4_000_000
 
@@ -24,6 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Column with the key that a stage gives its rows.
+ROW = "_row"
+
+
+def numbered(frame: DataFrame) -> DataFrame:
+    """``frame`` written once with a key of its own for each row in ROW, whatever its ids: null, or on many rows.
+
+    Keys are ordered by doc_id, rows without one come last.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("number"))
+    return materialize(frame.withColumn(ROW, key), "numbered")
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """CRC32 of the id's text modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -76,3 +76,13 @@ def test_odd_rows(odd, empty):
     kept = simhash.one_of_each(odd, simhash.near_duplicates(odd))
     assert sorted(str(row["doc_id"]) for row in kept.collect()) == sorted(map(str, {v["component_id"] for v in rows}))
     assert kept.columns == odd.columns
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    texts = [" ".join(f"{word}{k}" for k in range(30)) for word in "abcdefg"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[4]), (7, texts[5])]
+    frame = spark.createDataFrame([(*row, "x") for row in rows], "doc_id long, text string, score string").repartition(3)
+    kept = simhash.without_copies(frame)
+    expected = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[5])]
+    assert sorted(map(str, ((row["doc_id"], row["text"]) for row in kept.collect()))) == sorted(map(str, expected))
+    assert kept.columns == frame.columns
