@@ -23,8 +23,8 @@ SAMPLE_ROWS, SAMPLE_LONGEST = 4_000, 200_000
 PRIOR_SHARE = 0.03
 #: Standard errors by which a log-odds must lie above zero to count, and the score of any other word.
 Z_LEAST, OTHER = 3.0, -0.35
-#: Best segments of a text that are weighed together, and the evidence beyond which more does not count.
-TOP, MOST_EVIDENCE = 8, 40.0
+#: Evidence beyond which more does not count.
+MOST_EVIDENCE = 40.0
 #: Folds of the sample that the calibration is fitted over.
 FOLDS = 4
 #: Lengths in bytes of the word beginnings that have log-odds of their own, for words that take many endings; the
@@ -135,11 +135,9 @@ def log_odds(texts: list[bytes], toxic: np.ndarray) -> dict[bytes, float]:
     return weights
 
 
-def top_segments(scores: np.ndarray) -> np.ndarray:
-    """Scores of the best segments, the best first; as many as the calibration looks at."""
-    if not len(scores) or scores.max() <= 0:
-        return np.zeros(0)
-    return np.sort(np.array([score for _, _, score in segments(scores)]))[::-1][:TOP]
+def segment_scores(scores: np.ndarray) -> np.ndarray:
+    """Scores of all segments, the best first."""
+    return np.sort(np.array([score for _, _, score in segments(scores)], dtype=float))[::-1]
 
 
 def fit(rows: list[tuple[bytes, int]]) -> ToxicModel:
@@ -156,7 +154,7 @@ def fit(rows: list[tuple[bytes, int]]) -> ToxicModel:
         known = WordScores(log_odds([row[0] for row, is_own in zip(rows, own, strict=True) if is_own], toxic[own]))
         for place in np.flatnonzero(~side):
             scores[place] = _word_scores(rows[place][0], known)
-    found, lengths = [top_segments(one) for one in scores], [max(1, len(one)) for one in scores]
+    found, lengths = [segment_scores(one) for one in scores], [max(1, len(one)) for one in scores]
     rate = _rate(scores, toxic)
     # Of clean documents: the number of segments above a score s is about constant * words * exp(-rate * s).
     clean = np.flatnonzero(~toxic)
@@ -184,22 +182,34 @@ def _rate(scores: list[np.ndarray], toxic: np.ndarray) -> float:
     return low
 
 
+def _tails(mean: np.ndarray) -> np.ndarray:
+    """Minus log of the chance that a Poisson law of mean[r - 1] gives r or more, for r = 1, 2, ..."""
+    r = np.arange(1, len(mean) + 1, dtype=float)
+    # Above the mean the terms from r on fall, below it those from r - 1 down do: either sum starts with its largest.
+    upper = r > mean
+    first = np.where(upper, r, r - 1)
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(r))))[first.astype(int)]
+    log_term = first * np.log(mean) - mean - log_factorial
+    term, total, step, open_ = np.ones(len(r)), np.ones(len(r)), 0, np.arange(len(r))
+    while len(open_):
+        at, m = first[open_], mean[open_]
+        term[open_] *= np.where(upper[open_], m / (at + step + 1), np.maximum(at - step, 0) / m)
+        total[open_] += term[open_]
+        step += 1
+        open_ = open_[term[open_] > 1e-16 * total[open_]]
+    log_sum = np.minimum(log_term + np.log(total), 0.0)
+    return np.where(upper, -log_sum, -np.log1p(-np.minimum(np.exp(log_sum), 1 - 1e-16)))
+
+
 def _evidence(scores: np.ndarray, length: int, rate: float, constant: float) -> float:
-    """Minus log of the least chance, over r, that a clean text of this length has r segments as good as the r-th best.
+    """Minus log of the least chance, over all r, that a clean text of this length has r segments as good as the r-th best.
 
     Segments above a score come by chance like a Poisson law whose mean is the extreme-value expectation.
     """
-    most = 0.0
-    for r, score in enumerate(scores.tolist(), 1):
-        mean = constant * length * math.exp(-rate * score)
-        term = math.exp(r * math.log(mean) - mean - math.lgamma(r + 1)) if mean > 1e-250 else 0.0
-        total, k = 0.0, r
-        while term > 1e-18 * total and k < r + 500:
-            total += term
-            k += 1
-            term *= mean / k
-        most = max(most, -math.log(min(1.0, max(total, 1e-250))))
-    return min(most, MOST_EVIDENCE)
+    if not len(scores):
+        return 0.0
+    mean = np.maximum(constant * length * np.exp(-rate * scores), 1e-250)
+    return float(min(max(0.0, _tails(mean).max()), MOST_EVIDENCE))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -224,8 +234,9 @@ def score_texts(model: ToxicModel, texts: list[bytes], threshold: float, known:
     for text in texts:
         scores = _word_scores(text, known)
         length = max(1, len(scores))
-        evidence.append(_evidence(top_segments(scores), length, model.rate, model.constant))
-        parts = segments(scores) if evidence[-1] > 0 else []
+        parts = segments(scores)
+        strength = np.sort(np.array([s for _, _, s in parts], dtype=float))[::-1]
+        evidence.append(_evidence(strength, length, model.rate, model.constant))
         limit = model.constant * length
         found.append([{"start": a, "end": b, "score": s} for a, b, s in parts if limit * np.exp(-model.rate * s) <= 0.5])
     score = 1 / (1 + np.exp(-np.clip(model.slope * np.array(evidence, dtype=float) + model.offset, -30, 30)))

@@ -75,3 +75,33 @@ def test_held_out_rows(spark):
     clean = found.filter("label = 0")
     assert clean.filter("predicted = 0").count() / clean.count() > 0.97
     assert found.filter("label = 1 AND predicted = 1").count() >= 0.5 * found.filter("label = 1").count()
+
+
+def test_evidence_is_the_best_over_all_segments():
+    for mean, n in ((12.0, 40), (0.3, 3), (700.0, 900), (3000.0, 2500), (40.0, 40)):
+        tails, term, below = [], np.exp(-mean / 2), 0.0
+        for k in range(n):
+            below += term * np.exp(-mean / 2)
+            tails.append(1 - below)
+            term *= mean / (k + 1)
+        expected = max(-np.log(max(tail, 1e-300)) for tail in tails)
+        got = toxicity._evidence(np.zeros(n), 1, 1.0, mean)
+        if mean < 1000 and expected < 20:
+            assert np.isclose(got, expected, rtol=1e-4)
+        if mean == 3000.0:
+            assert got < 1e-9
+    assert np.isclose(toxicity._evidence(np.zeros(40), 1, 1.0, 12.0), 22.6, atol=0.1)
+    assert toxicity._evidence(np.zeros(8), 1, 1.0, 12.0) < 0.1
+
+
+def test_many_mild_passages_add_up():
+    model = toxicity.fit(sample())
+    word = min(model.weights, key=model.weights.get)
+    mean_one = toxicity._evidence(np.array([model.weights[word]]), 1, model.rate, model.constant)
+    assert mean_one >= 0
+    length = int(12 / (model.constant * np.exp(-model.rate * model.weights[word])))
+    gap = b"w1 " * max(30, length // 40)
+    mild = (gap + word + b" ") * 40
+    alone = (gap + word + b" ") * 8 + gap * 32
+    out = toxicity.score_texts(model, [mild, alone], 0.3)["score"].to_pylist()
+    assert out[0] > out[1]
