@@ -29,8 +29,8 @@ _GATES = {"email": "@", "phone": "+"}
 
 #: Further candidates of the method, looser than what it accepts.
 EXTRA = {
-    "secret": r"(?i)(?<![a-z0-9])(?:[a-z0-9_-]{0,20}(?:password|passwd|pwd|secret|token|api[_-]?key))[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?[^\s\"',;]{6,200}+",
-    "key": r"(?<![A-Za-z0-9])(?:[A-Z]{4}[0-9A-Z]{16}|[0-9a-f]{32,64}|(?:sk|pk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,80})(?![A-Za-z0-9])",
+    "secret": r"(?i)(?<![a-z0-9])(?:[a-z0-9_-]{0,20}(?:password|passwd|pwd|secret|token|api[_-]?key))[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?[^\s\"',;]{6,}+",
+    "key": r"(?<![A-Za-z0-9])(?:[A-Z]{4}[0-9A-Z]{16}|[0-9a-f]{32,}+|(?:sk|pk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "number": r"(?<![\p{L}0-9.+-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![\p{L}0-9-])",
@@ -167,11 +167,39 @@ def _features(span: Column) -> dict[str, Column]:
     }
 
 
+def _apart(span: Column) -> Column:
+    """Whether no base span touches a span."""
+    return ~F.exists("_base", lambda other: (other["start"] < span["end"]) & (span["start"] < other["end"]))
+
+
+def _rest(span: Column) -> Column:
+    """Array of the parts of a span that no base span covers, of the span's type."""
+    covered = F.array_sort(F.transform("_base", lambda one: F.struct(one["start"].alias("start"), one["end"].alias("end"))))
+
+    def part(start: Column, end: Column) -> Column:
+        value = F.substr(span["value"], start - span["start"] + 1, end - start)
+        return F.struct(span["kind"].alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"), span["before"].alias("before"))
+
+    def step(state: Column, other: Column) -> Column:
+        gap = F.least(other["start"], span["end"])
+        parts = F.when(gap > state["at"], F.concat(state["parts"], F.array(part(state["at"], gap)))).otherwise(state["parts"])
+        return F.struct(F.greatest(state["at"], other["end"]).alias("at"), parts.alias("parts"))
+
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string>>")
+    start = F.struct(span["start"].alias("at"), none.alias("parts"))
+
+    def last(state: Column) -> Column:
+        return F.when(state["at"] < span["end"], F.concat(state["parts"], F.array(part(state["at"], span["end"])))).otherwise(state["parts"])
+
+    return F.when(_apart(span), F.array(span)).otherwise(F.aggregate(covered, start, step, last))
+
+
 def candidates(documents: DataFrame, valid: bool = True) -> DataFrame:
     """All columns of ``documents``, ``_base``: base matches, and ``_extra``: the method's candidates.
 
-    A candidate that touches a base span or lies inside a candidate of more length goes. With ``valid`` base matches
-    that fail their rule are no spans; without it they stay, as cases that the labelers can disagree on.
+    A candidate that lies inside a candidate of more length, which no base span touches, goes. With ``valid`` base
+    matches that fail their rule are no spans, and candidates that a base span touches stay whole, for the classifier;
+    without it failed matches stay, as cases that the labelers can disagree on, and what touches a base span goes.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     with_body = documents.withColumn("_body", body)
@@ -181,21 +209,18 @@ def candidates(documents: DataFrame, valid: bool = True) -> DataFrame:
     with_body = with_body.withColumns({f"_{kind}": _placed(F.col("_body"), kind, pattern) for kind, pattern in EXTRA.items()})
     with_body = with_body.withColumn("_base", F.concat(*(F.col(f"_{kind}") for kind in BASE)))
 
-    def apart(span: Column) -> Column:
-        return ~F.exists("_base", lambda other: (other["start"] < span["end"]) & (span["start"] < other["end"]))
-
     def outermost(span: Column) -> Column:
-        longer = F.col("_extra")
         return ~F.exists(
-            longer,
+            "_free",
             lambda other: (other["start"] <= span["start"])
             & (span["end"] <= other["end"])
             & (other["end"] - other["start"] > span["end"] - span["start"]),
         )
 
-    with_body = with_body.withColumn("_extra", F.filter(F.concat(*(F.col(f"_{kind}") for kind in EXTRA)), apart))
-    with_body = with_body.withColumn("_extra", F.filter("_extra", outermost))
-    return with_body.drop("_body", *(f"_{kind}" for kind in KINDS))
+    with_body = with_body.withColumn("_every", F.concat(*(F.col(f"_{kind}") for kind in EXTRA)))
+    with_body = with_body.withColumn("_free", F.filter("_every", _apart))
+    with_body = with_body.withColumn("_extra", F.filter("_every" if valid else "_free", outermost))
+    return with_body.drop("_body", "_every", "_free", *(f"_{kind}" for kind in KINDS))
 
 
 def learn(documents: DataFrame) -> PiiModel:
@@ -278,10 +303,11 @@ def _marks(spans: Column) -> Column:
 def find_personal_data(documents: DataFrame, model: PiiModel) -> DataFrame:
     """Columns ``_base`` and ``_extra`` (arrays of spans: kind, start, end, value, before) beside those of ``documents``.
 
-    ``_extra`` keeps the method's candidates that the classifier accepts. Null and empty texts have no spans.
+    ``_extra`` keeps the method's candidates that the classifier accepts; where base spans cover parts of one, the
+    other parts are spans of their own. Null and empty texts have no spans.
     """
     kept = F.filter("_extra", lambda span: _chance(model, span) >= THRESHOLD)
-    return candidates(documents).withColumn("_extra", kept)
+    return candidates(documents).withColumn("_extra", F.flatten(F.transform(kept, _rest)))
 
 
 def digest(documents: DataFrame, model: PiiModel) -> DataFrame:

@@ -97,3 +97,17 @@ def test_odd_rows(odd, empty, model):
 def test_no_python_in_the_plan(documents, model):
     plan = pii.digest(documents, model)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_long_values_and_rests_beside_base_spans_are_masked(spark, model):
+    tail = "0123456789abcdefABCDEF" * 30
+    texts = {
+        1: f"x token={tail} y", 2: "key " + "0123456789abcdef" * 8 + " y", 3: "key sk_" + "a1B2" * 40 + " y",
+        4: "x password=4111111111111111abcdef123456 y", 5: "x password=q7w8e9r0a@b.com/t1y2u3i4o5 y",
+    }
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {row["doc_id"]: row["text"] for row in pii.masked(frame, model).collect()}
+    assert got[1] == "x <secret> y" and got[2] == got[3] == "key <key> y"
+    assert got[4] == "x <secret><card><secret> y" and got[5] == "x <secret><email><secret> y"
+    spans = {row["doc_id"]: row["spans"] for row in pii.digest(frame, model).collect()}
+    assert spans[4] == "card:11:27,secret:2:11,secret:27:39" and spans[5] == "email:11:26,secret:2:11,secret:26:37"
