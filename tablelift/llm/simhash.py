@@ -8,7 +8,7 @@ counters have passed the radius are abandoned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -207,10 +207,13 @@ def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
     return chosen.dropDuplicates(["doc_id"])
 
 
-def without_copies(documents: DataFrame) -> DataFrame:
-    """Exactly one row of each component of near copies: that of the smallest doc_id, one without id if none has any."""
+def without_copies(documents: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """Exactly one row of each component of near copies: that of the smallest doc_id, one without id if none has any.
+
+    ``find`` names the component_id of each doc_id.
+    """
     rows = numbered(documents)
-    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    found = find(rows.select(F.col(ROW).alias("doc_id"), "text"))
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.number").alias("_kept"))
     return rows.join(kept, rows[ROW]["number"] == kept["_kept"], "left_semi").drop(ROW)
 
