@@ -53,3 +53,8 @@ def test_held_out_accuracy(spark):
     held = labels.filter("doc_id % 3 = 0")
     found = gam.score_quality(frame, model).join(held, "doc_id")
     assert found.filter("predicted = label").count() / held.count() > 0.9
+
+
+def test_the_commonest_word_counts_wherever_it_stands():
+    text = b"first spam spam spam spam middle one two three end"
+    assert gam.features(text)[gam.FEATURES.index("top_share")] == 0.4
