@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablelift.llm import decontam, gam, hmm, langid, licenses, packing, pii, rules, simhash, toxicity
+from tablelift.llm import decontam, gam, hmm, langid, licenses, packing, periodic, pii, ranking, rules, search, simhash, toxicity
 from tablelift.llm.text import id_remainder, table
 
 
@@ -76,6 +76,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents.select("doc_id", held_out, "text"), model)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -91,7 +103,10 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_search": op12_search,
+    "op13_ranking": op13_ranking,
     "pipeline": pipeline,
 }
 
-ORACLES = {"op8_quality_rules": rules.SQL}
+ORACLES = {"op8_quality_rules": rules.SQL, "op12_search": search.SQL, "op13_ranking": ranking.SQL}

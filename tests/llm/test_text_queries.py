@@ -13,8 +13,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_all_are_registered():
-    assert set(queries.QUERIES) <= set(entry_module.queries()) and len(queries.QUERIES) == 11
-    assert [name.split("_")[0] for name in queries.QUERIES][:-1] == [f"op{n}" for n in range(1, 11)]
+    assert set(queries.QUERIES) <= set(entry_module.queries()) and len(queries.QUERIES) == 14
+    assert [name.split("_")[0] for name in queries.QUERIES][:-1] == [f"op{n}" for n in range(1, 14)]
     assert queries.ORACLES.items() <= entry_module.oracle_sql().items()
 
 
