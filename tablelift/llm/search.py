@@ -18,7 +18,7 @@ from tablelift.llm.text import ship_package
 from tablelift.session import materialize
 
 #: Candidates and queries that meet in one task, and the components that either may hold (so 64 MB as numbers).
-CANDIDATES, QUERIES, COMPONENTS = 1 << 17, 1 << 13, 1 << 23
+CANDIDATES, QUERIES, COMPONENTS = 1 << 14, 1 << 13, 1 << 23
 #: Candidates whose scores stand in one dense array.
 TILE = 8192
 #: Components are clipped to what a long holds.
