@@ -155,6 +155,48 @@ def duration_ms(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), F.floor(micros / 1000).cast("bigint"))
 
 
+# Stages in which a job can report progress of its batches.
+PROGRESS_STAGES = ("STAGING", "TRANSFORMING", "EXECUTING", "CLEANING_UP", "VALIDATING", "COMPLETED")
+
+
+def batch_progress_violations(jobs: DataFrame, batches: DataFrame) -> DataFrame:
+    """Batch reports that do not fit their job: outside of its time, in a stage without batches, or inconsistent.
+
+    ``batches`` holds job_id, stage, batches_completed, rows_read, rows_written, total_rows_estimate and progress_updated_at. Each
+    report is measured against the one row of its job; the running job's time has no end. Only reports that break a rule are returned.
+    """
+    spans = jobs.select("job_id", "started_at", "completed_at", F.lit(True).alias("known"))
+    joined = batches.join(spans, "job_id", "left")
+    at, done = F.col("progress_updated_at"), F.col("batches_completed")
+    counts = [F.col(name) for name in ("batches_completed", "rows_read", "rows_written", "total_rows_estimate")]
+    rules = [
+        ("UNKNOWN_JOB", F.col("known").isNull()),
+        ("MISSING_TIME", at.isNull()),
+        ("NOT_STARTED", F.col("known") & F.col("started_at").isNull()),
+        ("BEFORE_START", at < F.col("started_at")),
+        ("AFTER_END", at > F.col("completed_at")),
+        ("ILLEGAL_STAGE", ~F.col("stage").isin(*PROGRESS_STAGES)),
+        ("NEGATIVE_COUNT", F.least(*counts) < 0),
+        ("COUNTS_DIFFER", F.col("rows_read") != F.col("rows_written")),
+        ("BATCHES_WITHOUT_ROWS", (done == 0) != (F.col("rows_read") == 0)),
+    ]
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), code) for code, rule in rules]))
+    return joined.select(*batches.columns, codes.alias("violations")).filter(F.size("violations") > 0)
+
+
+def stage_gaps(jobs: DataFrame, batches: DataFrame, key: str = "job_id") -> DataFrame:
+    """Per job and stage the time its batches cover, and whether it lies inside the job's time as a whole.
+
+    Intervals are contained if their ends are, so one row per job and stage is compared, however many reports there are.
+    """
+    covered = batches.groupBy(key, "stage").agg(
+        F.count(F.lit(1)).alias("reports"), F.min("progress_updated_at").alias("first_at"), F.max("progress_updated_at").alias("last_at")
+    )
+    spans = jobs.select(key, "started_at", "completed_at")
+    inside = (F.col("first_at") >= F.col("started_at")) & F.coalesce(F.col("last_at") <= F.col("completed_at"), F.lit(True))
+    return covered.join(spans, key).select(key, "stage", "reports", "first_at", "last_at", F.coalesce(inside, F.lit(False)).alias("is_contained"))
+
+
 def job_violations(jobs: DataFrame) -> DataFrame:
     """Codes of the lifecycle rules each job breaks; an empty array means consistent."""
     status, stage = F.col("status"), F.col("stage")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from tablelift.functions.json import request_hash
 from tablelift.operators.evidence import (
     JOB_TRANSITIONS,
+    PROGRESS_STAGES,
+    WORKFLOW_TRANSITIONS,
+    batch_progress_violations,
     chain_breaks,
     duration_ms,
     event_shape,
@@ -23,6 +26,7 @@ from tablelift.operators.evidence import (
     sealed,
     sequence_gaps,
     several_active,
+    stage_gaps,
     stale_references,
     transition_violations,
     version_breaks,
@@ -32,18 +36,20 @@ from tablelift.operators.ordered import running
 from tablelift.queries.catalogs import on_duckdb, on_spark
 from tablelift.queries.data import table
 from tablelift.session import new_run_dir
-from tablelift.streaming.progress import progress_stream, run_to_files
+from tablelift.streaming.progress import open_jobs, run_progress
 
 ORDER = ["ts", "event_id"]
 
-# Changes the demonstration log allows; every other change is reported.
-EVENT_TRANSITIONS = {
-    "signup": ["view", "error"],
-    "view": ["click", "error"],
-    "click": ["purchase", "view", "error"],
-    "purchase": ["error"],
-    "error": ["error"],
-}
+# Workflows read as logs of the workflow graph: each event names the state that its number among the workflow's
+# events would reach on a sound run; some events skip, repeat, fail or cancel.
+_RUN = (
+    "DRAFT", "DISCOVERED", "MAPPING_PROPOSED", "MAPPING_APPROVED", "STAGING", "STAGED", "EXECUTION_READY", "EXECUTING",
+    "EXECUTED", "VALIDATION_READY", "VALIDATING", "VALIDATED",
+)
+_RARE = (
+    "FAILED", "CANCELLED", "STAGING_RECOVERY_REQUIRED", "EXECUTION_RECOVERY_REQUIRED", "VALIDATION_RECOVERY_REQUIRED",
+    "VALIDATION_REVIEW_REQUIRED", "MAPPING_APPROVED", "EXECUTION_READY",
+)
 
 _ARTIFACTS_SQL = """
     SELECT user_id AS workflow_id, event_type AS artifact_type, event_id AS artifact_version, ts AS created_at,
@@ -122,9 +128,11 @@ def latest(spark, sf_dir):
 
 
 def stale(spark, sf_dir):
-    """Every tenth artifact is referenced by a job; most references are out of date."""
-    references = artifacts(spark, sf_dir).filter(F.col("artifact_version") % 10 == 0)
-    return stale_references(references.select("workflow_id", "artifact_type", "artifact_version"), artifacts(spark, sf_dir))
+    """Every artifact is referenced by the job that wrote it; most references are out of date, and some name no artifact."""
+    references = artifacts(spark, sf_dir).select(
+        "workflow_id", "artifact_type", F.when(F.col("artifact_version") % 37 == 0, -F.col("artifact_version")).otherwise(F.col("artifact_version")).alias("artifact_version")
+    )
+    return stale_references(references, artifacts(spark, sf_dir))
 
 
 def hash_audit(spark, sf_dir):
@@ -139,9 +147,19 @@ def requests(spark, sf_dir):
     return rows.withColumn("request_sha256", request_hash("APPEND", F.col("props")))
 
 
+def workflow_states(spark, sf_dir):
+    """Events with the workflow state they name."""
+    numbered = with_sequence(events(spark, sf_dir), "user_id", ORDER, day())
+    at = (F.col("sequence_number") - 1 + F.when(F.col("event_id") % 19 == 0, 1).otherwise(0)) % len(_RUN)
+    run, rare = (F.expr(f"array({', '.join(map(repr, names))})") for names in (_RUN, _RARE))
+    unusual = F.get(rare, (F.floor(F.col("event_id") / 7) % len(_RARE)).cast("int"))
+    return numbered.withColumn("status", F.when(F.col("event_id") % 7 == 0, unusual).otherwise(F.get(run, at.cast("int"))))
+
+
 def transitions(spark, sf_dir):
-    broken = transition_violations(events(spark, sf_dir), "user_id", "event_type", ORDER, day(), EVENT_TRANSITIONS)
-    return broken.select("user_id", "event_id", "previous_status", "event_type")
+    """Changes that the graph of all workflow states does not allow."""
+    broken = transition_violations(workflow_states(spark, sf_dir), "user_id", "status", ORDER, day(), WORKFLOW_TRANSITIONS)
+    return broken.select("user_id", "event_id", "previous_status", "status")
 
 
 def audit_log(spark, sf_dir):
@@ -230,26 +248,74 @@ def progress(spark, sf_dir):
     return broken.select("job_id", "turn", F.array_join("violations", ",").alias("violations"))
 
 
-def progress_on_stream(spark, sf_dir):
-    """The same rules on a stream of files, each holding a later part of every job."""
+_STREAM_SQL = """
+    SELECT conv_id AS job_id, CASE WHEN (conv_id + turn) % 11 = 0 THEN 1 ELSE turn + 1 END AS batches_completed,
+           CASE WHEN (conv_id + turn) % 9 = 0 THEN 1 ELSE (turn + 1) * 500 END AS rows_read,
+           CASE WHEN (conv_id + turn) % 7 = 0 THEN (turn + 1) * 500 - 1 ELSE (turn + 1) * 500 END AS rows_written,
+           CASE WHEN (conv_id + turn) % 13 <> 0 THEN 5000 END AS total_rows_estimate,
+           turn * 60 AS seconds, turn, max(turn) OVER (PARTITION BY conv_id) AS last_turn
+    FROM {conversations}
+"""
+
+
+def _progress_streamed(spark, sf_dir):
+    """Folders with the violations and the state of a stream of files, the later ones holding the later part of every job."""
     run = new_run_dir(spark, "progress")
-    # Sound snapshots in time order, damaged only in ways that do not touch the order.
-    turns = table(spark, sf_dir, "conversations")
-    number = F.col("conv_id") + F.col("turn")
-    log = turns.select(
-        F.col("conv_id").alias("job_id"),
-        F.when(number % 11 == 0, F.lit(1).cast("bigint")).otherwise(F.col("turn") + 1).alias("batches_completed"),
-        F.when(number % 9 == 0, F.lit(1).cast("bigint")).otherwise((F.col("turn") + 1) * 500).alias("rows_read"),
-        F.when(number % 13 != 0, 5000).cast("bigint").alias("total_rows_estimate"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60).alias("updated_at"),
-        F.col("turn"),
+    log = spark.sql(_STREAM_SQL, conversations=table(spark, sf_dir, "conversations")).select(
+        *[F.col(name).cast("bigint") for name in ("job_id", "batches_completed", "rows_read", "rows_written", "total_rows_estimate")],
+        F.timestamp_seconds(F.lit(1704067200) + F.col("seconds")).alias("updated_at"),
+        # Every fifth job is still at work when the log ends.
+        ((F.col("turn") == F.col("last_turn")) & (F.col("job_id") % 5 != 0)).alias("is_last"),
+        "turn",
     )
     # The earlier turns are written first, so that later micro-batches hold later files.
     for condition in (F.col("turn") < 2, F.col("turn") >= 2):
         log.filter(condition).drop("turn").repartition(8, "job_id").write.mode("append").parquet(f"{run}/in")
     stream = spark.readStream.schema(log.drop("turn").schema).option("maxFilesPerTrigger", 8).parquet(f"{run}/in")
-    run_to_files(progress_stream(stream), f"{run}/out", f"{run}/state")
-    return spark.read.parquet(f"{run}/out")
+    hours = F.date_trunc("hour", F.col("updated_at"))
+    run_progress(stream, f"{run}/out", f"{run}/state", f"{run}/checkpoint", finished=F.col("is_last"), bucket=hours)
+    return f"{run}/out", f"{run}/state"
+
+
+def progress_on_stream(spark, sf_dir):
+    """All five progress rules on a stream."""
+    found = spark.read.parquet(_progress_streamed(spark, sf_dir)[0])
+    return found.select("job_id", "batches_completed", "rows_read", "violation")
+
+
+def open_after_stream(spark, sf_dir):
+    """What a stream still keeps at the end of the log: jobs without a last snapshot."""
+    left = open_jobs(spark, _progress_streamed(spark, sf_dir)[1])
+    return left.select("job_id", "batches_completed", "rows_read", "rows_written", "total_rows_estimate")
+
+
+_BATCHES_SQL = f"""
+    SELECT l_orderkey AS job_id, l_linenumber AS report, {{pick}} AS stage,
+           CASE WHEN l_partkey % 17 = 0 THEN 0 ELSE l_linenumber END AS batches_completed,
+           CASE WHEN l_partkey % 19 = 0 THEN 0 WHEN l_partkey % 23 = 0 THEN -5 ELSE l_linenumber * 100 END AS rows_read,
+           CASE WHEN l_partkey % 13 = 0 THEN l_linenumber * 100 - 1 WHEN l_partkey % 23 = 0 THEN -5 WHEN l_partkey % 19 = 0 THEN 0
+                ELSE l_linenumber * 100 END AS rows_written,
+           CASE WHEN l_partkey % 3 <> 0 THEN 5000 END AS total_rows_estimate,
+           CASE WHEN l_partkey % 29 <> 0 THEN o_orderdate + {{minute}} * (l_partkey % 12 - 2) END AS progress_updated_at
+    FROM {{lineitem}} AS l JOIN {{orders}} AS o ON o.o_orderkey = l.l_orderkey - CASE WHEN l_suppkey % 41 = 0 THEN 1 ELSE 0 END
+"""
+_REPORTED_STAGES = ("STAGING", "TRANSFORMING", "EXECUTING", "CLEANING_UP", "VALIDATING", "COMPLETED", "QUEUED", "PREPARING")
+
+
+def _batch_sql(minute: str) -> str:
+    branches = " ".join(f"WHEN {n} THEN '{name}'" for n, name in enumerate(_REPORTED_STAGES))
+    text = _BATCHES_SQL.replace("{pick}", f"CASE l_suppkey % {len(_REPORTED_STAGES)} {branches} END")
+    return text.replace("{minute}", minute)
+
+
+def batches(spark, sf_dir):
+    return on_spark(spark, sf_dir, _batch_sql("INTERVAL '1' MINUTE"))
+
+
+def batch_reports(spark, sf_dir):
+    """Reports of batches that do not fit the time or the stage of their job."""
+    broken = batch_progress_violations(jobs(spark, sf_dir), batches(spark, sf_dir))
+    return broken.select("job_id", "report", "stage", F.array_join("violations", ",").alias("violations"))
 
 
 QUERIES = {
@@ -274,11 +340,14 @@ QUERIES = {
     "oldest_queued": lambda spark, sf: oldest_queued(jobs(spark, sf)).select("job_id", "workflow_id", "queued_at"),
     "event_page": lambda spark, sf: page(events(spark, sf), ["ts", "event_id"], 100, 250),
     "stream_progress_check": progress_on_stream,
+    "stream_open_jobs": open_after_stream,
+    "batch_progress_violations": batch_reports,
+    "batch_stage_spans": lambda spark, sf: stage_gaps(jobs(spark, sf), batches(spark, sf)),
 }
 
 _JOBS_DUCK = on_duckdb(_JOBS_SQL.replace("{minute}", "INTERVAL 1 MINUTE"))
 _AUDIT_DUCK = on_duckdb(_AUDIT_SQL)
-_ALLOWED = ", ".join(f"('{old}', '{new}')" for old, followers in EVENT_TRANSITIONS.items() for new in followers)
+_ALLOWED = ", ".join(f"('{old}', '{new}')" for old, followers in WORKFLOW_TRANSITIONS.items() for new in followers)
 _STAGES = ", ".join(f"('{old}', '{new}')" for old, followers in JOB_TRANSITIONS.items() for new in followers)
 
 _SNAPSHOTS_DUCK = """
@@ -305,10 +374,11 @@ ORACLES = {
     """,
     "stale_references": """
         SELECT * FROM (
-            SELECT user_id AS workflow_id, event_type AS artifact_type, event_id AS artifact_version,
+            SELECT user_id AS workflow_id, event_type AS artifact_type,
+                   CASE WHEN event_id % 37 = 0 THEN -event_id ELSE event_id END AS artifact_version,
                    max(event_id) OVER (PARTITION BY user_id, event_type) AS latest_version
             FROM events) AS e
-        WHERE artifact_version % 10 = 0 AND artifact_version <> latest_version
+        WHERE artifact_version <> latest_version
     """,
     "payload_hash_audit": """
         SELECT user_id AS workflow_id, event_id AS artifact_version, sha256(props) AS payload_sha256
@@ -321,11 +391,13 @@ ORACLES = {
         FROM ({on_duckdb(_REQUESTS_SQL)}) AS r GROUP BY ALL
     """,
     "transition_violations": f"""
-        SELECT * FROM (
-            SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)
-                       AS previous_status, event_type
-            FROM events) AS e
-        WHERE previous_status IS NOT NULL AND (previous_status, event_type) NOT IN ({_ALLOWED})
+        SELECT user_id, event_id, previous_status, status FROM (
+            SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_status FROM (
+                SELECT user_id, event_id, ts,
+                       CASE WHEN event_id % 7 = 0 THEN {list(_RARE)}[CAST(event_id // 7 % {len(_RARE)} AS INTEGER) + 1]
+                            ELSE {list(_RUN)}[CAST((n - 1 + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END) % {len(_RUN)} AS INTEGER) + 1] END AS status
+                FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) AS e) AS s) AS c
+        WHERE previous_status IS NOT NULL AND (previous_status, status) NOT IN ({_ALLOWED})
     """,
     "chain_breaks": f"""
         SELECT * FROM (
@@ -431,18 +503,42 @@ ORACLES = {
         FROM orders WHERE o_orderkey % 5 = 0 ORDER BY o_orderdate, o_orderkey LIMIT 1
     """,
     "event_page": "SELECT * FROM events ORDER BY ts, event_id LIMIT 100 OFFSET 250",
-    "stream_progress_check": """
-        SELECT job_id, batches_completed, unnest(list_filter([
+    "stream_progress_check": f"""
+        SELECT job_id, batches_completed, rows_read, unnest(list_filter([
+                   CASE WHEN rows_read <> rows_written OR (batches_completed = 0) <> (rows_read = 0) THEN 'INCONSISTENT_COUNTS' END,
                    CASE WHEN batches_completed <= lag(batches_completed) OVER w THEN 'BATCHES_NOT_GROWING' END,
-                   CASE WHEN rows_read <= lag(rows_read) OVER w THEN 'ROWS_NOT_GROWING' END,
+                   CASE WHEN rows_read <= lag(rows_read) OVER w OR rows_written <= lag(rows_written) OVER w THEN 'ROWS_NOT_GROWING' END,
+                   CASE WHEN seconds <= lag(seconds) OVER w THEN 'TIME_NOT_GROWING' END,
                    CASE WHEN lag(turn) OVER w IS NOT NULL
-                         AND estimate IS DISTINCT FROM lag(estimate) OVER w THEN 'ESTIMATE_CHANGED' END
+                         AND total_rows_estimate IS DISTINCT FROM lag(total_rows_estimate) OVER w THEN 'ESTIMATE_CHANGED' END
                ], lambda x: x IS NOT NULL)) AS violation
-        FROM (SELECT conv_id AS job_id, turn,
-                     CASE WHEN (conv_id + turn) % 11 = 0 THEN 1 ELSE turn + 1 END AS batches_completed,
-                     CASE WHEN (conv_id + turn) % 9 = 0 THEN 1 ELSE (turn + 1) * 500 END AS rows_read,
-                     CASE WHEN (conv_id + turn) % 13 <> 0 THEN 5000 END AS estimate
-              FROM conversations) AS s
+        FROM ({_STREAM_SQL.replace("{conversations}", "conversations")}) AS s
         WINDOW w AS (PARTITION BY job_id ORDER BY turn)
     """,
+    "stream_open_jobs": f"""
+        SELECT job_id, batches_completed, rows_read, rows_written, total_rows_estimate
+        FROM ({_STREAM_SQL.replace("{conversations}", "conversations")}) AS s WHERE turn = last_turn AND job_id % 5 = 0
+    """,
+    "batch_progress_violations": f"""
+        SELECT * FROM (
+            SELECT b.job_id, report, b.stage, concat_ws(',',
+                       CASE WHEN j.job_id IS NULL THEN 'UNKNOWN_JOB' END,
+                       CASE WHEN progress_updated_at IS NULL THEN 'MISSING_TIME' END,
+                       CASE WHEN j.job_id IS NOT NULL AND started_at IS NULL THEN 'NOT_STARTED' END,
+                       CASE WHEN progress_updated_at < started_at THEN 'BEFORE_START' END,
+                       CASE WHEN progress_updated_at > completed_at THEN 'AFTER_END' END,
+                       CASE WHEN b.stage NOT IN {PROGRESS_STAGES} THEN 'ILLEGAL_STAGE' END,
+                       CASE WHEN least(rows_read, rows_written) < 0 THEN 'NEGATIVE_COUNT' END,
+                       CASE WHEN rows_read <> rows_written THEN 'COUNTS_DIFFER' END,
+                       CASE WHEN (batches_completed = 0) <> (rows_read = 0) THEN 'BATCHES_WITHOUT_ROWS' END) AS violations
+            FROM ({on_duckdb(_batch_sql("INTERVAL 1 MINUTE"))}) AS b LEFT JOIN ({_JOBS_DUCK}) AS j USING (job_id)) AS v
+        WHERE violations <> ''
+    """,
+    "batch_stage_spans": f"""
+        SELECT job_id, stage, reports, first_at, last_at,
+               coalesce(first_at >= started_at AND (completed_at IS NULL OR last_at IS NULL OR last_at <= completed_at), false) AS is_contained
+        FROM (SELECT job_id, stage, count(*) AS reports, min(progress_updated_at) AS first_at, max(progress_updated_at) AS last_at
+              FROM ({on_duckdb(_batch_sql("INTERVAL 1 MINUTE"))}) AS b GROUP BY ALL) AS c
+        JOIN (SELECT job_id, started_at, completed_at FROM ({_JOBS_DUCK}) AS j) AS j USING (job_id)
+    """,
 }

@@ -1,63 +1,111 @@
-"""Progress checks on a stream: the last snapshot of every job is kept as state."""
+"""Progress checks on a stream: the last snapshot of every unfinished job is kept between micro-batches.
+
+The state is a small table with one version per micro-batch, not a store inside the executors: a micro-batch reads the
+version before its own, checks its snapshots and the kept ones together with the columnar rules of the batch check, and
+writes the next version. A repeated micro-batch reads and writes the same folders again, so nothing is counted
+twice. A job leaves the state with its last snapshot, or when nothing was heard of it for too long.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablelift.operators.evidence import PROGRESS_COLUMNS, snapshot_violations
+from tablelift.operators.ordered import running
+
+#: What is kept of a job.
+KEPT = ("job_id", *PROGRESS_COLUMNS)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions that were written to the end."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [status.getPath() for status in system.listStatus(path)]
+    return sorted(int(one.getName().split("=")[1]) for one in names if system.exists(hadoop.Path(one, "_SUCCESS")))
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE_SCHEMA = "batches_completed bigint, rows_read bigint, total_rows_estimate bigint, updated_at timestamp"
-OUTPUT_SCHEMA = "job_id bigint, batches_completed bigint, violation string"
+def _dropped(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _check(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Compare each snapshot with the one before, the first with the kept state.
+def check_batch(
+    arrived: DataFrame, kept: DataFrame | None, finished: Column, idle: timedelta | None, bucket: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(violations of the arrived snapshots, state afterwards).
 
-    A micro-batch is bounded by the files per trigger, and so is the part of one job in it.
+    Snapshots of a job are compared in the order of their time, the first with the kept one. The newest by its own time is
+    kept, so a snapshot that comes late is reported but never replaces a newer one.
     """
-    arrived = pd.concat(list(pages)).sort_values("updated_at", kind="stable")
-    if state.exists:
-        batches, rows, estimate, updated = state.get
-        # Arrow hands NULL integers over as NaN; -1 stands for "no estimate" in the state.
-        head = pd.DataFrame(
-            {"batches_completed": [batches], "rows_read": [rows], "total_rows_estimate": [estimate], "updated_at": [updated]}
-        )
-        arrived = pd.concat([head, arrived], ignore_index=True)
-    before, after = arrived.shift(1).iloc[1:], arrived.iloc[1:]
-    rules = {
-        "BATCHES_NOT_GROWING": after["batches_completed"] <= before["batches_completed"],
-        "ROWS_NOT_GROWING": after["rows_read"] <= before["rows_read"],
-        "TIME_NOT_GROWING": after["updated_at"] <= before["updated_at"],
-        "ESTIMATE_CHANGED": after["total_rows_estimate"] != before["total_rows_estimate"],
-    }
-    # The latest by its own time: a snapshot that comes late is reported, but never replaces a newer one.
-    last = arrived.loc[arrived["updated_at"].idxmax()]
-    state.update(
-        (int(last["batches_completed"]), int(last["rows_read"]), int(last["total_rows_estimate"]), last["updated_at"])
+    frame = arrived.select(*KEPT, finished.alias("finished"), F.lit(False).alias("kept"))
+    if kept is not None:
+        frame = frame.unionByName(kept.select(*KEPT, F.lit(False).alias("finished"), F.lit(True).alias("kept")))
+    newest = ["updated_at", "batches_completed", "rows_read", "rows_written"]
+    # What is kept stands before everything that arrived, whatever its time.
+    order = ["arrived", *newest]
+    frame = frame.withColumn("arrived", ~F.col("kept"))
+    bucket = F.when(F.col("arrived"), bucket).otherwise(F.lit("0001-01-01").cast("timestamp"))
+    names = {f"previous_{name}": name for name in PROGRESS_COLUMNS} | {"previous_kept": "kept"}
+    chained = running(frame, ["job_id"], order, bucket, previous=names)
+    before = {name: F.col(f"previous_{name}") for name in PROGRESS_COLUMNS}
+    codes = snapshot_violations(before, {name: F.col(name) for name in PROGRESS_COLUMNS}, F.col("previous_kept").isNotNull())
+    violations = chained.filter(~F.col("kept")).select(*KEPT, F.explode(codes).alias("violation"))
+    last = frame.groupBy("job_id").agg(
+        F.max_by(F.struct(*KEPT[1:]), F.struct(*newest)).alias("last"), F.bool_or("finished").alias("finished")
     )
-    for code, broken in rules.items():
-        numbers = after.loc[broken, "batches_completed"]
-        if len(numbers):
-            yield pd.DataFrame({"job_id": key[0], "batches_completed": numbers.astype("int64"), "violation": code})
+    left = last.filter(~F.col("finished")).select("job_id", "last.*")
+    if idle is not None:
+        (latest,) = frame.agg(F.max("updated_at")).first()
+        if latest is not None:
+            left = left.filter(F.col("updated_at") >= F.lit(latest - idle))
+    return violations, left
 
 
-def progress_stream(snapshots: DataFrame) -> DataFrame:
-    """Violations of a stream of snapshots (job_id, batches_completed, rows_read, total_rows_estimate, updated_at)."""
-    filled = snapshots.fillna(-1, ["total_rows_estimate"])
-    return filled.groupBy("job_id").applyInPandasWithState(
-        _check, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+def run_progress(
+    snapshots: DataFrame,
+    output: str,
+    state: str,
+    checkpoint: str,
+    *,
+    finished: Column,
+    idle: timedelta | None = None,
+    bucket: Column | None = None,
+) -> None:
+    """Check everything available of a stream of snapshots, append violations to ``output``, keep the state in ``state``.
+
+    Snapshots hold job_id and the progress columns. ``finished`` marks the last snapshot of a job, ``idle`` is how long a
+    job may be silent before it is let go, ``bucket`` cuts long jobs into parts of time (days by default).
+    """
+    by_time = F.date_trunc("day", F.col("updated_at")) if bucket is None else bucket
 
+    def work_off(arrived: DataFrame, number: int) -> None:
+        spark = arrived.sparkSession
+        done = [version for version in _versions(spark, state) if version < number]
+        kept = spark.read.parquet(f"{state}/version={done[-1]}") if done else None
+        violations, left = check_batch(arrived, kept, finished, idle, by_time)
+        violations.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        left.write.mode("overwrite").parquet(f"{state}/version={number}")
+        # The version before is kept for a repeat of this batch.
+        for version in done[:-1]:
+            _dropped(spark, f"{state}/version={version}")
 
-def run_to_files(stream: DataFrame, output: str, checkpoint: str) -> None:
-    """Work off everything available and append the results to ``output``."""
     query = (
-        stream.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        snapshots.writeStream.foreachBatch(work_off).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
     try:
         query.awaitTermination()
     finally:
         query.stop()
+
+
+def open_jobs(spark: SparkSession, state: str) -> DataFrame:
+    """The newest state: last snapshots of the jobs that have not ended."""
+    return spark.read.parquet(f"{state}/version={_versions(spark, state)[-1]}")

@@ -7,12 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablelift.operators.evidence import (
-    JOB_TRANSITIONS, WORKFLOW_TRANSITIONS, append, hash_mismatches, idempotency, is_allowed, job_violations, lineage, percent_complete,
-    progress_violations, transition_violations, with_sequence,
+    JOB_TRANSITIONS, WORKFLOW_TRANSITIONS, append, batch_progress_violations, hash_mismatches, idempotency, is_allowed, job_violations, lineage, percent_complete,
+    progress_violations, stage_gaps, transition_violations, with_sequence,
 )
 from tablelift.operators.ordered import running
 from tablelift.session import new_run_dir
-from tablelift.streaming.progress import progress_stream, run_to_files
+from tablelift.streaming.progress import open_jobs, run_progress
 
 START = dt.datetime(2024, 1, 1)
 
@@ -141,26 +141,62 @@ def test_progress_rules(spark):
 
 def test_progress_stream_keeps_state_between_batches(spark):
     run = new_run_dir(spark, "progress-test")
-    frame = spark.createDataFrame(snapshot_rows(), SNAPSHOTS).drop("rows_written")
+    frame = spark.createDataFrame(snapshot_rows(), SNAPSHOTS)
     for second in (1, 2):
         frame.filter(F.second("updated_at") == second).coalesce(1).write.mode("append").parquet(f"{run}/in")
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/in")
-    run_to_files(progress_stream(stream), f"{run}/out", f"{run}/state")
-    assert sorted(map(tuple, spark.read.parquet(f"{run}/out").collect())) == [
-        (2, 1, "BATCHES_NOT_GROWING"), (2, 1, "ROWS_NOT_GROWING"), (3, 2, "ESTIMATE_CHANGED"),
-    ]
+    run_progress(stream, f"{run}/out", f"{run}/state", f"{run}/checkpoint", finished=F.lit(False))
+    streamed = sorted((row.job_id, row.batches_completed, row.violation) for row in spark.read.parquet(f"{run}/out").collect())
+    batch = progress_violations(frame, "job_id", ["updated_at"], F.date_trunc("second", "updated_at")).collect()
+    assert streamed == sorted((row.job_id, row.batches_completed, code) for row in batch for code in row.violations)
+    assert {row[2] for row in streamed} >= {"INCONSISTENT_COUNTS", "ESTIMATE_CHANGED", "ROWS_NOT_GROWING"}
+
+
+def arrived(spark, run, rows):
+    schema = "job_id bigint, batches_completed bigint, rows_read bigint, rows_written bigint, total_rows_estimate bigint, second int, ended boolean"
+    frame = spark.createDataFrame([(job, n, n * 10, n * 10, 100, second, ended) for job, n, second, ended in rows], schema)
+    frame = frame.withColumn("updated_at", F.timestamp_seconds(F.lit(1704067200) + F.col("second"))).drop("second")
+    frame.coalesce(1).write.mode("append").parquet(f"{run}/in")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{run}/in")
+    run_progress(stream, f"{run}/out", f"{run}/state", f"{run}/checkpoint", finished=F.col("ended"), idle=dt.timedelta(seconds=100))
 
 
 def test_a_late_snapshot_does_not_replace_a_newer_one(spark):
     run = new_run_dir(spark, "progress-late")
     for batches, second in ((5, 5), (3, 3), (6, 6)):
-        frame = spark.createDataFrame([(9, batches, batches * 10, 100)], "job_id bigint, batches_completed bigint, rows_read bigint, total_rows_estimate bigint")
-        frame = frame.withColumn("updated_at", F.timestamp_seconds(F.lit(1704067200 + second)))
-        frame.coalesce(1).write.mode("append").parquet(f"{run}/in")
-        stream = spark.readStream.schema(frame.schema).parquet(f"{run}/in")
-        run_to_files(progress_stream(stream), f"{run}/out", f"{run}/state")
+        arrived(spark, run, [(9, batches, second, False)])
     got = sorted((row.batches_completed, row.violation) for row in spark.read.parquet(f"{run}/out").collect())
     assert got == [(3, "BATCHES_NOT_GROWING"), (3, "ROWS_NOT_GROWING"), (3, "TIME_NOT_GROWING")]
+    assert [row.batches_completed for row in open_jobs(spark, f"{run}/state").collect()] == [6]
+
+
+def test_finished_and_silent_jobs_leave_the_state(spark):
+    run = new_run_dir(spark, "progress-end")
+    arrived(spark, run, [(1, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False)])
+    arrived(spark, run, [(1, 2, 50, True), (2, 2, 50, False)])
+    assert {row.job_id for row in open_jobs(spark, f"{run}/state").collect()} == {2, 3}
+    arrived(spark, run, [(2, 3, 140, False)])
+    assert {row.job_id for row in open_jobs(spark, f"{run}/state").collect()} == {2}
+    versions = spark.sparkContext._jvm.java.io.File(f"{run}/state".removeprefix("file:")).list()
+    assert len(versions) == 2 and spark.read.parquet(f"{run}/out").count() == 0
+
+
+def test_batch_reports_outside_of_their_job(spark):
+    at = [START + dt.timedelta(minutes=n) for n in range(6)]
+    jobs = spark.createDataFrame([(1, at[1], at[3]), (2, at[1], None), (3, None, None)], "job_id bigint, started_at timestamp, completed_at timestamp")
+    rows = [
+        (1, "STAGING", 1, 5, 5, 9, at[1]), (1, "STAGING", 2, 6, 6, 9, at[3]), (1, "QUEUED", 2, 6, 6, 9, at[0]), (1, "COMPLETED", 0, 6, 7, None, at[4]),
+        (2, "EXECUTING", 0, 0, 0, None, at[5]), (3, "STAGING", 1, 1, 1, None, at[1]), (4, "STAGING", 1, -1, -1, None, None),
+    ]
+    schema = "job_id bigint, stage string, batches_completed bigint, rows_read bigint, rows_written bigint, total_rows_estimate bigint, progress_updated_at timestamp"
+    batches = spark.createDataFrame(rows, schema)
+    got = sorted((row.job_id, row.stage, row.violations) for row in batch_progress_violations(jobs, batches).collect())
+    assert got == [
+        (1, "COMPLETED", ["AFTER_END", "COUNTS_DIFFER", "BATCHES_WITHOUT_ROWS"]), (1, "QUEUED", ["BEFORE_START", "ILLEGAL_STAGE"]),
+        (3, "STAGING", ["NOT_STARTED"]), (4, "STAGING", ["UNKNOWN_JOB", "MISSING_TIME", "NEGATIVE_COUNT"]),
+    ]
+    spans = {(row.job_id, row.stage): row.is_contained for row in stage_gaps(jobs, batches).collect()}
+    assert spans == {(1, "STAGING"): True, (1, "QUEUED"): False, (1, "COMPLETED"): False, (2, "EXECUTING"): True, (3, "STAGING"): False}
 
 
 @pytest.mark.parametrize("read,estimate,expected", [(5, None, None), (5, 0, 100), (1, 3, 33), (9, 3, 100), (0, 7, 0)])
