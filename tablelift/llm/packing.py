@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelift.llm.text import as_bytes, blocks, held, ship_package
+from tablelift.llm.text import as_bytes, blocks, give_back, held, ship_package
 from tablelift.session import materialize
 
 #: Tokens of a sequence, tokens of a bin, parts of an enumerated combination.
@@ -32,8 +32,8 @@ SLACK = 3
 END_ID = 2
 #: Pieces that are ranked together, and the most such groups per bin.
 RANKED, RANK_GROUPS = 1000, 4096
-#: Entries after which a worker's cache of tokenized words is started anew.
-CACHED = 700_000
+#: Bytes of words and ids after which a worker's cache of tokenized words is started anew, and what an entry takes besides.
+CACHED_BYTES, ENTRY_BYTES = 64_000_000, 180
 
 _PLAIN = re.compile("([a-zß-öø-ÿ]*)([!#$%&()*+,\\-./:;=?@\\[\\]^_`{|}~]*)")
 _WIDE = re.compile("[^\x00-ÿ]")
@@ -56,6 +56,7 @@ class WordTokens:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, number in model["vocab"].items():
             self.ends[number] = token.endswith(self.suffix)
+        self.size = 0
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -99,12 +100,14 @@ class WordTokens:
         split = [text.split() for text in texts]
         every = set().union(*split)
         unknown = every - self.words.keys()
-        if unknown and len(self.words) + len(unknown) > CACHED:
+        if unknown and self.size > CACHED_BYTES:
             self.words.clear()
             self.parts = {"": b""}
-            unknown = every
+            self.size, unknown = 0, every
         if unknown:
             self.learn(unknown)
+            # Ids take four bytes, and few words are of more ids than letters by four.
+            self.size += sum(map(len, unknown)) * 3 + ENTRY_BYTES * len(unknown)
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
@@ -154,6 +157,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer_json: str) -> DataFrame:
                 ids_of = batch.column(0).take(pa.array(owner, pa.int64()))
                 names = [part.split()[0] for part in PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([ids_of, *(pa.array(one, pa.int64()) for one in columns)], names=["doc_id", *names])
+        give_back()
 
     return frame.mapInArrow(run, f"doc_id {kind}, {PIECES}")
 

@@ -6,6 +6,9 @@ the word rules of the operators ask for, and no text is ever shortened.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from tablelift.session import materialize
 
 #: Bytes of text that a Python task works on at once. A longer text is a batch of its own.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +83,19 @@ def held(key: object, build: Callable[[], object]) -> object:
     return _held[key]
 
 
+def give_back() -> None:
+    """Return memory that is no longer used to the system; a worker lives on and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def release() -> None:
     """Let go of what another operator kept in this worker."""
-    _held.clear()
+    if _held:
+        _held.clear()
+        give_back()
 
 
 def blocks(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
@@ -128,6 +141,10 @@ def map_texts(frame: DataFrame, function: Callable[[list[bytes]], dict], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        yield from worked_off(batches)
+        give_back()
+
+    def worked_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
             for start, end in blocks(texts):

@@ -74,7 +74,7 @@ def test_cached_words_equal_the_tokenizer(tokenizer, texts):
 
 
 def test_a_full_cache_starts_anew(monkeypatch, tokenizer):
-    monkeypatch.setattr(packing, "CACHED", 5)
+    monkeypatch.setattr(packing, "CACHED_BYTES", 1000)
     tokens = packing.WordTokens(packing.tokenizer_json())
     for text in (b"one two three", b"four five six one", b"seven"):
         assert np.frombuffer(tokens.encode([text])[0], "<u4").tolist() == tokenizer.encode(text.decode(), add_special_tokens=False).ids
