@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelift.functions.types import case
+from tablelift.functions.types import WHITE_SPACE, case
 from tablelift.plans.expressions import column
 
 
@@ -25,53 +28,66 @@ def has_field(frame: DataFrame, *names: str) -> bool:
 
 def stripped(text: Column) -> Column:
     """Text without outer white space of any kind, line breaks and tabs too."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+@dataclass(frozen=True)
+class Raw:
+    """A raw catalog value as text, and the same text without outer white space.
+
+    Rules below read one or the other, so that a value is stripped once however many rules look at it.
+    """
+
+    text: Column
+    bare: Column
+
+
+def raw(value: Column) -> Raw:
+    text = value.cast("string")
+    return Raw(text, stripped(text))
+
+
+def text_of(value: Raw) -> Column:
+    return F.when(value.bare != "", value.text)
+
+
+def whole_number_of(value: Raw) -> Column:
+    return value.bare.try_cast("bigint")
+
+
+def flag_of(value: Raw, yes: Sequence[str], no: Sequence[str]) -> Column:
+    word = F.lower(value.bare)
+    return F.when(word.isin(list(yes)), True).when(word.isin(list(no)), False)
+
+
+# Words that stand for true and false.
+YES_WORDS, NO_WORDS = ("yes", "y", "true", "t", "1"), ("no", "n", "false", "f", "0")
 
 
 def optional_text(value: Column) -> Column:
     """Blank becomes NULL, other text is kept exactly."""
-    text = value.cast("string")
-    return F.when(stripped(text) != "", text)
+    return text_of(raw(value))
 
 
 def optional_int(value: Column) -> Column:
     """Whole numbers only, sign and outer blanks allowed; anything else is NULL."""
-    text = stripped(value.cast("string"))
-    return F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text).try_cast("bigint")
-
-
-def _marker(value: Column, yes: list[str], no: list[str]) -> Column:
-    text = F.lower(stripped(value.cast("string")))
-    return F.when(text.isin(yes), True).when(text.isin(no), False)
+    return whole_number_of(raw(value))
 
 
 def optional_nullable(value: Column) -> Column:
     """YES and NO only (and booleans, whose text is true or false)."""
-    return _marker(value, ["yes"], ["no"])
+    return flag_of(raw(value), ("yes",), ("no",))
 
 
 def optional_bool(value: Column) -> Column:
-    return _marker(value, ["yes", "y", "true", "t", "1"], ["no", "n", "false", "f", "0"])
+    return flag_of(raw(value), YES_WORDS, NO_WORDS)
 
 
 # Words that mark a generated or a plain column, per dialect.
-_GENERATED = {"postgresql": (["always", "stored"], ["never", ""]), "snowflake": (["virtual", "virtual_column"], ["column", ""])}
-
-
-def is_generated(dialect: str, marker: Column, extra: Column) -> Column:
-    if dialect == "mysql":
-        return F.contains(F.lower(F.coalesce(extra, F.lit(""))), F.lit("generated"))
-    yes, no = _GENERATED[dialect]
-    return F.coalesce(optional_bool(marker), _marker(marker, yes, no))
-
-
-def is_auto_increment(dialect: str, marker: Column, extra: Column, default: Column) -> Column:
-    """MySQL says so in EXTRA, PostgreSQL by identity or a sequence default, Snowflake by a flag."""
-    if dialect == "mysql":
-        return F.contains(F.lower(F.coalesce(extra, F.lit(""))), F.lit("auto_increment"))
-    if dialect == "postgresql":
-        return F.coalesce(optional_bool(marker), F.lit(False)) | F.coalesce(default.like("nextval(%"), F.lit(False))
-    return optional_bool(marker)
+GENERATED_WORDS = {
+    "postgresql": (("always", "stored"), ("never", "")),
+    "snowflake": (("virtual", "virtual_column"), ("column", "")),
+}
 
 
 def schema_class(dialect: str, name: Column) -> Column:

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The characters that count as white space at the ends of a catalog value.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Canonical type families.
 CANONICAL_TYPES = (
     "STRING",
@@ -81,28 +88,50 @@ NATIVE_TYPES = {
 }
 
 
-def native_type_key(native: Column) -> Column:
-    """Matching-only name: lower case, single spaces, no parenthesised dimensions."""
-    lowered = F.regexp_replace(F.lower(F.trim(native)), r"(?U)\s+", " ")
-    return F.coalesce(F.trim(F.regexp_replace(lowered, r"\s*\([^)]*\)", "")), F.lit(""))
+_DIALECTS = tuple(NATIVE_TYPES)
+
+
+def native_type_key(bare: Column) -> Column:
+    """Matching-only name of a stripped native type: lower case, single spaces, no parenthesised dimensions."""
+    spaced = F.regexp_replace(F.lower(bare), r"(?U)\s+", " ")
+    return F.coalesce(F.btrim(F.regexp_replace(spaced, r" ?\([^)]*\)", "")), F.lit(""))
 
 
 # Type names that stand for a whole pattern: arrays in PostgreSQL, nested types in Spark.
 _PATTERNS = {"postgresql": (r"^.*\[\]$", "array"), "spark": (r"^(array|map|struct)<.*$", "variant")}
 
 
+def dialect_key(dialect: Column, key: Column, dialects: Sequence[str] = _DIALECTS) -> Column:
+    """Key of a native type in its dialect; names that follow a pattern become the name of the pattern."""
+    name = key
+    for one in sorted(set(dialects) & _PATTERNS.keys()):
+        pattern, family = _PATTERNS[one]
+        name = F.when((dialect == one) & key.rlike(pattern), family).otherwise(name)
+    return F.concat(dialect, F.lit(":"), name)
+
+
+def family_of_key(key: Column, dialects: Sequence[str] = _DIALECTS) -> Column:
+    """Family of a dialect key, by one set of names per family; FIXED_POINT still depends on the scale."""
+    names: dict[str, list[str]] = {}
+    for dialect in dialects:
+        for family, natives in NATIVE_TYPES[dialect].items():
+            names.setdefault(family, []).extend(f"{dialect}:{native}" for native in natives)
+    return case([(key.isin(keys), F.lit(family)) for family, keys in names.items()], F.lit("UNKNOWN"))
+
+
+def scaled_family(family: Column, numeric_scale: Column) -> Column:
+    fixed_point = F.when(numeric_scale == 0, "INTEGER").otherwise("DECIMAL")
+    return F.when(family == "FIXED_POINT", fixed_point).otherwise(family)
+
+
 def canonical_type(dialect: str, native: Column, numeric_scale: Column) -> Column:
-    """Canonical family of a native type; unknown names become UNKNOWN.
+    """Canonical family of a native type of one dialect; unknown names become UNKNOWN.
 
-    One lookup in a constant map, so the name is normalized once per row.
+    One expression. Over many columns each of the steps above is better a column of its own, because a step
+    names the one before several times.
     """
-    key = native_type_key(native)
-    if dialect in _PATTERNS:
-        key = F.regexp_replace(key, *_PATTERNS[dialect])
-    entries = [(name, family) for family, names in NATIVE_TYPES[dialect].items() for name in names]
-    families = F.create_map(*[F.lit(item) for entry in entries for item in entry])
-    family = F.coalesce(families[key], F.lit("UNKNOWN"))
-    return F.when(family == "FIXED_POINT", F.when(numeric_scale == 0, "INTEGER").otherwise("DECIMAL")).otherwise(family)
+    key = dialect_key(F.lit(dialect), native_type_key(F.btrim(native, F.lit(WHITE_SPACE))), [dialect])
+    return scaled_family(family_of_key(key, [dialect]), numeric_scale)
 
 
 def case(branches: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
@@ -120,14 +149,10 @@ def decimal_digits(canonical: Column, precision: Column, radix: Column) -> Colum
     return F.when((canonical == "INTEGER") & (radix == 2) & (precision > 0), digits).otherwise(precision)
 
 
-def element_type(dialect: str, explicit: Column, native: Column) -> Column:
-    """Array element family: an explicit canonical name wins, else the native type decides."""
-    named = F.upper(F.trim(explicit))
-    return (
-        F.when(named.isin(list(CANONICAL_TYPES)), named)
-        .when(native.isNotNull(), canonical_type(dialect, native, F.lit(None).cast("int")))
-        .otherwise(F.lit(None).cast("string"))
-    )
+def element_type(explicit: Column, native: Column) -> Column:
+    """Array element family: an explicit canonical name wins, else the family of the native type."""
+    named = F.upper(explicit)
+    return F.when(named.isin(list(CANONICAL_TYPES)), named).otherwise(native)
 
 
 # Order in which compatibility classes are preferred, best first.
@@ -149,8 +174,8 @@ _LARGEST = 2**31 - 1
 
 
 def constants(values: list, element: str) -> Column:
-    """A constant array; Catalyst folds it once per plan."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{element}>")
+    """A constant array."""
+    return F.expr(f"CAST(array({', '.join(map(repr, values))}) AS array<{element}>)")
 
 
 def _family_pair(source: str, target: str) -> int:
@@ -170,6 +195,18 @@ def _family_pair(source: str, target: str) -> int:
 
 _FAMILY_PAIRS = [_family_pair(source, target) for source in CANONICAL_TYPES for target in CANONICAL_TYPES]
 
+
+
+def family_pair(source: Column, target: Column) -> Column:
+    """What the families of two columns allow, by family number; see ``_family_pair``."""
+    return F.get(constants(_FAMILY_PAIRS, "int"), source * len(CANONICAL_TYPES) + target)
+
+
+def viable_families(source: str) -> int:
+    """Bits of the target families that a source family is compatible with."""
+    return sum(1 << number for number, target in enumerate(CANONICAL_TYPES) if _family_pair(source, target))
+
+
 TYPE_CODES = ("family", "known", *DIMENSIONS)
 
 
@@ -193,7 +230,7 @@ def type_codes(side: str) -> dict[str, Column]:
 
 def type_class(source: dict[str, Column], target: dict[str, Column]) -> Column:
     """Index into ``TYPE_CLASSES`` for two sets of type codes."""
-    pair = F.get(constants(_FAMILY_PAIRS, "int"), source["family"] * len(CANONICAL_TYPES) + target["family"])
+    pair = family_pair(source["family"], target["family"])
     narrows = F.lit(False)
     for name in DIMENSIONS:
         narrows = narrows | (target[name] < source[name])

@@ -8,25 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelift.functions.catalog import (
+    GENERATED_WORDS,
+    NO_WORDS,
+    YES_WORDS,
+    Raw,
     decode,
     estimated_rows,
+    flag_of,
     has_field,
-    is_auto_increment,
-    is_generated,
     is_system_schema,
     object_type,
     optional_bool,
-    optional_int,
-    optional_nullable,
     optional_text,
     partition_coverage,
     persistence_from_code,
     persistence_from_flags,
     pick,
     schema_class,
+    stripped,
+    text_of,
+    whole_number_of,
 )
 from tablelift.functions.json import canonical_row, richness
-from tablelift.functions.types import canonical_type, decimal_digits, element_type
+from tablelift.functions.types import decimal_digits, dialect_key, element_type, family_of_key, native_type_key, scaled_family
 
 # Databases that belong to the server.
 SYSTEM_DATABASES = {
@@ -50,10 +54,17 @@ def base_tables(tables: DataFrame, schema: str) -> DataFrame:
     return kept.select("table_name").orderBy("table_name")
 
 
-def schemas(namespaces: DataFrame, roles: DataFrame, dialect: str) -> DataFrame:
-    """Schemas with owner, kind and system flag. Roles without a schema are ignored."""
+def schemas(namespaces: DataFrame, roles: DataFrame | None, dialect: str) -> DataFrame:
+    """Schemas with owner, kind and system flag. Roles without a schema are ignored.
+
+    Without ``roles`` the rows hold the owner themselves, and a schema without one is kept.
+    """
     name = F.col("schema_name")
-    return namespaces.join(roles, "owner_id").select(
+    if roles is None:
+        owned = namespaces.withColumn("owner", optional_text(pick(namespaces, "schema_owner", "owner")))
+    else:
+        owned = namespaces.join(roles, "owner_id")
+    return owned.select(
         "catalog_name",
         "schema_name",
         "owner",
@@ -97,65 +108,120 @@ def richest(rows: DataFrame, identity: list[str]) -> DataFrame:
     many copies one identity has.
     """
     others = [name for name in rows.columns if name not in identity]
-    preference = F.struct((-richness(rows.columns)).alias("richness"), canonical_row(rows.columns).alias("text"))
+    preference = F.struct((-richness(rows)).alias("richness"), canonical_row(rows).alias("text"))
     best = rows.groupBy(*identity).agg(F.min_by(F.struct(*others), preference).alias("kept"))
     return best.select(*identity, *[F.col("kept")[name].alias(name) for name in others]).select(*rows.columns)
 
 
+# Names under which catalogs carry a field, the first one present wins.
+_COLUMN_FIELDS = {
+    "catalog_name": ("catalog_name", "table_catalog"),
+    "schema_name": ("schema_name", "table_schema"),
+    "column_name": ("column_name",),
+    "ordinal_position": ("ordinal_position",),
+    "native": ("data_type", "native_type"),
+    "nullable": ("is_nullable", "nullable"),
+    "character_length": ("character_maximum_length", "character_length"),
+    "precision": ("numeric_precision",),
+    "radix": ("numeric_precision_radix",),
+    "scale": ("numeric_scale",),
+    "datetime_precision": ("datetime_precision",),
+    "default": ("column_default", "default_expression", "default"),
+    "comment": ("column_comment", "comment"),
+    "collation": ("collation_name", "collation"),
+    "identity": ("is_identity", "identity"),
+    "identity_generation": ("identity_generation",),
+    "extra": ("extra",),
+    "generated": ("is_generated", "generated", "kind"),
+    "generation_expression": ("generation_expression", "generated_expression", "expression"),
+    "is_primary_key": ("is_primary_key",),
+    "is_foreign_key": ("is_foreign_key",),
+    "is_unique_key": ("is_unique_key", "unique_key"),
+    "array_dimensions": ("array_dimensions", "attndims"),
+    "element": ("element_native_type", "array_element_type"),
+    "element_canonical": ("element_canonical_type", "array_element_canonical_type"),
+}
+
+
 def normalize_columns(rows: DataFrame, dialect: str) -> DataFrame:
     """Raw catalog column rows of one dialect as canonical columns."""
-    return rows.select(*_canonical_columns(rows, dialect))
+    return normalize_catalogs(rows.withColumn("dialect", F.lit(dialect)), (dialect,))
 
 
-def normalize_catalogs(rows: DataFrame, dialects: tuple[str, ...] = ("postgresql", "mysql", "snowflake")) -> DataFrame:
+def normalize_catalogs(rows: DataFrame, dialects: Sequence[str] = ("postgresql", "mysql", "snowflake")) -> DataFrame:
     """Raw column rows of several dialects, told apart by ``dialect``, as canonical columns in one pass.
 
-    Rows of other dialects are left out.
+    Every field is stripped once, then each canonical column is one rule for all dialects; where they differ,
+    the row's dialect is part of a key or of a condition. Rows of other dialects are left out.
     """
-    names = normalize_columns(rows, dialects[0]).columns
-    parts = [_canonical_columns(rows, dialect) for dialect in dialects]
+    kept = rows.filter(F.col("dialect").isin(*dialects))
     fields = []
-    for place, name in enumerate(names):
-        value = F.when(F.col("dialect") == dialects[0], parts[0][place])
-        for dialect, part in zip(dialects[1:], parts[1:]):
-            value = value.when(F.col("dialect") == dialect, part[place])
-        fields.append(value.alias(name))
-    return rows.filter(F.col("dialect").isin(*dialects)).select(*fields)
-
-
-def _canonical_columns(rows: DataFrame, dialect: str) -> list[Column]:
-    native = optional_text(pick(rows, "data_type", "native_type"))
-    scale = optional_int(pick(rows, "numeric_scale"))
-    canonical = canonical_type(dialect, native, scale)
-    precision = optional_int(pick(rows, "numeric_precision"))
-    if dialect == "postgresql":
-        precision = decimal_digits(canonical, precision, optional_int(pick(rows, "numeric_precision_radix")))
-    identity = pick(rows, "is_identity", "identity")
-    extra, default = pick(rows, "extra"), pick(rows, "column_default", "default_expression", "default")
-    marker = pick(rows, "is_generated", "generated", "kind")
-    element = optional_text(pick(rows, "element_native_type", "array_element_type"))
-    explicit_element = pick(rows, "element_canonical_type", "array_element_canonical_type")
-    identity_flag = F.lit(None).cast("boolean") if dialect == "mysql" else optional_bool(identity)
-    return [
-        F.lit(dialect).alias("system"),
-        F.col("table_id"),
-        optional_text(pick(rows, "column_name")).alias("column_name"),
-        optional_int(pick(rows, "ordinal_position")).cast("int").alias("ordinal_position"),
-        native.alias("native_type"),
-        canonical.alias("canonical_type"),
-        optional_nullable(pick(rows, "is_nullable", "nullable")).alias("nullable"),
-        optional_int(pick(rows, "character_maximum_length", "character_length")).cast("int").alias("character_length"),
+    for name, names in _COLUMN_FIELDS.items():
+        if has_field(rows, *names):
+            value = pick(rows, *names).cast("string")
+            fields += [value.alias(name), stripped(value).alias(f"{name}_bare")]
+    bare = kept.select("dialect", "table_id", *fields)
+    present = set(bare.columns)
+    none = F.lit(None).cast("string")
+    value = {name: Raw(F.col(name), F.col(f"{name}_bare")) if name in present else Raw(none, none) for name in _COLUMN_FIELDS}
+
+    dialect = F.col("dialect")
+    whole = {
+        name: whole_number_of(value[name]).alias(name)
+        for name in ("ordinal_position", "character_length", "precision", "radix", "scale", "datetime_precision", "array_dimensions")
+    }
+    # Every step names the one before more than once, so each is a projection of its own and is evaluated once.
+    typed = bare.withColumns({f"{name}_number": number for name, number in whole.items()})
+    natives = ("native", "element")
+    typed = typed.withColumns({f"{name}_key": native_type_key(value[name].bare) for name in natives})
+    typed = typed.withColumns({f"{name}_key": dialect_key(dialect, F.col(f"{name}_key"), dialects) for name in natives})
+    typed = typed.withColumns({f"{name}_family": family_of_key(F.col(f"{name}_key"), dialects) for name in natives})
+    typed = typed.withColumns({
+        "canonical_type": scaled_family(F.col("native_family"), F.col("scale_number")),
+        "element_family": F.when(value["element"].bare != "", scaled_family(F.col("element_family"), F.lit(None).cast("int"))),
+    })
+    digits = decimal_digits(F.col("canonical_type"), F.col("precision_number"), F.col("radix_number"))
+    precision = F.when(dialect == "postgresql", digits).otherwise(F.col("precision_number"))
+
+    def number(name: str) -> Column:
+        return F.col(f"{name}_number").cast("int")
+
+    def flag(name: str) -> Column:
+        return flag_of(value[name], YES_WORDS, NO_WORDS)
+
+    identity = flag("identity")
+    extra, default = F.lower(F.coalesce(value["extra"].text, F.lit(""))), value["default"].text
+    from_sequence = F.coalesce(default.like("nextval(%"), F.lit(False))
+    is_auto_increment = (
+        F.when(dialect == "mysql", F.contains(extra, F.lit("auto_increment")))
+        .when(dialect == "postgresql", F.coalesce(identity, F.lit(False)) | from_sequence)
+        .otherwise(identity)
+    )
+    is_generated = F.when(dialect == "mysql", F.contains(extra, F.lit("generated")))
+    for name, words in GENERATED_WORDS.items():
+        is_generated = is_generated.when(dialect == name, F.coalesce(flag("generated"), flag_of(value["generated"], *words)))
+    return typed.select(
+        dialect.alias("system"),
+        "table_id",
+        *[text_of(value[name]).alias(name) for name in ("catalog_name", "schema_name", "column_name")],
+        number("ordinal_position").alias("ordinal_position"),
+        text_of(value["native"]).alias("native_type"),
+        "canonical_type",
+        flag_of(value["nullable"], ("yes",), ("no",)).alias("nullable"),
+        number("character_length").alias("character_length"),
         precision.cast("int").alias("numeric_precision"),
-        scale.cast("int").alias("numeric_scale"),
-        optional_int(pick(rows, "datetime_precision")).cast("int").alias("datetime_precision"),
-        optional_text(default).alias("default_expression"),
-        identity_flag.alias("is_identity"),
-        is_auto_increment(dialect, identity, extra, default).alias("is_auto_increment"),
-        is_generated(dialect, marker, extra).alias("is_generated"),
-        optional_int(pick(rows, "array_dimensions", "attndims")).cast("int").alias("array_dimensions"),
-        element.alias("element_native_type"),
-        element_type(dialect, explicit_element, element).alias("element_canonical_type"),
-    ]
+        number("scale").alias("numeric_scale"),
+        number("datetime_precision").alias("datetime_precision"),
+        text_of(value["default"]).alias("default_expression"),
+        *[text_of(value[name]).alias(name) for name in ("comment", "collation", "identity_generation", "generation_expression")],
+        F.when(dialect != "mysql", identity).alias("is_identity"),
+        is_auto_increment.alias("is_auto_increment"),
+        is_generated.alias("is_generated"),
+        *[flag(name).alias(name) for name in ("is_primary_key", "is_foreign_key", "is_unique_key")],
+        number("array_dimensions").alias("array_dimensions"),
+        text_of(value["element"]).alias("element_native_type"),
+        element_type(value["element_canonical"].bare, F.col("element_family")).alias("element_canonical_type"),
+    )
 
 
 def is_readable_column() -> Column:
@@ -287,41 +353,3 @@ def mark_membership(columns: DataFrame, members: DataFrame, coverage: DataFrame,
     )
     flag = F.when(F.col("listed"), True).when(F.col("list_coverage") == "COMPLETE", False)
     return joined.withColumn(name, flag).drop("listed", "list_coverage")
-
-
-def table_documents(tables: DataFrame, columns: DataFrame, keys: DataFrame, foreign_keys: DataFrame) -> DataFrame:
-    """One nested row per table: ordered columns, primary key, unique and foreign keys.
-
-    The arrays of a table are as long as the table has columns and constraints.
-    """
-    order = F.struct(
-        F.col("ordinal_position").isNull().alias("unplaced"),
-        F.coalesce("ordinal_position", F.lit(0)).alias("place"),
-        F.col("column_name").alias("column_name"),
-        F.col("canonical_type").alias("canonical_type"),
-        F.col("nullable").alias("nullable"),
-    )
-    listed = columns.groupBy("table_id").agg(F.array_sort(F.collect_list(order)).alias("columns"))
-    named = F.struct(
-        F.col("constraint_name").isNull().alias("unnamed"),
-        F.coalesce("constraint_name", F.lit("")).alias("name"),
-        F.col("columns").alias("columns"),
-    )
-    is_primary = F.col("constraint_type") == "p"
-    keyed = keys.groupBy("table_id").agg(
-        F.min(F.when(is_primary, named)).alias("primary_key"),
-        F.array_sort(F.collect_list(F.when(~is_primary, named))).alias("unique_constraints"),
-    )
-    referencing = foreign_keys.groupBy("table_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("constraint_name", "local_columns", "referenced_columns", "referenced_table"))
-        ).alias("foreign_keys")
-    )
-    joined = tables.join(listed, "table_id", "left").join(keyed, "table_id", "left").join(referencing, "table_id", "left")
-    return joined.select(
-        *tables.columns,
-        F.transform("columns", lambda item: item.dropFields("unplaced", "place")).alias("columns"),
-        F.col("primary_key.columns").alias("primary_key"),
-        F.transform("unique_constraints", lambda item: item["columns"]).alias("unique_constraints"),
-        "foreign_keys",
-    )

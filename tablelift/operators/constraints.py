@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelift.functions.catalog import has_field, optional_int, optional_text, pick
 from tablelift.operators.catalog import richest
 
-CONSTRAINT = ["table_id", "constraint_type", "constraint_id"]
+#: What tells constraints apart once ``identified`` has named them.
+CONSTRAINT = ["table_id", "constraint_type", "constraint_key"]
+FOREIGN_KEY = ["table_id", "constraint_key"]
+
+# Fields that name a constraint, the first one with a value counts; fields that hold whole member lists,
+# and fields that hold one member.
+_NAMES = ("constraint_oid", "constraint_id", "constraint_name", "name")
+_KEY_LISTS, _KEY_MEMBERS = ("columns", "column_names", "local_columns"), ("column_name", "local_column_name")
+_LOCAL_LISTS, _LOCAL_MEMBERS = ("local_columns", "columns", "column_names"), ("local_column_name", "column_name")
+_REFERENCED_LISTS = ("referenced_columns", "foreign_column_names")
+_REFERENCED_MEMBERS = ("referenced_column_name", "foreign_column_name")
+_SEQUENCES = ("key_sequence", "ordinal_position", "column_position")
+
+
+def constraint_key(rows: DataFrame) -> Column:
+    """The catalog's own identity of a constraint: its id, else its name; NULL when it has neither."""
+    named = [optional_text(pick(rows, name)) for name in _NAMES if has_field(rows, name)]
+    return F.coalesce(*named) if named else F.lit(None).cast("string")
+
+
+def identified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with a ``constraint_key``, rows without any identity). Each row of the second is a constraint by itself."""
+    keyed = rows.withColumn("constraint_key", constraint_key(rows))
+    return keyed.filter(F.col("constraint_key").isNotNull()), keyed.filter(F.col("constraint_key").isNull())
+
+
+def _listed(rows: DataFrame, lists: tuple[str, ...], members: tuple[str, ...]) -> Column:
+    """Members that a row names: its list, in order, or else its single member."""
+    one = optional_text(pick(rows, *members))
+    single = F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
+    if not has_field(rows, *lists):
+        return single
+    return F.when(F.size(pick(rows, *lists)) > 0, pick(rows, *lists)).otherwise(single)
+
+
+def _sequence(rows: DataFrame) -> Column:
+    return optional_int(pick(rows, *_SEQUENCES))
 
 
 def _placed(sequence: Column, *values: Column | str) -> Column:
@@ -19,46 +58,85 @@ def _is_text(value: Column) -> Column:
     return F.coalesce(value != "", F.lit(False))
 
 
+def _members(rows: DataFrame, listed: Column, *keep: str | Column) -> DataFrame:
+    """One row per member that a row names, with its place; a row that names none keeps one without a member."""
+    frame = rows.select(*keep, listed.alias("listed"), _sequence(rows).alias("sequence"))
+    names = [name for name in frame.columns if name not in ("listed", "sequence")]
+    exploded = frame.select(*names, "listed", "sequence", F.posexplode_outer("listed").alias("position", "member"))
+    at = _placed(F.col("sequence"), "listed", "position").alias("at")
+    return exploded.select(*names, "member", "sequence", at)
+
+
+def _ordered(members: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Distinct members per key, by their first place.
+
+    Each member is folded to its first place before anything is collected, so a constraint collects as many
+    items as it has members, however often the catalog repeats them.
+    """
+    first = members.filter(F.col("member").isNotNull()).groupBy(*keys, "member").agg(F.min("at").alias("at"))
+    ordered = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "member"))).alias("members"))
+    return ordered.select(*keys, F.col("members.member").alias(name))
+
+
 def key_constraints(rows: DataFrame) -> DataFrame:
     """One row per key with its distinct columns in sequence order, attributes from the richest row.
 
-    Each column is folded to its first place before anything is collected, so a
-    constraint collects as many items as it has columns, however often the
-    catalog repeats them.
+    Rows belong together by id, else by name; a row with neither is a key of its own. A row holds one column or a
+    whole list of columns.
     """
-    named = rows.filter(_is_text(F.col("column_name")))
-    first = named.groupBy(*CONSTRAINT, "column_name").agg(F.min(_placed(F.col("key_sequence"))).alias("at"))
-    ordered = first.groupBy(*CONSTRAINT).agg(
-        F.array_sort(F.collect_list(F.struct("at", "column_name"))).alias("members")
-    )
-    attributes = [name for name in rows.columns if name not in (*CONSTRAINT, "column_name", "key_sequence")]
-    described = richest(rows.select(*CONSTRAINT, *attributes), CONSTRAINT)
-    return described.join(ordered, CONSTRAINT, "left").select(
-        *CONSTRAINT,
-        *attributes,
-        F.coalesce(F.col("members.column_name"), F.array().cast("array<string>")).alias("columns"),
+    named, alone = identified(rows)
+    sources = {name.lower() for name in (*_KEY_LISTS, *_KEY_MEMBERS, *_SEQUENCES)}
+    attributes = [name for name in rows.columns if name.lower() not in (*sources, "table_id", "constraint_type", "constraint_key")]
+    listed = _listed(named, _KEY_LISTS, _KEY_MEMBERS)
+    described = richest(named, CONSTRAINT).select(*CONSTRAINT, *attributes)
+    joined = described.join(_ordered(_members(named, listed, *CONSTRAINT), CONSTRAINT, "found"), CONSTRAINT, "left")
+    none = F.array().cast("array<string>")
+    head = ["table_id", "constraint_type", *attributes]
+    own = _listed(alone, _KEY_LISTS, _KEY_MEMBERS)
+    return joined.select(*head, F.coalesce("found", none).alias("columns")).unionByName(
+        alone.select(*head, F.array_distinct(own).alias("columns"))
     )
 
 
 def key_coverage(rows: DataFrame, constraint_type: str, *, strict: bool = False) -> DataFrame:
     """COMPLETE per table when every key of the type has its full, ordered membership.
 
-    A key of one column needs no sequence. ``strict`` asks every row for an id, a
+    A key of one column needs no sequence, nor does one that some row lists as a whole. ``strict`` asks every row for an id, a
     column and a positive sequence.
     """
     kept = rows.filter(F.col("constraint_type") == constraint_type)
-    member = _is_text(F.col("column_name"))
-    placed = F.col("key_sequence").isNotNull()
-    whole = member & placed
-    if strict:
-        whole = member & F.coalesce(F.col("key_sequence") > 0, F.lit(False)) & _is_text(F.col("constraint_id"))
-    per_key = kept.groupBy(*CONSTRAINT).agg(
-        F.count_distinct(F.when(member, F.col("column_name"))).alias("columns"), F.bool_and(whole).alias("whole")
-    )
-    complete = F.col("whole") & (F.col("columns") > 0)
-    if not strict:
-        complete = complete | (F.col("columns") == 1)
-    return _per_table(per_key.withColumn("complete", complete))
+    named, alone = identified(kept)
+    parts = []
+    for frame, keys in ((named, CONSTRAINT), (alone, None)):
+        listed = _listed(frame, _KEY_LISTS, _KEY_MEMBERS)
+        member, sequence = F.col("member"), F.col("sequence")
+        whole = member.isNotNull() & sequence.isNotNull()
+        if strict:
+            id_ = optional_text(pick(frame, "constraint_oid", "constraint_id")).isNotNull()
+            whole = member.isNotNull() & F.coalesce(sequence > 0, F.lit(False)) & F.col("has_id")
+        else:
+            id_ = F.lit(True)
+        if keys is None:
+            # A row by itself names its members as a whole, or one of them.
+            complete = (F.size(listed) > 0) & (id_ & F.coalesce(_sequence(frame) > 0, F.lit(False)) if strict else F.lit(True))
+            parts.append(frame.select("table_id", complete.alias("complete")))
+            continue
+        members = _members(frame, listed, *keys, id_.alias("has_id"))
+        per_member = members.groupBy(*keys, "member").agg(F.min("at").alias("at"), F.bool_and(whole).alias("whole"))
+        facts = [F.count("member").alias("columns"), F.bool_and("whole").alias("whole")]
+        has_lists = has_field(frame, *_KEY_LISTS) and not strict
+        if has_lists:
+            facts.append(F.array_sort(F.collect_list(F.when(member.isNotNull(), F.struct("at", "member")))).alias("members"))
+        per_key = per_member.groupBy(*keys).agg(*facts)
+        complete = F.col("whole") & (F.col("columns") > 0)
+        if not strict:
+            complete = complete | (F.col("columns") == 1)
+        if has_lists:
+            lists = frame.select(*keys, pick(frame, *_KEY_LISTS).alias("members")).distinct().withColumn("explicit", F.lit(True))
+            per_key = per_key.withColumn("members", F.col("members.member")).join(lists, [*keys, "members"], "left")
+            complete = complete | ((F.col("columns") > 0) & F.col("explicit").isNotNull())
+        parts.append(per_key.select("table_id", complete.alias("complete")))
+    return _per_table(parts[0].unionByName(parts[1]))
 
 
 def _per_table(per_constraint: DataFrame) -> DataFrame:
@@ -67,9 +145,6 @@ def _per_table(per_constraint: DataFrame) -> DataFrame:
     )
 
 
-FOREIGN_KEY = ["table_id", "constraint_id"]
-
-
 def foreign_key_pairs(rows: DataFrame) -> DataFrame:
     """The richest complete (local, referenced) pair per sequence; incomplete rows are dropped."""
     complete = (
@@ -78,60 +153,114 @@ def foreign_key_pairs(rows: DataFrame) -> DataFrame:
         & _is_text(F.col("referenced_table"))
         & F.coalesce(F.col("key_sequence") > 0, F.lit(False))
     )
-    return richest(rows.filter(complete), [*FOREIGN_KEY, "key_sequence"])
+    named, alone = identified(rows.filter(complete))
+    return richest(named, [*FOREIGN_KEY, "key_sequence"]).unionByName(alone).drop("constraint_key")
 
 
 def foreign_keys(rows: DataFrame) -> DataFrame:
-    """One row per foreign key: local and referenced columns in sequence order."""
-    pairs = foreign_key_pairs(rows)
-    place = F.col("key_sequence")
-    sides = []
-    for name, listed in (("local_column_name", "local_columns"), ("referenced_column_name", "referenced_columns")):
-        first = pairs.groupBy(*FOREIGN_KEY, name).agg(F.min(place).alias("place"))
-        ordered = F.array_sort(F.collect_list(F.struct("place", name)))
-        sides.append(
-            first.groupBy(*FOREIGN_KEY).agg(ordered.alias("members"))
-            .select(*FOREIGN_KEY, F.col("members")[name].alias(listed))
-        )
-    attributes = ["constraint_name", "referenced_table"]
-    described = richest(pairs.select(*FOREIGN_KEY, *attributes), FOREIGN_KEY)
-    return described.join(sides[0], FOREIGN_KEY).join(sides[1], FOREIGN_KEY)
+    """One row per foreign key: local and referenced columns in sequence order, attributes from the richest row.
+
+    As ``key_constraints``: rows belong together by id, else by name, and hold one pair or two lists.
+    """
+    named, alone = identified(rows)
+    lists = {"local_columns": (_LOCAL_LISTS, _LOCAL_MEMBERS), "referenced_columns": (_REFERENCED_LISTS, _REFERENCED_MEMBERS)}
+    sources = {name for group in (*lists.values(), (_SEQUENCES,)) for names in group for name in names}
+    attributes = [name for name in rows.columns if name.lower() not in (*sources, "table_id", "constraint_key", "expected_column_count")]
+    found = richest(named, FOREIGN_KEY).select(*FOREIGN_KEY, *attributes)
+    none = F.array().cast("array<string>")
+    own = []
+    # Of two rows at one place the local columns decide first, then the referenced ones, on both sides alike.
+    both = [_listed(named, *names) for names in lists.values()]
+    for side, (name, names) in enumerate(lists.items()):
+        members = _members(named, both[side], *FOREIGN_KEY, both[0].alias("first"), both[1].alias("second"))
+        at = F.struct("at.unplaced", "at.place", "first", "second", "at.position")
+        ordered = _ordered(members.withColumn("at", at), FOREIGN_KEY, name)
+        found = found.join(ordered, FOREIGN_KEY, "left").withColumn(name, F.coalesce(name, none))
+        own.append(F.array_distinct(_listed(alone, *names)).alias(name))
+    columns = ["table_id", *attributes, *lists]
+    return found.select(*columns).unionByName(alone.select("table_id", *attributes, *own))
+
+
+def foreign_key_membership(rows: DataFrame) -> DataFrame:
+    """COMPLETE per table when both sides of every foreign key are known, in order and equally long.
+
+    Some row has to list both sides as they are, or hold the only pair; or each row has a place and every pair of the ordered sides
+    was seen in a row.
+    """
+    named, alone = identified(rows)
+    columns, parts = ["local_columns", "referenced_columns"], []
+
+    def sides(frame: DataFrame) -> list[Column]:
+        return [_listed(frame, _LOCAL_LISTS, _LOCAL_MEMBERS), _listed(frame, _REFERENCED_LISTS, _REFERENCED_MEMBERS)]
+
+    local, referenced = sides(alone)
+    parts.append(alone.select("table_id", ((F.size(local) > 0) & (F.size(local) == F.size(referenced))).alias("complete")))
+
+    local, referenced = sides(named)
+    base = named.select(*FOREIGN_KEY, local.alias("l"), referenced.alias("r"), _sequence(named).alias("key_sequence"))
+    has_lists = has_field(named, *_LOCAL_LISTS, *_REFERENCED_LISTS)
+    pairs = base.withColumnsRenamed({"l": "local_columns", "r": "referenced_columns"})
+    ordered = foreign_keys(pairs.withColumnRenamed("constraint_key", "constraint_id")).withColumnRenamed("constraint_id", "constraint_key")
+    sound = (F.size("l") > 0) & (F.size("l") == F.size("r")) & F.col("key_sequence").isNotNull()
+    placed = base.groupBy(*FOREIGN_KEY).agg(F.bool_and(sound).alias("placed"))
+    seen = base.filter(F.size("l") == F.size("r")).select(*FOREIGN_KEY, F.explode(F.arrays_zip("l", "r")).alias("pair"), "key_sequence")
+    seen = seen.groupBy(*FOREIGN_KEY, "pair").agg(F.max(F.col("key_sequence").isNotNull()).alias("seen"))
+    zipped = F.arrays_zip(F.col("local_columns").alias("l"), F.col("referenced_columns").alias("r"))
+    wanted = ordered.select(*FOREIGN_KEY, F.explode(zipped).alias("pair")).join(seen, [*FOREIGN_KEY, "pair"], "left")
+    covered = wanted.groupBy(*FOREIGN_KEY).agg(
+        F.bool_and(F.coalesce("seen", F.lit(False))).alias("covered"), F.bool_and(F.col("seen").isNotNull()).alias("paired")
+    )
+    facts = ordered.join(placed, FOREIGN_KEY).join(covered, FOREIGN_KEY, "left")
+    even = (F.size("local_columns") > 0) & (F.size("local_columns") == F.size("referenced_columns"))
+    single = (F.size("local_columns") == 1) & F.col("paired")
+    known = single | (F.col("placed") & F.col("covered"))
+    if has_lists:
+        lists = base.select(*FOREIGN_KEY, F.col("l").alias(columns[0]), F.col("r").alias(columns[1])).distinct()
+        facts = facts.join(lists.withColumn("explicit", F.lit(True)), [*FOREIGN_KEY, *columns], "left")
+        known = known | F.col("explicit").isNotNull()
+    parts.append(facts.select("table_id", F.coalesce(even & known, F.lit(False)).alias("complete")))
+    return _per_table(parts[0].unionByName(parts[1]))
+
+
+def _without_repeats(rows: DataFrame, keys: list[str], *values: Column) -> DataFrame:
+    """Per key whether no value comes twice in any of the columns. Counted per value, which folds on the map side."""
+    items = F.array(*[F.struct(F.lit(n).alias("side"), value.cast("string").alias("value")) for n, value in enumerate(values)])
+    times = rows.select(*keys, F.explode(items).alias("item")).groupBy(*keys, "item").agg(F.count(F.lit(1)).alias("times"))
+    return times.groupBy(*keys).agg((F.max("times") == 1).alias("distinct"))
 
 
 def foreign_key_coverage(rows: DataFrame) -> DataFrame:
-    """COMPLETE per table when every foreign key has exactly its expected, distinct pairs."""
+    """COMPLETE per table when every foreign key has exactly its expected, distinct pairs, under an id of its own."""
     sequence, expected = F.col("key_sequence"), F.col("expected_column_count")
     local, referenced = F.col("local_column_name"), F.col("referenced_column_name")
-    per_key = rows.groupBy(*FOREIGN_KEY).agg(
+    named, alone = identified(rows)
+    per_key = named.groupBy(*FOREIGN_KEY).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_distinct(sequence).alias("sequences"),
-        F.count_distinct(local).alias("locals"),
-        F.count_distinct(referenced).alias("references"),
-        F.count_distinct(F.coalesce(expected, F.lit(-1))).alias("expectations"),
-        F.max(expected).alias("expected"),
+        F.bool_and(_is_text(optional_text(pick(named, "constraint_oid", "constraint_id")))).alias("has_id"),
+        F.min(F.coalesce(expected, F.lit(-1))).alias("least"),
+        F.max(F.coalesce(expected, F.lit(-1))).alias("most"),
         F.bool_and(_is_text(local) & _is_text(referenced)).alias("named"),
         F.bool_and(F.coalesce((sequence > 0) & (sequence <= expected), F.lit(False))).alias("in_range"),
     )
-    n = F.col("n")
+    distinct = _without_repeats(named, FOREIGN_KEY, sequence, local, referenced)
     complete = (
-        _is_text(F.col("constraint_id"))
-        & (F.col("expectations") == 1)
-        & F.coalesce(F.col("expected") > 0, F.lit(False))
-        & (n == F.col("expected"))
-        & (F.col("sequences") == n)
-        & (F.col("locals") == n)
-        & (F.col("references") == n)
+        F.col("has_id")
+        & (F.col("least") == F.col("most"))
+        & (F.col("most") > 0)
+        & (F.col("n") == F.col("most"))
+        & F.col("distinct")
         & F.col("named")
         & F.col("in_range")
     )
-    return _per_table(per_key.withColumn("complete", complete))
+    judged = per_key.join(distinct, FOREIGN_KEY).select("table_id", complete.alias("complete"))
+    return _per_table(judged.unionByName(alone.select("table_id", F.lit(False).alias("complete"))))
 
 
-def zip_columns(constraints: DataFrame) -> DataFrame:
+def zip_columns(constraints: DataFrame, keys: Sequence[str] = ("table_id", "constraint_id")) -> DataFrame:
     """Unnest two parallel arrays by position; a missing partner stays NULL."""
     zipped = F.arrays_zip("local_columns", "referenced_columns")
-    return constraints.select(*FOREIGN_KEY, F.posexplode(zipped).alias("position", "pair")).select(
-        *FOREIGN_KEY,
+    return constraints.select(*keys, F.posexplode(zipped).alias("position", "pair")).select(
+        *keys,
         (F.col("position") + 1).alias("key_sequence"),
         F.col("pair.local_columns").alias("local_column_name"),
         F.col("pair.referenced_columns").alias("referenced_column_name"),
@@ -178,15 +307,12 @@ def accept_primary_keys(headers: DataFrame, members: DataFrame, columns: DataFra
         F.bool_or(conflicting).alias("conflict"),
         F.bool_and("known").alias("known"),
         F.count(F.lit(1)).alias("n"),
-        F.count_distinct(sequence).alias("positions"),
-        F.count_distinct(name).alias("names"),
         F.min(sequence).alias("low"),
         F.max(sequence).alias("high"),
     )
+    per_key = per_key.join(_without_repeats(members, by_name, sequence, name), by_name)
     n = F.col("n")
-    ordered = (
-        (F.col("positions") == n) & (F.col("names") == n) & (F.col("low") == 1) & (F.col("high") == n) & F.col("known")
-    )
+    ordered = F.col("distinct") & (F.col("low") == 1) & (F.col("high") == n) & F.col("known")
     per_table = header_counts.join(per_key, by_name, "full").groupBy("table_id").agg(
         F.bool_or(F.col("headers") > 1).alias("repeated"),
         F.bool_or("unmatched").alias("unmatched"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tablelift.functions.catalog import clustering_coverage, decode, is_fixed_code, view_coverage
-from tablelift.functions.json import redacted
-from tablelift.functions.types import NATIVE_TYPES
+from tablelift.functions.json import canonical_json, redacted, redacted_json
+from tablelift.functions.types import NATIVE_TYPES, WHITE_SPACE
 from tablelift.operators.arrays import array_chains
 from tablelift.operators.catalog import (
     base_tables,
@@ -23,13 +25,13 @@ from tablelift.operators.catalog import (
     quarantine,
     richest,
     schemas,
-    table_documents,
     user_databases,
     warnings,
 )
 from tablelift.operators.constraints import (
     accept_primary_keys,
     foreign_key_coverage,
+    foreign_key_membership,
     foreign_key_pairs,
     foreign_keys,
     key_constraints,
@@ -37,13 +39,17 @@ from tablelift.operators.constraints import (
     referenced_keys,
     zip_columns,
 )
+from tablelift.operators.documents import check_constraints, is_readable_check, whole_documents
 from tablelift.queries.catalogs import on_duckdb, on_spark
 from tablelift.queries.data import table
+from tablelift.session import materialize, small_methods
 
 
 def pick_by(value: str, items: list[str | None]) -> str:
     """SQL CASE that picks one of ``items`` by number."""
-    branches = " ".join(f"WHEN {n} THEN {'NULL' if item is None else repr(item)}" for n, item in enumerate(items))
+    # Tabs and line breaks stand in the literal as they are, which both engines read alike.
+    literals = ["NULL" if item is None else f"'{item}'" for item in items]
+    branches = " ".join(f"WHEN {n} THEN {item}" for n, item in enumerate(literals))
     return f"CASE {value} % {len(items)} {branches} END"
 
 
@@ -51,35 +57,49 @@ _TYPES = [
     "VARCHAR(20)", " character  varying (10)", "int4", "BIGINT", "numeric(10,2)", "decimal", "double precision",
     "Float8", "bool", "boolean", "date", "time without time zone", "timestamp with time zone", "timestamp(3)",
     "timestamp_ltz", "bytea", "jsonb", "integer[]", "ARRAY", "variant", "bit", "year", "mediumint", "number",
-    "fixed", "geometry", "   ", "datetime", "tinytext", "money", None,
+    "fixed", "geometry", "   ", "datetime", "tinytext", "money", None, "\tVARCHAR\t(30)\n", "double\tprecision",
+    "timestamp \t with\ntime zone", "\n\t", "NUMERIC\t( 10, 0 )\t",
 ]
 
 RAW_COLUMNS_SQL = f"""
     SELECT concat('t', l_orderkey) AS table_id,
            CASE l_suppkey % 3 WHEN 0 THEN 'postgresql' WHEN 1 THEN 'mysql' ELSE 'snowflake' END AS dialect,
-           {pick_by("l_linenumber", ["a", "b", " ", "Amount", "d d", "f", "g"])} AS column_name,
-           {pick_by("l_partkey", ["1", " 2 ", "+3", "12.5", "", "0", "x", None])} AS ordinal_position,
+           {pick_by("l_suppkey", ["main", " ", None])} AS table_catalog,
+           {pick_by("l_suppkey", ["public", "Sales ", None, ""])} AS schema_name,
+           {pick_by("l_linenumber", ["a", "b", " ", "Amount", "d d", "\t", " g\n"])} AS column_name,
+           {pick_by("l_partkey", ["1", " 2 ", "+3", "12.5", "", "0", "x", None, "\t4\n", "- 5", "1e3"])} AS ordinal_position,
            {pick_by("l_partkey", _TYPES)} AS data_type,
-           {pick_by("l_linenumber", ["YES", "no", "UNKNOWN", None])} AS is_nullable,
-           {pick_by("l_suppkey", ["20", "invalid", None])} AS character_maximum_length,
+           {pick_by("l_linenumber", ["YES", "no", "UNKNOWN", None, "\tYes\n", " No\t"])} AS is_nullable,
+           {pick_by("l_suppkey", ["20", "invalid", None, "\n30\t"])} AS character_maximum_length,
            {pick_by("l_partkey + l_linenumber", ["16", "32", "64", "0", "", None])} AS numeric_precision,
            {pick_by("l_linenumber", ["2", "10"])} AS numeric_precision_radix,
-           {pick_by("l_linenumber", ["0", "2", None, "+0", "1.5"])} AS numeric_scale,
+           {pick_by("l_linenumber", ["0", "2", None, "+0", "1.5", "\t0"])} AS numeric_scale,
            {pick_by("l_suppkey", ["6", None])} AS datetime_precision,
-           {pick_by("l_partkey", ["nextval(seq)", " ", "42", None])} AS column_default,
-           {pick_by("l_linenumber", ["YES", "f", "1", "maybe", None])} AS is_identity,
+           {pick_by("l_partkey", ["nextval(seq)", " ", "42", None, "\n"])} AS column_default,
+           {pick_by("l_suppkey", ["a note", "\t", None])} AS column_comment,
+           {pick_by("l_partkey", ["C", " de_DE ", "", None])} AS collation_name,
+           {pick_by("l_linenumber", ["YES", "f", "1", "maybe", None, "\tY\n"])} AS is_identity,
+           {pick_by("l_partkey", ["ALWAYS", "BY DEFAULT", " ", None])} AS identity_generation,
            {pick_by("l_partkey", ["auto_increment", "VIRTUAL GENERATED", "", None])} AS extra,
-           {pick_by("l_suppkey", ["ALWAYS", "never", "virtual", "COLUMN", "stored", "", None])} AS is_generated,
-           {pick_by("l_partkey", ["decimal", "Uuid", "real", None, "array", "bogus"])} AS element_native_type,
-           {pick_by("l_linenumber", [" decimal", "nothing", None])} AS element_canonical_type
+           {pick_by("l_suppkey", ["ALWAYS", "never", "virtual", "COLUMN", "stored", "", None, "\tAlways "])} AS is_generated,
+           {pick_by("l_suppkey", ["a + b", "  ", None])} AS generated_expression,
+           {pick_by("l_linenumber", ["t", "no", "", None])} AS is_primary_key,
+           {pick_by("l_partkey", ["0", "\tTRUE", "perhaps"])} AS is_foreign_key,
+           {pick_by("l_suppkey", ["n", "Yes", None])} AS unique_key,
+           {pick_by("l_partkey", ["decimal", "Uuid", "real", None, "array", "bogus", "\tdouble  precision\n", " "])} AS element_native_type,
+           {pick_by("l_linenumber", [" decimal", "nothing", None, "\tDate\n"])} AS element_canonical_type
     FROM {{lineitem}}
 """
 
 KEY_ROWS_SQL = f"""
     SELECT concat('t', l_orderkey) AS table_id, CASE l_returnflag WHEN 'A' THEN 'p' ELSE 'u' END AS constraint_type,
-           CASE WHEN l_partkey % 97 = 0 THEN '' ELSE concat('t', l_orderkey, l_returnflag) END AS constraint_id,
-           concat('k', l_returnflag) AS constraint_name,
+           CASE WHEN l_partkey % 97 = 0 THEN '' WHEN l_partkey % 89 = 0 THEN NULL
+                ELSE concat('t', l_orderkey, l_returnflag) END AS constraint_id,
+           CASE WHEN (l_partkey % 97 = 0 OR l_partkey % 89 = 0) AND l_linenumber % 2 = 0 THEN ' '
+                ELSE concat('k', l_returnflag) END AS constraint_name,
            CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE concat('c', l_partkey % 5) END AS column_name,
+           CASE WHEN l_partkey % 29 = 0 THEN {{array}}(concat('c', l_partkey % 5), concat('c', l_linenumber % 3)) END
+               AS column_names,
            CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE l_linenumber END AS key_sequence,
            {pick_by("l_partkey", ["note 1", "note 2", None])} AS comment,
            {pick_by("l_suppkey", ["yes", None])} AS is_validated
@@ -87,8 +107,10 @@ KEY_ROWS_SQL = f"""
 """
 
 FOREIGN_ROWS_SQL = """
-    SELECT concat('t', l_orderkey) AS table_id, concat('t', l_orderkey, l_linestatus) AS constraint_id,
-           concat('fk_', l_linestatus) AS constraint_name,
+    SELECT concat('t', l_orderkey) AS table_id,
+           CASE WHEN l_partkey % 89 = 0 THEN ' ' ELSE concat('t', l_orderkey, l_linestatus) END AS constraint_id,
+           CASE WHEN l_partkey % 89 = 0 AND l_linenumber % 2 = 0 THEN '' ELSE concat('fk_', l_linestatus) END
+               AS constraint_name,
            CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE concat('c', l_partkey % 7) END AS local_column_name,
            concat('r', l_partkey % 7) AS referenced_column_name,
            CASE WHEN l_suppkey % 37 = 0 THEN NULL ELSE concat('dim', l_linestatus) END AS referenced_table,
@@ -97,6 +119,17 @@ FOREIGN_ROWS_SQL = """
     FROM {lineitem}
 """
 
+# As above with places that are missing, and rows that hold both sides as lists, some of unequal length.
+FRAGMENTS_SQL = """
+    SELECT table_id, constraint_id, constraint_name, local_column_name, referenced_column_name, referenced_table,
+           CASE WHEN place = 7 THEN NULL ELSE key_sequence END AS key_sequence,
+           CASE WHEN place = 3 THEN {array}('c1', 'c2') WHEN place = 4 THEN {array}('c1', 'c3') END AS local_columns,
+           CASE WHEN place = 3 THEN {array}('r1', 'r2') WHEN place = 4 THEN {array}('r1') END AS foreign_column_names
+    FROM (SELECT *, CAST(length(table_id) + 3 * key_sequence + 5 * expected_column_count
+                         + coalesce(CAST(substring(local_column_name, 2, 1) AS INT), 0) AS INT) % 11 AS place
+          FROM (""" + FOREIGN_ROWS_SQL + """) AS r) AS p
+"""
+
 HEADERS_SQL = """
     SELECT concat('t', o_orderkey) AS table_id, 'pk' AS constraint_name,
            CASE WHEN o_orderkey % 2 = 0 THEN 'main' END AS comment
@@ -188,11 +221,49 @@ DEFAULTS_SQL = """
 DUPLICATES_SQL = f"""
     SELECT concat('t', l_orderkey) AS table_id, concat('c', l_linenumber) AS column_name,
            {pick_by("l_partkey", ["zeta", "alpha", None])} AS comment,
-           {pick_by("l_suppkey", ["1", "2", None, None])} AS default_expression
+           {pick_by("l_suppkey", ["1", "2", None, None])} AS default_expression,
+           {{array}}({pick_by("l_partkey", ["a", None])}, {pick_by("l_suppkey", ["b", "c", None])}, NULL) AS tags,
+           {{struct}}({pick_by("l_suppkey + l_partkey", ["x", None])} AS kind, {{array}}({pick_by("l_partkey", ["m", "n", None])}) AS parts) AS facts
     FROM {{lineitem}}
 """
 
 
+CHECKS_SQL = f"""
+    SELECT concat('t', l_orderkey) AS table_id, {pick_by("l_linenumber", ["ck_a", "ck_b", None, " "])} AS constraint_name,
+           CASE WHEN l_partkey % 31 = 0 THEN '' WHEN l_partkey % 37 = 0 THEN NULL
+                ELSE concat('c > ', l_partkey % 3) END AS check_clause,
+           {pick_by("l_suppkey", ["t", "no", None])} AS convalidated,
+           {pick_by("l_partkey", ["note", " ", None])} AS comment
+    FROM {{lineitem}}
+"""
+
+TABLES_SQL = f"""
+    SELECT concat('t', o_orderkey) AS table_id, 'main' AS catalog_name, 'public' AS schema_name,
+           concat('o', o_orderkey) AS object_name,
+           {pick_by("o_orderkey", ["TABLE", "VIEW", "PARTITIONED_TABLE", "MATERIALIZED_VIEW", "FOREIGN_TABLE"])} AS object_type,
+           {pick_by("o_custkey", ["owner", None])} AS owner, {pick_by("o_custkey", ["about", None, None])} AS comment,
+           CASE WHEN o_custkey % 6 <> 0 THEN o_custkey END AS estimated_row_count
+    FROM {{orders}}
+"""
+
+_FACETS = ["columns", "keys", "foreign_keys", "check_constraints", "view_definition", "partitioning"]
+OUTCOMES_SQL = f"""
+    SELECT concat('t', o_orderkey) AS table_id, {pick_by("o_orderkey", _FACETS)} AS facet, '42501' AS sqlstate
+    FROM {{orders}} WHERE o_custkey % 7 = 0
+    UNION ALL
+    SELECT concat('t', o_orderkey), {pick_by("o_custkey", _FACETS)}, '42501' FROM {{orders}} WHERE o_custkey % 11 = 0
+"""
+
+VIEWS_SQL = "SELECT concat('t', o_orderkey) AS table_id, concat('SELECT ', o_orderkey) AS view_definition FROM {orders} WHERE o_custkey % 3 <> 0"
+
+PARTITIONS_SQL = f"""
+    SELECT concat('t', o_orderkey) AS table_id, o_custkey % 2 = 0 AS is_partitioned,
+           {pick_by("o_custkey", ["HASH (a)", None])} AS partitioning_expression,
+           {pick_by("o_orderkey", ["COMPLETE", "PARTIAL", "COMPLETE"])} AS coverage
+    FROM {{orders}} WHERE o_custkey % 4 <> 1
+"""
+
+
 def raw_columns(spark, sf_dir, dialect=None):
     rows = on_spark(spark, sf_dir, RAW_COLUMNS_SQL)
     return rows if dialect is None else rows.filter(F.col("dialect") == dialect).drop("dialect")
@@ -200,6 +271,7 @@ def raw_columns(spark, sf_dir, dialect=None):
 
 def normalized(spark, sf_dir):
     """Raw rows of three dialects as one canonical frame."""
+    small_methods(spark)
     return normalize_catalogs(raw_columns(spark, sf_dir))
 
 
@@ -219,7 +291,11 @@ def quarantined(spark, sf_dir):
 
 
 def key_rows(spark, sf_dir):
-    return on_spark(spark, sf_dir, KEY_ROWS_SQL)
+    return on_spark(spark, sf_dir, KEY_ROWS_SQL.replace("{array}", "array"))
+
+
+def fragments(spark, sf_dir):
+    return on_spark(spark, sf_dir, FRAGMENTS_SQL.replace("{array}", "array"))
 
 
 def keys(spark, sf_dir):
@@ -229,6 +305,13 @@ def keys(spark, sf_dir):
 FACETS = ("primary_key", "unique_constraints", "foreign_keys", "check_constraints")
 
 
+def deduplicated(spark, sf_dir):
+    """Copies of column rows with nested metadata: the one with most values at any depth stays."""
+    rows = on_spark(spark, sf_dir, DUPLICATES_SQL.replace("{array}", "array").replace("{struct}", "struct"))
+    kept = richest(rows, ["table_id", "column_name"])
+    return kept.withColumns({name: F.to_json(name, {"ignoreNullFields": "false"}) for name in ("tags", "facts")})
+
+
 def table_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("t"), "o_orderkey").alias("table_id"))
 
@@ -259,7 +342,8 @@ def marks(spark, sf_dir):
         "table_id", F.explode(F.array(*[F.lit(f"c{n}") for n in range(5)])).alias("column_name")
     )
     primary = facet_coverage(table_ids(spark, sf_dir), key_coverage(rows, "p", strict=True))
-    return mark_membership(columns, rows.filter("constraint_type = 'p'"), primary, "is_primary_key")
+    members = key_constraints(rows.filter("constraint_type = 'p'")).select("table_id", F.explode("columns").alias("column_name"))
+    return mark_membership(columns, members, primary, "is_primary_key")
 
 
 def accepted(spark, sf_dir):
@@ -268,19 +352,17 @@ def accepted(spark, sf_dir):
 
 
 def foreign(spark, sf_dir):
-    result = foreign_keys(on_spark(spark, sf_dir, FOREIGN_ROWS_SQL))
+    """Foreign keys of complete pairs only."""
+    result = foreign_keys(foreign_key_pairs(on_spark(spark, sf_dir, FOREIGN_ROWS_SQL)))
     return result.withColumns(
         {name: F.array_join(name, "|") for name in ("local_columns", "referenced_columns")}
     )
 
 
 def zipped(spark, sf_dir):
-    """Foreign keys unnested again, the local side shortened so that partners go missing."""
-    return zip_columns(
-        foreign_keys(on_spark(spark, sf_dir, FOREIGN_ROWS_SQL)).withColumn(
-            "local_columns", F.slice("local_columns", 1, 1)
-        )
-    )
+    """Whole foreign keys unnested again; where one side knows fewer columns, partners are missing."""
+    keys = ("table_id", "constraint_id", "constraint_name")
+    return zip_columns(foreign_keys(fragments(spark, sf_dir)), keys)
 
 
 def references(spark, sf_dir):
@@ -307,6 +389,14 @@ def schema_classes(spark, sf_dir):
     return schemas(namespaces, roles, "postgresql")
 
 
+def owned_schemas(spark, sf_dir):
+    """Schemas of a server that lists the owner with each."""
+    names = F.when(F.col("c_custkey") % 50 == 0, "INFORMATION_SCHEMA").otherwise(F.col("c_name"))
+    owner = F.when(F.col("c_custkey") % 3 == 0, " ").when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select(F.lit("DB").alias("catalog_name"), names.alias("schema_name"), owner.alias("schema_owner"))
+    return schemas(rows, None, "snowflake")
+
+
 def partition_facts(spark, sf_dir, has_helpers):
     return partitions(
         on_spark(spark, sf_dir, CLASSES_SQL),
@@ -346,33 +436,63 @@ def facets(spark, sf_dir):
 
 
 def redaction(spark, sf_dir):
-    """Metadata keys left after redaction."""
-    metadata = F.create_map(
+    """Metadata without sensitive keys at any depth: typed, and as a JSON document of unknown shape."""
+    options = F.create_map(
         F.lit("Password"), F.lit("1"), F.lit("API-Key"), F.lit("2"), F.lit("token_count"), F.lit("3"),
         F.lit(" User  Name "), F.lit("4"), F.concat(F.lit("raw__driver "), "event_type"), F.lit("5"),
         F.concat(F.lit("k"), "user_id"), F.lit("6"),
     )
-    kept = F.array_sort(F.map_keys(redacted(metadata)))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(kept, "|").alias("keys"))
+    endpoint = F.struct(F.lit("db").alias("HostName"), F.col("user_id").alias("port"))
+    login = F.struct(F.lit("me").alias("user"), F.lit("x").alias("access-token"))
+    note = F.when(F.col("event_type") == "error", "pkg.LoadError: no such table").otherwise(F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.struct(options.alias("options"), F.array(endpoint, endpoint).alias("endpoints"), login.alias("login"), note.alias("note")).alias("metadata"),
+        F.concat(
+            F.lit('{"list":[{"user":"x","v":[{"token":1,"keep":'), "event_id", F.lit('}]},["a",{"Secret":{"z":1}}]],'),
+            F.lit('"err":"Traceback (most recent call last): x","a":{"PWD":"p","n":12345678901234567890.10,"m":1e5,"ok":"tokens"}}'),
+        ).alias("document"),
+    )
+    kind = rows.schema["metadata"].dataType
+    cleaned = rows.select("event_id", redacted(F.col("metadata"), kind).alias("metadata"), redacted_json(F.col("document")).alias("document"))
+    return cleaned.withColumn("metadata", canonical_json(F.col("metadata"), cleaned.schema["metadata"].dataType))
+
+
+def checks(spark, sf_dir):
+    """Readable CHECK rows as constraints, and the coverage of the facet per table."""
+    rows = on_spark(spark, sf_dir, CHECKS_SQL)
+    kept, coverage = quarantine(rows, is_readable_check(rows, "postgresql"), "CHECK_CONSTRAINTS_PARTIAL")
+    return check_constraints(kept), coverage
 
 
 def documents(spark, sf_dir):
-    """Nested table documents, rendered as text for comparison."""
-    tables = table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("t"), "o_orderkey").alias("table_id"), F.col("o_orderstatus").alias("object_type")
-    )
-    columns, _ = quarantine(normalized(spark, sf_dir), is_readable_column(), "COLUMNS_PARTIAL")
-    columns = richest(columns, ["table_id", "column_name", "ordinal_position"])
+    """Whole nested documents of all tables as canonical JSON. Facets are written once, as a discovery would land them."""
+    columns, column_coverage = quarantine(materialize(normalized(spark, sf_dir), "columns"), is_readable_column(), "COLUMNS_PARTIAL")
+    rows = materialize(key_rows(spark, sf_dir), "key-rows")
     foreign_rows = on_spark(spark, sf_dir, FOREIGN_ROWS_SQL)
-    built = table_documents(tables, columns, key_constraints(key_rows(spark, sf_dir)), foreign_keys(foreign_rows))
-    return built.select(
-        "table_id",
-        "object_type",
-        F.array_join(F.transform("columns", lambda item: item["column_name"]), "|").alias("columns"),
-        F.array_join("primary_key", "|").alias("primary_key"),
-        F.size("unique_constraints").alias("unique_constraints"),
-        F.array_join(F.transform("foreign_keys", lambda item: item["constraint_name"]), "|").alias("foreign_keys"),
+    constraints, check_coverage = checks(spark, sf_dir)
+    foreign = foreign_keys(foreign_key_pairs(foreign_rows))
+    facets = {
+        "columns": richest(columns, ["table_id", "column_name", "ordinal_position"]),
+        "column_coverage": column_coverage,
+        "keys": richest(key_constraints(rows), ["table_id", "constraint_type", "constraint_name", "columns"]),
+        "primary_coverage": key_coverage(rows, "p", strict=True),
+        "unique_coverage": key_coverage(rows, "u"),
+        "foreign": richest(foreign, ["table_id", "constraint_name", "local_columns", "referenced_table", "referenced_columns"]),
+        "foreign_coverage": foreign_key_coverage(foreign_rows),
+        "checks": constraints,
+        "check_coverage": check_coverage,
+    }
+    built = whole_documents(
+        on_spark(spark, sf_dir, TABLES_SQL),
+        on_spark(spark, sf_dir, OUTCOMES_SQL),
+        **{name: materialize(frame, f"facet-{name}") for name, frame in facets.items()},
+        views=on_spark(spark, sf_dir, VIEWS_SQL),
+        partitions=on_spark(spark, sf_dir, PARTITIONS_SQL),
     )
+    fields = F.struct(*[name for name in built.columns if name != "table_id"])
+    rendered = built.select("table_id", fields.alias("document"))
+    return rendered.withColumn("document", canonical_json(F.col("document"), rendered.schema["document"].dataType))
 
 
 def presence_facets(spark, sf_dir):
@@ -412,15 +532,17 @@ QUERIES = {
     "fk_pairs": lambda spark, sf: foreign_key_pairs(on_spark(spark, sf, FOREIGN_ROWS_SQL)),
     "fk_membership": foreign,
     "fk_unnested": zipped,
+    "fk_membership_coverage": lambda spark, sf: foreign_key_membership(fragments(spark, sf)),
     "fk_references": references,
     "constraint_coverage": coverage,
     "table_warnings": warning_codes,
     "default_facets": presence_facets,
     "membership_marks": marks,
-    "richness_dedup": lambda spark, sf: richest(on_spark(spark, sf, DUPLICATES_SQL), ["table_id", "column_name"]),
+    "richness_dedup": deduplicated,
     "pk_acceptance": accepted,
     "array_chain": lambda spark, sf: array_chains(on_spark(spark, sf, ELEMENTS_SQL)),
     "schema_classes": schema_classes,
+    "owned_schemas": owned_schemas,
     "object_types": lambda spark, sf: objects(on_spark(spark, sf, PG_OBJECTS_SQL), "postgresql"),
     "object_types_filtered": lambda spark, sf: objects(
         on_spark(spark, sf, SF_OBJECTS_SQL), "snowflake", ["TABLE", "DYNAMIC_TABLE", "VIEW"]
@@ -430,29 +552,34 @@ QUERIES = {
     "live_columns": live,
     "object_facets": facets,
     "redacted_metadata": redaction,
+    "check_constraints": lambda spark, sf: checks(spark, sf)[0],
     "table_documents": documents,
     "user_databases": listed_databases,
     "base_tables": listed_tables,
 }
 
 
+def _bare(value: str) -> str:
+    return f"trim({value}, '{WHITE_SPACE}')"
+
+
 def _key(text: str) -> str:
-    lowered = f"lower(regexp_replace(trim({text}), '\\s+', ' ', 'g'))"
-    return f"coalesce(trim(regexp_replace({lowered}, '\\s*\\([^)]*\\)', '', 'g')), '')"
+    lowered = f"regexp_replace(lower({_bare(text)}), '\\s+', ' ', 'g')"
+    return f"coalesce({_bare(f"regexp_replace({lowered}, '\\s*\\([^)]*\\)', '', 'g')")}, '')"
 
 
 def _text(value: str) -> str:
-    return f"CASE WHEN trim({value}) <> '' THEN {value} END"
+    return f"CASE WHEN {_bare(value)} <> '' THEN {value} END"
 
 
 def _int(value: str) -> str:
-    return f"CASE WHEN regexp_full_match(trim({value}), '[+-]?[0-9]+') THEN CAST(trim({value}) AS BIGINT) END"
+    return f"CASE WHEN regexp_full_match({_bare(value)}, '[+-]?[0-9]+') THEN CAST({_bare(value)} AS BIGINT) END"
 
 
 def _bool(value: str) -> str:
     return (
-        f"CASE WHEN lower(trim({value})) IN ('yes', 'y', 'true', 't', '1') THEN true"
-        f" WHEN lower(trim({value})) IN ('no', 'n', 'false', 'f', '0') THEN false END"
+        f"CASE WHEN lower({_bare(value)}) IN ('yes', 'y', 'true', 't', '1') THEN true"
+        f" WHEN lower({_bare(value)}) IN ('no', 'n', 'false', 'f', '0') THEN false END"
     )
 
 
@@ -468,30 +595,35 @@ def _canonical(dialect: str, native: str, scale: str) -> str:
 
 
 _NORMALIZED_SQL = f"""
-    SELECT dialect AS system, table_id, {_text("column_name")} AS column_name,
+    SELECT dialect AS system, table_id, {_text("table_catalog")} AS catalog_name, {_text("schema_name")} AS schema_name,
+           {_text("column_name")} AS column_name,
            CAST({_int("ordinal_position")} AS INTEGER) AS ordinal_position, {_text("data_type")} AS native_type,
            canonical AS canonical_type,
-           CASE lower(trim(is_nullable)) WHEN 'yes' THEN true WHEN 'no' THEN false END AS nullable,
+           CASE lower({_bare("is_nullable")}) WHEN 'yes' THEN true WHEN 'no' THEN false END AS nullable,
            CAST({_int("character_maximum_length")} AS INTEGER) AS character_length,
            CAST(CASE WHEN dialect = 'postgresql' AND canonical = 'INTEGER' AND numeric_precision_radix = '2' AND digits > 0
                      THEN floor((digits - 1) * log10(2)) + 1 ELSE digits END AS INTEGER) AS numeric_precision,
            CAST(scale AS INTEGER) AS numeric_scale,
            CAST({_int("datetime_precision")} AS INTEGER) AS datetime_precision,
-           {_text("column_default")} AS default_expression,
+           {_text("column_default")} AS default_expression, {_text("column_comment")} AS comment,
+           {_text("collation_name")} AS collation, {_text("identity_generation")} AS identity_generation,
+           {_text("generated_expression")} AS generation_expression,
            CASE WHEN dialect <> 'mysql' THEN {_bool("is_identity")} END AS is_identity,
            CASE dialect WHEN 'mysql' THEN contains(coalesce(extra, ''), 'auto_increment')
                         WHEN 'postgresql' THEN coalesce({_bool("is_identity")}, false)
                                             OR coalesce(column_default LIKE 'nextval(%', false)
                         ELSE {_bool("is_identity")} END AS is_auto_increment,
            CASE dialect WHEN 'mysql' THEN contains(lower(coalesce(extra, '')), 'generated')
-                        WHEN 'postgresql' THEN CASE WHEN lower(is_generated) IN ('always', 'stored') THEN true
-                                                    WHEN lower(is_generated) IN ('never', '') THEN false END
-                        ELSE CASE WHEN lower(is_generated) IN ('virtual', 'virtual_column') THEN true
-                                  WHEN lower(is_generated) IN ('column', '') THEN false END END AS is_generated,
+                        WHEN 'postgresql' THEN CASE WHEN lower({_bare("is_generated")}) IN ('always', 'stored') THEN true
+                                                    WHEN lower({_bare("is_generated")}) IN ('never', '') THEN false END
+                        ELSE CASE WHEN lower({_bare("is_generated")}) IN ('virtual', 'virtual_column') THEN true
+                                  WHEN lower({_bare("is_generated")}) IN ('column', '') THEN false END END AS is_generated,
+           {_bool("is_primary_key")} AS is_primary_key, {_bool("is_foreign_key")} AS is_foreign_key,
+           {_bool("unique_key")} AS is_unique_key,
            CAST(NULL AS INTEGER) AS array_dimensions,
-           element_native_type,
-           CASE WHEN upper(trim(element_canonical_type)) = 'DECIMAL' THEN 'DECIMAL'
-                WHEN element_native_type IS NOT NULL
+           {_text("element_native_type")} AS element_native_type,
+           CASE WHEN upper({_bare("element_canonical_type")}) IN ('DECIMAL', 'DATE') THEN upper({_bare("element_canonical_type")})
+                WHEN {_bare("element_native_type")} <> ''
                 THEN {_canonical("dialect", "element_native_type", "CAST(NULL AS INTEGER)")} END AS element_canonical_type
     FROM (SELECT *, {_canonical("dialect", "data_type", "scale")} AS canonical,
                  {_int("numeric_precision")} AS digits
@@ -499,7 +631,7 @@ _NORMALIZED_SQL = f"""
 """
 
 _READABLE = "coalesce(column_name <> '', false) AND coalesce(ordinal_position > 0, false) AND coalesce(native_type <> '', false)"
-_KEYS_SQL, _FOREIGN_SQL = on_duckdb(KEY_ROWS_SQL), on_duckdb(FOREIGN_ROWS_SQL)
+_FOREIGN_SQL = on_duckdb(FOREIGN_ROWS_SQL)
 
 
 def _json_text(columns: list[str]) -> str:
@@ -516,28 +648,81 @@ def _richest_sql(relation: str, identity: list[str], others: list[str]) -> str:
     """
 
 
-_KEY_ID = "table_id, constraint_type, constraint_id"
+def _identity(rows: str) -> str:
+    """Rows with the key that tells constraints apart: id, else name, else the row itself."""
+    number = "row_number() OVER ()"
+    return f"""
+        SELECT *, coalesce({_text("constraint_id")}, {_text("constraint_name")}, concat('#', CAST({number} AS VARCHAR))) AS key
+        FROM ({rows}) AS r
+    """
+
+
+def _first_places(relation: str, listed: str, order: str, keys: str) -> str:
+    """Members of each key at their first place."""
+    return f"""
+        SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY key_sequence NULLS LAST, {order}, pos) AS nth FROM (
+            SELECT * FROM (SELECT *, unnest({listed}) AS member, unnest(range(len({listed}))) AS pos FROM {relation}) AS u
+            QUALIFY row_number() OVER (PARTITION BY {keys}, member ORDER BY key_sequence NULLS LAST, {order}, pos) = 1) AS m
+    """
+
+
+_KEYS_SQL = f"""
+    SELECT *, CASE WHEN len(column_names) > 0 THEN column_names WHEN column_name <> '' THEN [column_name] ELSE [] END AS listed
+    FROM ({_identity(on_duckdb(KEY_ROWS_SQL.replace("{array}", "list_value")))}) AS i
+"""
+_KEY_ID = "table_id, constraint_type, key"
+_KEY_FIELDS = (
+    "column_name", "column_names", "comment", "constraint_id", "constraint_name", "constraint_type", "is_validated",
+    "key_sequence", "table_id",
+)
+_KEY_JSON = "CAST(to_json({" + ", ".join(f"'{name}': {name}" for name in _KEY_FIELDS) + "}) AS VARCHAR)"
+_KEY_RICHNESS = " + ".join(
+    f"coalesce(len({name}), 0)" if name == "column_names" else f"CAST({name} IS NOT NULL AS INT)" for name in _KEY_FIELDS
+)
+_KEY_LISTS_SQL = f"""
+    SELECT {_KEY_ID}, list(member ORDER BY nth) AS members
+    FROM ({_first_places("k", "listed", "listed", _KEY_ID)}) AS p GROUP BY {_KEY_ID}
+"""
 _KEY_LIST_SQL = f"""
-    SELECT d.*, coalesce(m.columns, '') AS columns
-    FROM ({_richest_sql("k", ["table_id", "constraint_type", "constraint_id"],
-                        ["constraint_name", "comment", "is_validated"])}) AS d
-    LEFT JOIN (
-        SELECT {_KEY_ID}, string_agg(column_name, '|' ORDER BY unplaced, place, column_name) AS columns
-        FROM (SELECT {_KEY_ID}, column_name, bool_and(key_sequence IS NULL) AS unplaced,
-                     coalesce(min(key_sequence), 0) AS place
-              FROM k WHERE column_name <> '' GROUP BY ALL) AS first_place
-        GROUP BY ALL
-    ) AS m USING ({_KEY_ID})
+    SELECT d.table_id, d.constraint_type, constraint_id, constraint_name, comment, is_validated,
+           coalesce(array_to_string(members, '|'), '') AS columns
+    FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY {_KEY_ID} ORDER BY {_KEY_RICHNESS} DESC, {_KEY_JSON}) = 1) AS d
+    LEFT JOIN ({_KEY_LISTS_SQL}) AS m USING ({_KEY_ID})
 """
 
 _PAIRS_SQL = f"""
-    SELECT * FROM ({_FOREIGN_SQL}) AS f
+    SELECT * FROM ({_identity(_FOREIGN_SQL)}) AS f
     WHERE local_column_name <> '' AND referenced_column_name <> '' AND referenced_table <> '' AND key_sequence > 0
     QUALIFY row_number() OVER (
-        PARTITION BY table_id, constraint_id, key_sequence
+        PARTITION BY table_id, key, key_sequence
         ORDER BY constraint_name, expected_column_count, local_column_name, referenced_column_name, referenced_table) = 1
 """
 
+_FRAGMENTS_DUCK = f"""
+    SELECT *, CASE WHEN len(local_columns) > 0 THEN local_columns WHEN local_column_name <> '' THEN [local_column_name]
+                   ELSE [] END AS l,
+           CASE WHEN len(foreign_column_names) > 0 THEN foreign_column_names
+                WHEN referenced_column_name <> '' THEN [referenced_column_name] ELSE [] END AS r
+    FROM ({_identity(on_duckdb(FRAGMENTS_SQL.replace("{array}", "list_value")))}) AS i
+"""
+
+
+def _side(listed: str, name: str) -> str:
+    places = _first_places("f", listed, "l, r", "table_id, key")
+    return f"(SELECT table_id, key, list(member ORDER BY nth) AS {name} FROM ({places}) AS p GROUP BY table_id, key)"
+
+
+_FRAGMENT_LISTS = f"""
+    f AS MATERIALIZED ({_FRAGMENTS_DUCK}),
+    lists AS (
+        SELECT k.*, coalesce(a.left_list, []) AS left_list, coalesce(b.right_list, []) AS right_list
+        FROM (SELECT DISTINCT table_id, key, constraint_id, constraint_name FROM f) AS k
+        LEFT JOIN {_side("l", "left_list")} AS a USING (table_id, key)
+        LEFT JOIN {_side("r", "right_list")} AS b USING (table_id, key)
+    )
+"""
+
+
 def _dedup_list(column: str) -> str:
     """Two members at most: the second is dropped when it repeats the first."""
     items = f"list({column} ORDER BY key_sequence)"
@@ -547,29 +732,31 @@ def _dedup_list(column: str) -> str:
 _FOREIGN_LIST_SQL = f"""
     SELECT table_id, constraint_id, max(constraint_name) AS constraint_name, max(referenced_table) AS referenced_table,
            {_dedup_list("local_column_name")} AS local_list, {_dedup_list("referenced_column_name")} AS referenced_list
-    FROM pairs GROUP BY table_id, constraint_id
+    FROM pairs GROUP BY table_id, constraint_id, key
 """
 
 _COVERAGE_SQL = f"""
-    WITH k AS MATERIALIZED ({_KEYS_SQL}), f AS MATERIALIZED ({_FOREIGN_SQL}),
+    WITH k AS MATERIALIZED ({_KEYS_SQL}), f AS MATERIALIZED ({_identity(_FOREIGN_SQL)}),
     pk AS (
-        SELECT table_id, bool_and(coalesce(column_name <> '' AND key_sequence > 0 AND constraint_id <> '', false)) AS ok
+        SELECT table_id, bool_and(coalesce(len(listed) > 0 AND key_sequence > 0 AND trim(constraint_id) <> '', false)) AS ok
         FROM k WHERE constraint_type = 'p' GROUP BY table_id
     ),
     uq AS (
-        SELECT table_id, bool_and(ok) AS ok FROM (
-            SELECT table_id, count(DISTINCT column_name) = 1
-                OR (count(DISTINCT column_name) > 0
-                    AND bool_and(column_name IS NOT NULL AND key_sequence IS NOT NULL)) AS ok
-            FROM k WHERE constraint_type = 'u' GROUP BY table_id, constraint_id) AS per_key
+        SELECT table_id, bool_and(coalesce(len(members) = 1, false) OR coalesce(placed AND len(members) > 0, false) OR coalesce(explicit, false)) AS ok
+        FROM (
+            SELECT {_KEY_ID}, any_value(members) AS members, bool_and(len(listed) > 0 AND key_sequence IS NOT NULL) AS placed,
+                   bool_or(column_names = members) AS explicit
+            FROM k LEFT JOIN ({_KEY_LISTS_SQL}) AS m USING ({_KEY_ID})
+            WHERE constraint_type = 'u' GROUP BY {_KEY_ID}) AS per_key
         GROUP BY table_id
     ),
     fk AS (
         SELECT table_id, bool_and(ok) AS ok FROM (
             SELECT table_id, count(*) = max(expected_column_count) AND count(DISTINCT key_sequence) = count(*)
                 AND count(DISTINCT local_column_name) = count(*) AND count(DISTINCT referenced_column_name) = count(*)
-                AND max(key_sequence) <= max(expected_column_count) AND bool_and(local_column_name IS NOT NULL) AS ok
-            FROM f GROUP BY table_id, constraint_id) AS per_key
+                AND max(key_sequence) <= max(expected_column_count) AND bool_and(local_column_name IS NOT NULL)
+                AND bool_and(trim(constraint_id) <> '') AS ok
+            FROM f GROUP BY table_id, key) AS per_key
         GROUP BY table_id
     )
     SELECT t.table_id,
@@ -581,6 +768,146 @@ _COVERAGE_SQL = f"""
     LEFT JOIN pk USING (table_id) LEFT JOIN uq USING (table_id) LEFT JOIN fk USING (table_id)
 """
 
+def _object(fields: dict[str, str] | tuple[str, ...]) -> str:
+    """A JSON object with sorted keys, as DuckDB struct."""
+    named = fields if isinstance(fields, dict) else {name: f'"{name}"' for name in fields}
+    return "{" + ", ".join(f"'{name}': {named[name]}" for name in sorted(named)) + "}"
+
+
+def _json(fields: dict[str, str] | tuple[str, ...]) -> str:
+    return f"CAST(to_json({_object(fields)}) AS VARCHAR)"
+
+
+def _values(names: tuple[str, ...], lists: tuple[str, ...] = ()) -> str:
+    return " + ".join(f"len({name})" if name in lists else f'CAST("{name}" IS NOT NULL AS INT)' for name in names)
+
+
+_CHECK_FIELDS = ("table_id", "constraint_name", "expression", "is_enforced", "is_validated", "is_rely", "comment")
+_CHECKS_DUCK = f"""
+    SELECT * FROM (
+        SELECT table_id, {_text("constraint_name")} AS constraint_name, coalesce({_text("check_clause")}, '') AS expression,
+               CAST(NULL AS BOOLEAN) AS is_enforced, {_bool("convalidated")} AS is_validated, CAST(NULL AS BOOLEAN) AS is_rely,
+               {_text("comment")} AS comment, coalesce(check_clause <> '', false) AS readable
+        FROM ({on_duckdb(CHECKS_SQL)}) AS r) AS c
+    WHERE readable
+    QUALIFY row_number() OVER (PARTITION BY table_id, constraint_name, expression
+                               ORDER BY {_values(_CHECK_FIELDS)} DESC, {_json(_CHECK_FIELDS)}) = 1
+"""
+
+_COLUMN_FIELDS = (
+    "system", "catalog_name", "schema_name", "column_name", "ordinal_position", "native_type", "canonical_type", "nullable",
+    "character_length", "numeric_precision", "numeric_scale", "datetime_precision", "default_expression", "comment", "collation",
+    "identity_generation", "generation_expression", "is_identity", "is_auto_increment", "is_generated", "is_primary_key",
+    "is_foreign_key", "is_unique_key", "array_dimensions", "element_native_type", "element_canonical_type",
+)
+_KEY_ITEM = ("constraint_id", "constraint_name", "comment", "is_validated", "columns")
+_FOREIGN_ITEM = ("constraint_id", "constraint_name", "referenced_table", "local_columns", "referenced_columns")
+_CHECK_ITEM = ("constraint_name", "expression", "is_enforced", "is_validated", "is_rely", "comment")
+
+
+def _unread(facet: str) -> str:
+    return f"EXISTS (SELECT 1 FROM outcomes x WHERE x.table_id = t.table_id AND x.facet = '{facet}')"
+
+
+def _mark(name: str, members: str, coverage: str) -> str:
+    return f"""CASE WHEN EXISTS (SELECT 1 FROM {members} AS m WHERE m.table_id = c.table_id AND m.member = c.column_name) THEN true
+                    WHEN v.{coverage} = 'COMPLETE' THEN false END AS {name}"""
+
+
+_DOCUMENTS_SQL = f"""
+    WITH tables AS ({on_duckdb(TABLES_SQL)}), outcomes AS ({on_duckdb(OUTCOMES_SQL)}),
+    k AS MATERIALIZED ({_KEYS_SQL}), pairs AS ({_PAIRS_SQL}),
+    constraint_facets AS ({_COVERAGE_SQL}),
+    read AS (
+        SELECT t.table_id, NOT {_unread("columns")} AS columns, NOT {_unread("keys")} AS keys, NOT {_unread("foreign_keys")} AS foreign_keys,
+               NOT {_unread("check_constraints")} AS checks, NOT {_unread("view_definition")} AS views, NOT {_unread("partitioning")} AS parts
+        FROM tables t
+    ),
+    key_rows AS (
+        SELECT d.table_id, d.constraint_type, constraint_id, constraint_name, comment, is_validated, coalesce(members, []) AS columns
+        FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY {_KEY_ID} ORDER BY {_KEY_RICHNESS} DESC, {_KEY_JSON}) = 1) AS d
+        LEFT JOIN ({_KEY_LISTS_SQL}) AS m USING ({_KEY_ID})
+        JOIN read r ON r.table_id = d.table_id AND r.keys
+    ),
+    key_list AS (
+        SELECT * FROM key_rows QUALIFY row_number() OVER (
+            PARTITION BY table_id, constraint_type, constraint_name, columns
+            ORDER BY {_values(("constraint_id", "constraint_name", "comment", "is_validated"))} + len(columns) DESC,
+                     {_json((*_KEY_ITEM, "table_id", "constraint_type"))}) = 1
+    ),
+    fk_rows AS (
+        SELECT l.table_id, constraint_id, constraint_name, referenced_table, local_list AS local_columns, referenced_list AS referenced_columns
+        FROM ({_FOREIGN_LIST_SQL}) AS l JOIN read r ON r.table_id = l.table_id AND r.foreign_keys
+    ),
+    fk_list AS (
+        SELECT * FROM fk_rows QUALIFY row_number() OVER (
+            PARTITION BY table_id, constraint_name, local_columns, referenced_table, referenced_columns
+            ORDER BY {_values(("constraint_id",))} DESC, {_json((*_FOREIGN_ITEM, "table_id"))}) = 1
+    ),
+    pk_members AS (SELECT DISTINCT table_id, unnest(columns) AS member FROM key_list WHERE constraint_type = 'p'),
+    uk_members AS (SELECT DISTINCT table_id, unnest(columns) AS member FROM key_list WHERE constraint_type = 'u'),
+    fk_members AS (SELECT DISTINCT table_id, unnest(local_columns) AS member FROM fk_list),
+    cover AS (
+        SELECT t.table_id,
+               CASE WHEN NOT r.columns THEN 'UNAVAILABLE' WHEN n.partly THEN 'PARTIAL' ELSE 'COMPLETE' END AS columns,
+               CASE WHEN NOT r.keys THEN 'UNAVAILABLE' ELSE f.primary_key END AS primary_key,
+               CASE WHEN NOT r.keys THEN 'UNAVAILABLE' ELSE f.unique_constraints END AS unique_constraints,
+               CASE WHEN NOT r.foreign_keys THEN 'UNAVAILABLE' ELSE f.foreign_keys END AS foreign_keys,
+               CASE WHEN NOT r.checks THEN 'UNAVAILABLE' WHEN h.partly THEN 'PARTIAL' ELSE 'COMPLETE' END AS check_constraints,
+               'COMPLETE' AS comments,
+               CASE WHEN t.object_type IN ('VIEW', 'MATERIALIZED_VIEW') THEN 'NOT_APPLICABLE' ELSE 'COMPLETE' END AS estimated_row_count,
+               CASE WHEN t.object_type NOT IN ('VIEW', 'MATERIALIZED_VIEW') THEN 'NOT_APPLICABLE'
+                    WHEN r.views AND w.view_definition IS NOT NULL THEN 'COMPLETE' ELSE 'UNAVAILABLE' END AS view_definition,
+               CASE WHEN t.object_type NOT IN ('TABLE', 'PARTITIONED_TABLE', 'FOREIGN_TABLE') THEN 'NOT_APPLICABLE'
+                    WHEN NOT r.parts THEN 'UNAVAILABLE' ELSE coalesce(p.coverage, 'PARTIAL') END AS partitioning,
+               'NOT_APPLICABLE' AS clustering, w.view_definition AS definition, p.is_partitioned, p.partitioning_expression
+        FROM tables t JOIN read r USING (table_id) JOIN constraint_facets f USING (table_id)
+        LEFT JOIN (SELECT table_id, bool_or(NOT ({_READABLE})) AS partly FROM ({_NORMALIZED_SQL}) AS n GROUP BY table_id) AS n USING (table_id)
+        LEFT JOIN (SELECT table_id, bool_or(NOT coalesce(check_clause <> '', false)) AS partly FROM ({on_duckdb(CHECKS_SQL)}) AS c GROUP BY table_id) AS h
+            USING (table_id)
+        LEFT JOIN ({on_duckdb(VIEWS_SQL)}) AS w USING (table_id) LEFT JOIN ({on_duckdb(PARTITIONS_SQL)}) AS p USING (table_id)
+    ),
+    cols AS (
+        SELECT * FROM ({_NORMALIZED_SQL}) AS n WHERE {_READABLE}
+        QUALIFY row_number() OVER (PARTITION BY table_id, column_name, ordinal_position
+                                   ORDER BY {_values(_COLUMN_FIELDS)} DESC, {_json((*_COLUMN_FIELDS, "table_id"))}) = 1
+    ),
+    marked AS (
+        SELECT c.* EXCLUDE (is_primary_key, is_unique_key, is_foreign_key), {_mark("is_primary_key", "pk_members", "primary_key")},
+               {_mark("is_unique_key", "uk_members", "unique_constraints")}, {_mark("is_foreign_key", "fk_members", "foreign_keys")}
+        FROM cols c JOIN cover v USING (table_id)
+    ),
+    l_columns AS (SELECT table_id, list({_object(_COLUMN_FIELDS)} ORDER BY ordinal_position, column_name) AS items FROM marked GROUP BY table_id),
+    l_pk AS (SELECT table_id, list({_object(_KEY_ITEM)} ORDER BY constraint_name, columns) AS items FROM key_list WHERE constraint_type = 'p' GROUP BY table_id),
+    l_uk AS (SELECT table_id, list({_object(_KEY_ITEM)} ORDER BY constraint_name, columns) AS items FROM key_list WHERE constraint_type = 'u' GROUP BY table_id),
+    l_fk AS (SELECT table_id, list({_object(_FOREIGN_ITEM)} ORDER BY constraint_name, local_columns, referenced_columns) AS items FROM fk_list GROUP BY table_id),
+    l_ck AS (SELECT table_id, list({_object(_CHECK_ITEM)} ORDER BY constraint_name NULLS LAST, expression) AS items FROM ({_CHECKS_DUCK}) AS c GROUP BY table_id)
+    SELECT t.table_id, {_json({
+        "catalog_name": "t.catalog_name", "schema_name": "t.schema_name", "object_name": "t.object_name", "object_type": "t.object_type",
+        "owner": "t.owner", "comment": "t.comment", "estimated_row_count": "t.estimated_row_count",
+        "columns": "CASE WHEN r.columns THEN coalesce(a.items, []) ELSE [] END", "primary_key": "b.items[1]",
+        "unique_constraints": "coalesce(u.items, [])", "foreign_keys": "coalesce(f.items, [])",
+        "check_constraints": "CASE WHEN r.checks THEN coalesce(h.items, []) ELSE [] END",
+        "view_definition": "CASE WHEN v.view_definition = 'COMPLETE' THEN v.definition END",
+        "is_partitioned": "CASE WHEN v.partitioning IN ('COMPLETE', 'PARTIAL') THEN v.is_partitioned END",
+        "partitioning_expression": "CASE WHEN v.partitioning IN ('COMPLETE', 'PARTIAL') THEN v.partitioning_expression END",
+        "coverage": _object({name: f"v.{name}" for name in (
+            "columns", "primary_key", "unique_constraints", "foreign_keys", "check_constraints", "comments", "estimated_row_count",
+            "view_definition", "partitioning", "clustering")}),
+        "warnings": """list_filter([CASE WHEN v.check_constraints = 'PARTIAL' THEN 'CHECK_CONSTRAINTS_PARTIAL' END,
+            CASE WHEN NOT r.checks THEN 'CHECK_CONSTRAINTS_UNAVAILABLE' END, CASE WHEN v.columns = 'PARTIAL' THEN 'COLUMNS_PARTIAL' END,
+            CASE WHEN NOT r.columns THEN 'COLUMNS_UNAVAILABLE' END, CASE WHEN v.foreign_keys = 'PARTIAL' THEN 'FOREIGN_KEYS_PARTIAL' END,
+            CASE WHEN NOT r.foreign_keys THEN 'FOREIGN_KEYS_UNAVAILABLE' END, CASE WHEN NOT r.keys THEN 'KEY_CONSTRAINTS_UNAVAILABLE' END,
+            CASE WHEN v.partitioning = 'PARTIAL' THEN 'PARTITIONING_PARTIAL' END, CASE WHEN v.partitioning = 'UNAVAILABLE' THEN 'PARTITIONING_UNAVAILABLE' END,
+            CASE WHEN v.primary_key = 'PARTIAL' THEN 'PRIMARY_KEY_PARTIAL' END,
+            CASE WHEN v.unique_constraints = 'PARTIAL' THEN 'UNIQUE_CONSTRAINTS_PARTIAL' END,
+            CASE WHEN v.view_definition = 'UNAVAILABLE' THEN 'VIEW_DEFINITION_UNAVAILABLE' END], lambda x: x IS NOT NULL)""",
+    })} AS document
+    FROM tables t JOIN read r USING (table_id) JOIN cover v USING (table_id)
+    LEFT JOIN l_columns a USING (table_id) LEFT JOIN l_pk b USING (table_id) LEFT JOIN l_uk u USING (table_id)
+    LEFT JOIN l_fk f USING (table_id) LEFT JOIN l_ck h USING (table_id)
+"""
+
 _OBJECT_IDENTITY = ["catalog_name", "schema_name", "object_name", "object_type"]
 
 
@@ -650,7 +977,7 @@ ORACLES = {
         FROM ({_NORMALIZED_SQL}) AS n GROUP BY table_id
     """,
     "key_membership": f"WITH k AS MATERIALIZED ({_KEYS_SQL}) {_KEY_LIST_SQL}",
-    "fk_pairs": _PAIRS_SQL,
+    "fk_pairs": f"SELECT * EXCLUDE (key) FROM ({_PAIRS_SQL}) AS p",
     "fk_membership": f"""
         WITH pairs AS ({_PAIRS_SQL}), lists AS ({_FOREIGN_LIST_SQL})
         SELECT table_id, constraint_id, constraint_name, referenced_table,
@@ -659,11 +986,35 @@ ORACLES = {
         FROM lists
     """,
     "fk_unnested": f"""
-        WITH pairs AS ({_PAIRS_SQL}), lists AS ({_FOREIGN_LIST_SQL})
-        SELECT table_id, constraint_id, CAST(n AS INTEGER) AS key_sequence,
-               CASE WHEN n = 1 THEN local_list[1] END AS local_column_name,
-               referenced_list[n] AS referenced_column_name
-        FROM (SELECT *, unnest(range(1, len(referenced_list) + 1)) AS n FROM lists) AS u
+        WITH {_FRAGMENT_LISTS}
+        SELECT table_id, constraint_id, constraint_name, CAST(n AS INTEGER) AS key_sequence,
+               left_list[n] AS local_column_name, right_list[n] AS referenced_column_name
+        FROM (SELECT *, unnest(range(1, greatest(len(left_list), len(right_list)) + 1)) AS n FROM lists) AS u
+    """,
+    "fk_membership_coverage": f"""
+        WITH {_FRAGMENT_LISTS},
+        pairs AS (
+            SELECT table_id, key, pair, bool_or(key_sequence IS NOT NULL) AS placed
+            FROM (SELECT table_id, key, key_sequence, unnest(list_zip(l, r)) AS pair FROM f WHERE len(l) = len(r)) AS p
+            GROUP BY ALL
+        ),
+        wanted AS (SELECT table_id, key, unnest(list_zip(left_list, right_list)) AS pair FROM lists),
+        met AS (
+            SELECT w.table_id, w.key, bool_and(p.pair IS NOT NULL) AS paired, bool_and(coalesce(p.placed, false)) AS covered
+            FROM wanted w LEFT JOIN pairs p ON p.table_id = w.table_id AND p.key = w.key AND p.pair = w.pair GROUP BY ALL
+        ),
+        judged AS (
+            SELECT x.table_id, x.key,
+                   len(any_value(left_list)) > 0 AND len(any_value(left_list)) = len(any_value(right_list))
+                   AND (bool_or(l = left_list AND r = right_list AND (len(local_columns) > 0 OR len(foreign_column_names) > 0))
+                        OR (len(any_value(left_list)) = 1 AND any_value(paired))
+                        OR (bool_and(len(l) > 0 AND len(l) = len(r) AND key_sequence IS NOT NULL) AND any_value(covered))) AS ok
+            FROM lists x JOIN f ON f.table_id = x.table_id AND f.key = x.key
+            LEFT JOIN met ON met.table_id = x.table_id AND met.key = x.key
+            GROUP BY x.table_id, x.key
+        )
+        SELECT table_id, CASE WHEN bool_and(coalesce(ok, false)) THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage
+        FROM judged GROUP BY table_id
     """,
     "fk_references": """
         SELECT concat('t', o.o_orderkey) AS table_id, concat('fk', o.o_orderkey) AS constraint_name,
@@ -691,13 +1042,20 @@ ORACLES = {
     "membership_marks": f"""
         SELECT c.table_id, n.column_name,
                CASE WHEN EXISTS (SELECT 1 FROM ({_KEYS_SQL}) AS m WHERE m.table_id = c.table_id
-                                 AND m.constraint_type = 'p' AND m.column_name = n.column_name) THEN true
+                                 AND m.constraint_type = 'p' AND list_contains(m.listed, n.column_name)) THEN true
                     WHEN c.primary_key = 'COMPLETE' THEN false END AS is_primary_key
         FROM ({_COVERAGE_SQL}) AS c, (VALUES ('c0'), ('c1'), ('c2'), ('c3'), ('c4')) AS n(column_name)
     """,
-    "richness_dedup": _richest_sql(
-        f"({on_duckdb(DUPLICATES_SQL)}) AS d", ["table_id", "column_name"], ["comment", "default_expression"]
-    ),
+    "richness_dedup": f"""
+        SELECT table_id, column_name, comment, default_expression, CAST(to_json(tags) AS VARCHAR) AS tags,
+               CAST(to_json(facts) AS VARCHAR) AS facts
+        FROM ({on_duckdb(re.sub(r"{struct}\((.*) AS kind, (.*) AS parts\)", r"struct_pack(kind := \1, parts := \2)", DUPLICATES_SQL.replace("{array}", "list_value")))}) AS d
+        QUALIFY row_number() OVER (PARTITION BY table_id, column_name ORDER BY
+            CAST(comment IS NOT NULL AS INT) + CAST(default_expression IS NOT NULL AS INT) + len(list_filter(tags, lambda x: x IS NOT NULL))
+            + CAST(facts.kind IS NOT NULL AS INT) + len(list_filter(facts.parts, lambda x: x IS NOT NULL)) DESC,
+            CAST(to_json({{'column_name': column_name, 'comment': comment, 'default_expression': default_expression,
+                           'facts': facts, 'table_id': table_id, 'tags': tags}}) AS VARCHAR)) = 1
+    """,
     "pk_acceptance": f"""
         WITH h AS ({on_duckdb(HEADERS_SQL)}), m AS ({on_duckdb(MEMBERS_SQL)}),
         headers AS (SELECT table_id, count(*) AS headers, min(comment) AS comment FROM h GROUP BY table_id),
@@ -786,31 +1144,24 @@ ORACLES = {
         FROM orders
     """,
     "redacted_metadata": """
-        SELECT event_id, concat_ws('|', ' User  Name ', concat('k', user_id),
-                                   CASE WHEN event_type <> 'error' THEN concat('raw__driver ', event_type) END,
-                                   'token_count') AS keys
+        SELECT event_id,
+               concat('{"endpoints":[{"port":', user_id, '},{"port":', user_id, '}],"login":{},"note":"',
+                      CASE WHEN event_type = 'error' THEN '[REDACTED_EXCEPTION]' ELSE event_type END,
+                      '","options":{" User  Name ":"4","k', user_id, '":"6",',
+                      CASE WHEN event_type <> 'error' THEN concat('"raw__driver ', event_type, '":"5",') ELSE '' END,
+                      '"token_count":"3"}}') AS metadata,
+               concat('{"a":{"m":1e5,"n":12345678901234567890.10,"ok":"tokens"},"err":"[REDACTED_EXCEPTION]","list":[{"v":[{"keep":',
+                      event_id, '}]},["a",{}]]}') AS document
         FROM events
     """,
-    "table_documents": f"""
-        WITH k AS MATERIALIZED ({_KEYS_SQL}), key_list AS ({_KEY_LIST_SQL}), pairs AS ({_PAIRS_SQL}),
-        cols AS (
-            SELECT table_id, string_agg(column_name, '|' ORDER BY ordinal_position, column_name) AS columns
-            FROM (SELECT DISTINCT table_id, column_name, ordinal_position FROM ({_NORMALIZED_SQL}) AS n
-                  WHERE {_READABLE}) AS c
-            GROUP BY table_id
-        ),
-        keyed AS (
-            SELECT table_id, min(CASE WHEN constraint_type = 'p' THEN columns END) AS primary_key,
-                   CAST(count(*) FILTER (WHERE constraint_type <> 'p') AS INTEGER) AS unique_constraints
-            FROM key_list GROUP BY table_id
-        ),
-        fks AS (
-            SELECT table_id, string_agg(constraint_name, '|' ORDER BY constraint_name) AS foreign_keys
-            FROM (SELECT DISTINCT table_id, constraint_id, constraint_name FROM pairs) AS p GROUP BY table_id
-        )
-        SELECT t.table_id, t.object_type, c.columns, k.primary_key, k.unique_constraints, f.foreign_keys
-        FROM (SELECT concat('t', o_orderkey) AS table_id, o_orderstatus AS object_type FROM orders) AS t
-        LEFT JOIN cols c USING (table_id) LEFT JOIN keyed k USING (table_id) LEFT JOIN fks f USING (table_id)
+    "check_constraints": f"SELECT * EXCLUDE (readable) FROM ({_CHECKS_DUCK}) AS c",
+    "table_documents": _DOCUMENTS_SQL,
+    "owned_schemas": """
+        SELECT 'DB' AS catalog_name, CASE WHEN c_custkey % 50 = 0 THEN 'INFORMATION_SCHEMA' ELSE c_name END AS schema_name,
+               CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS owner,
+               CASE WHEN c_custkey % 50 = 0 THEN 'INFORMATION_SCHEMA' ELSE 'USER' END AS schema_classification,
+               c_custkey % 50 = 0 AS is_system_managed
+        FROM customer
     """,
     "user_databases": """
         SELECT c_name AS name FROM customer WHERE c_custkey % 50 > 1

@@ -13,6 +13,7 @@ from tablelift.operators.audits import lossy_casts, null_violations
 from tablelift.operators.projection import null_out
 from tablelift.operators.reconcile import validate
 from tablelift.plans.expressions import cast, copy_of
+from tablelift.plans.limits import Endpoint
 from tablelift.plans.plan import Approval, Plan
 from tablelift.queries.data import (
     CUSTOMER_PLAN,
@@ -25,7 +26,7 @@ from tablelift.queries.data import (
 from tablelift.queries.validation import ORACLES as VALIDATION_ORACLES
 from tablelift.session import new_run_dir
 from tablelift.sinks.publish import publish
-from tablelift.sinks.staging import file_evidence, landed, stage, staging_database, totals
+from tablelift.sinks.staging import file_evidence, landed, stage, staging_database, totals, transfer
 from tablelift.sources.tables import query, scan
 from tablelift.streaming.load import batch_evidence, load_stream, loaded, read_files
 from tablelift.workflow import full_run, load
@@ -121,6 +122,60 @@ def landed_nested(spark, sf_dir):
     return landed(lines)
 
 
+_GOOD_DOCUMENT = """concat('{"b": 12345678901234567890123456789012345678901234567890.50, "a": [1e400, -0.0, {"z": ', event_id, ', "k": "', event_type, '"}]}')"""
+_DOCUMENTS_SQL = f"""
+    SELECT event_id, CASE event_id % 10 WHEN 3 THEN '{{"a": 1' WHEN 5 THEN '{{"a": 1, "a": 2}}' WHEN 7 THEN '{{"a": NaN}}'
+                                        WHEN 9 THEN NULL ELSE {_GOOD_DOCUMENT} END AS document,
+           CASE WHEN event_id % 11 = 4 THEN CAST('NaN' AS DOUBLE) ELSE event_id / 2 END AS value
+    FROM events
+"""
+
+
+def _staged_documents(spark, sf_dir):
+    """Documents with long numbers, broken ones and numbers that are none, landed with a quarantine."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    rows = spark.sql(_DOCUMENTS_SQL).select("event_id", "document", F.struct("value").alias("reading"))
+    return stage(rows, uuid.uuid4(), staging_database(spark), json_columns=["document"], quarantine=True)
+
+
+def landed_documents(spark, sf_dir):
+    return _staged_documents(spark, sf_dir).frame(spark)
+
+
+def rejected_documents(spark, sf_dir):
+    """Evidence of what did not land."""
+    return spark.table(_staged_documents(spark, sf_dir).rejected).groupBy("column_name", "code", "raw_text").agg(
+        F.count(F.lit(1)).alias("values")
+    )
+
+
+def transfer_outcomes(spark, sf_dir):
+    """How transfers of one table end: permitted or not, with a hole, with broken documents, repeated, unreported."""
+    database, source = staging_database(spark), customer_source(spark, sf_dir)
+    reader, writer = Endpoint("elsewhere"), Endpoint(database, can_write=True)
+    broken = source.withColumn("c_name", F.when(F.col("c_custkey") % 7 == 0, "{").otherwise("[]"))
+    taken = uuid.uuid4()
+    stage(source, taken, database)
+
+    def no_report(*_):
+        raise ConnectionError
+
+    attempts = {
+        "permitted": transfer(source, uuid.uuid4(), database, ends=(reader, writer), required=["c_custkey"]),
+        "read only": transfer(source, uuid.uuid4(), database, ends=(reader, Endpoint(database))),
+        "hole": transfer(source, uuid.uuid4(), database, required=["c_custkey", "c_mktsegment"]),
+        "unreadable": transfer(broken, uuid.uuid4(), database, json_columns=["c_name"]),
+        "set aside": transfer(broken, uuid.uuid4(), database, json_columns=["c_name"], quarantine=True),
+        "taken": transfer(source, taken, database),
+        "unreported": transfer(source, uuid.uuid4(), database, report=no_report),
+    }
+    rows = [
+        (name, one.disposition, one.reason, *((one.staged.rows_written, one.staged.rows_rejected) if one.staged else (None, None)))
+        for name, one in attempts.items()
+    ]
+    return spark.createDataFrame(rows, "attempt string, disposition string, reason string, rows_written bigint, rows_rejected bigint")
+
+
 def json_events(spark, sf_dir):
     """Nested JSON written with unsorted keys and blanks, brought to canonical form and fingerprinted."""
     text = F.concat(
@@ -222,6 +277,9 @@ QUERIES = {
     "load_evidence_lineitem": lineitem_evidence,
     "staging_types_cast": landed_embeddings,
     "staging_nested_fields": landed_nested,
+    "landing_documents": landed_documents,
+    "landing_rejected": rejected_documents,
+    "transfer_outcomes": transfer_outcomes,
     "failed_run_report": failed_run_report,
     "repeated_run": repeated_run,
     "refused_run": refused_run,
@@ -257,6 +315,28 @@ ORACLES = {
                       l_orderkey + 1, right(concat('000000000000000000000', l_linenumber), 21), '}') AS item
         FROM lineitem
     """,
+    "landing_documents": f"""
+        SELECT event_id, CASE WHEN event_id % 10 <> 9 THEN
+                   concat('{{"a":[1e400,-0.0,{{"k":"', event_type, '","z":', event_id,
+                          '}}],"b":12345678901234567890123456789012345678901234567890.50}}') END AS document,
+               concat('{{"value":', event_id / 2, '}}') AS reading
+        FROM events WHERE event_id % 10 NOT IN (3, 5, 7) AND event_id % 11 <> 4
+    """,
+    "landing_rejected": f"""
+        SELECT 'document' AS column_name, 'UNREADABLE_JSON' AS code, document AS raw_text, count(*) AS values
+        FROM ({_DOCUMENTS_SQL}) AS d WHERE event_id % 10 IN (3, 5, 7) GROUP BY ALL
+        UNION ALL SELECT 'reading', 'NOT_FINITE', '{{"value":"NaN"}}', count(*) FROM events WHERE event_id % 11 = 4
+    """,
+    "transfer_outcomes": """
+        SELECT attempt, disposition, reason, CASE WHEN attempt = 'permitted' THEN n WHEN attempt = 'set aside' THEN n - b END AS rows_written,
+               CASE WHEN attempt = 'permitted' THEN 0 WHEN attempt = 'set aside' THEN b END AS rows_rejected
+        FROM (VALUES ('permitted', 'SUCCEEDED', NULL), ('read only', 'REFUSED', 'TRANSPORT_NOT_PERMITTED'),
+                     ('hole', 'CONFIRMED_FAILED_CLEANED_UP', 'NULL_IN_REQUIRED_COLUMN'),
+                     ('unreadable', 'CONFIRMED_FAILED_CLEANED_UP', 'UNREADABLE_VALUES'), ('set aside', 'SUCCEEDED', NULL),
+                     ('taken', 'STAGING_EXISTS', 'STAGING_EXISTS'),
+                     ('unreported', 'CONFIRMED_FAILED_CLEANED_UP', 'PROGRESS_REPORTING_FAILED')) AS a(attempt, disposition, reason),
+             (SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 7 = 0) AS b FROM customer) AS c
+    """,
     "failed_run_report": """
         SELECT CAST(0 AS BIGINT) AS matched_count, CAST(0 AS BIGINT) AS mismatched_count, CAST(11 AS BIGINT) AS unavailable_count,
                'FAILED' AS status, 1 AS plan_version

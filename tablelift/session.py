@@ -18,6 +18,19 @@ def assert_session(spark: SparkSession) -> None:
         raise ValueError("spark.sql.session.timeZone must be UTC: canonical times are UTC.")
 
 
+#: Bytes of bytecode from which on the JVM leaves a method uncompiled.
+_JIT_LIMIT = "8000"
+
+
+def small_methods(spark: SparkSession) -> None:
+    """Generate code in methods that the JVM compiles, unless the session says otherwise.
+
+    A wide projection of catalog rules, fused into one method, grows beyond what the JVM compiles and runs interpreted.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", _JIT_LIMIT)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -26,11 +26,8 @@ def _null_rule(plan: Plan, mapping: Approval, null_mode: str) -> Column:
     return mapped_value(plan, mapping, null_mode=null_mode).isNull()
 
 
-def refuse_broken(staged: DataFrame, plan: Plan, *, null_mode: str = "propagate") -> None:
-    """Raise when a required column would hold NULL or an approved cast would change a value.
-
-    All rules share one pass; one aggregate row reaches the driver.
-    """
+def publish_rules(staged: DataFrame, plan: Plan, *, null_mode: str = "propagate") -> dict[str, Column]:
+    """Conditions that no staged row may meet: NULL in a required column, or an approved cast that changes a value."""
     rules = {}
     for item in plan.mappings:
         if not item.target_nullable:
@@ -38,24 +35,31 @@ def refuse_broken(staged: DataFrame, plan: Plan, *, null_mode: str = "propagate"
         if item.transformation.kind == "CAST" and item.status == "APPROVED" and item.target_type is not None:
             name = item.transformation.columns[0]
             rules[f"lossy:{item.target_column}"] = is_lossy(column(name), staged.schema[name].dataType, item.target_type)
-    if not rules:
-        return
-    counts = staged.agg(*[F.count_if(rule).alias(key) for key, rule in rules.items()]).first().asDict()
-    broken = {key: rows for key, rows in counts.items() if rows}
-    if broken:
-        raise PublishRefused(f"Rows that break the target: {broken}")
+    return rules
+
+
+def broken_rows(staged: DataFrame, plan: Plan, *, null_mode: str = "propagate") -> dict[str, int]:
+    """Rows that break each rule. All rules share one pass; one aggregate row reaches the driver."""
+    rules = publish_rules(staged, plan, null_mode=null_mode)
+    return staged.agg(*[F.count_if(rule).alias(key) for key, rule in rules.items()]).first().asDict() if rules else {}
 
 
-def publish(staged: DataFrame, plan: Plan, target: str, *, null_mode: str = "propagate") -> int:
+def publish(
+    staged: DataFrame, plan: Plan, target: str, *, null_mode: str = "propagate", broken: dict[str, int] | None = None
+) -> int:
     """Append the mapped rows and return how many were written.
 
     Columns the plan does not fill take their default or NULL. Plain casts that
-    would change a value are refused unless the mapping was OVERRIDDEN.
+    would change a value are refused unless the mapping was OVERRIDDEN. ``broken`` are the counts of ``publish_rules``
+    where the load that wrote the staged rows has observed them; without it they take a pass of their own.
     """
     spark = staged.sparkSession
     if not plan.is_complete:
         raise PublishRefused("The plan still has pending columns.")
-    refuse_broken(staged, plan, null_mode=null_mode)
+    counts = broken_rows(staged, plan, null_mode=null_mode) if broken is None else broken
+    hit = {key: rows for key, rows in counts.items() if rows}
+    if hit:
+        raise PublishRefused(f"Rows that break the target: {hit}")
     projected = project(staged, plan, null_mode=null_mode)
     observed = Observation()
     counted = projected.observe(observed, F.count(F.lit(1)).alias("rows"))

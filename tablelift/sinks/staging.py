@@ -4,47 +4,53 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelift.functions.json import canonical_json
+from tablelift.functions.json import canonical_json, json_issue, json_text
 from tablelift.functions.types import UnsupportedTypeError, family_of, landing_type
 from tablelift.plans.expressions import column, quote
+from tablelift.plans.limits import Endpoint, preflight
 from tablelift.session import shared_dir
 
 PREFIX = "STAGE_"
 _NAME = re.compile(r"STAGE_[0-9A-F]{32}")
 EVIDENCE_SCHEMA = (
-    "transport_id string, relation string, rows_read bigint, rows_written bigint, files bigint, status string"
+    "transport_id string, relation string, rows_read bigint, rows_written bigint, rows_rejected bigint, files bigint, status string"
 )
 
 
 class TransferError(RuntimeError):
-    """A load that did not prove its row count. ``category`` says whether anything is left behind."""
+    """A load that did not end well. ``category`` says whether anything is left behind, ``reason`` where it failed."""
 
-    def __init__(self, message: str, category: str) -> None:
+    def __init__(self, message: str, category: str, reason: str = "STAGING_LOAD_FAILED") -> None:
         super().__init__(message)
         self.category = category
+        self.reason = reason
 
 
 @dataclass(frozen=True)
 class Staged:
-    """A staged table and the evidence of its load."""
+    """A staged table and the evidence of its load. ``broken`` counts rows per rule that was asked for."""
 
     transport_id: str
     relation: str
     rows_read: int
     rows_written: int
     files: int
+    rows_rejected: int = 0
+    rejected: str | None = None
+    broken: dict[str, int] | None = None
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.table(self.relation)
 
     def evidence(self, spark: SparkSession) -> DataFrame:
-        row = (self.transport_id, self.relation, self.rows_read, self.rows_written, self.files, "STAGED")
+        row = (self.transport_id, self.relation, self.rows_read, self.rows_written, self.rows_rejected, self.files, "STAGED")
         return spark.createDataFrame([row], EVIDENCE_SCHEMA)
 
 
@@ -80,47 +86,139 @@ def staging_schema(schema: T.StructType) -> T.StructType:
     return T.StructType(fields)
 
 
-def landed_value(name: str, source: T.DataType, landed: T.DataType) -> Column:
-    """NULL stays NULL, semi-structured values become canonical JSON, the rest is cast."""
+def _is_document(name: str, data_type: T.DataType, json_columns: Sequence[str]) -> bool:
+    return name in json_columns or family_of(data_type) == "SEMI_STRUCTURED"
+
+
+def landed_value(name: str, source: T.DataType, landed: T.DataType, json_columns: Sequence[str] = ()) -> Column:
+    """NULL stays NULL, documents become canonical JSON with every digit, the rest is cast."""
     value = column(name)
-    if family_of(source) == "SEMI_STRUCTURED":
+    if _is_document(name, source, json_columns):
         return canonical_json(value, source)
     return value if source == landed else value.cast(landed)
 
 
-def landed(source: DataFrame) -> DataFrame:
-    """The source in its staging types."""
-    fields = zip(source.schema.fields, staging_schema(source.schema).fields)
-    return source.select(
-        *[landed_value(old.name, old.dataType, new.dataType).alias(new.name) for old, new in fields]
-    )
+def landed(source: DataFrame, json_columns: Sequence[str] = ()) -> DataFrame:
+    """The source in its staging types. ``json_columns`` are text columns that hold JSON."""
+    return source.select(*_landed_columns(source, json_columns))
+
+
+def _landed_columns(source: DataFrame, json_columns: Sequence[str]) -> list[Column]:
+    fields = zip(source.schema.fields, staging_schema(source.schema).fields, strict=True)
+    return [landed_value(old.name, old.dataType, new.dataType, json_columns).alias(new.name) for old, new in fields]
 
 
-def stage(source: DataFrame, transport_id: str | uuid.UUID, database: str) -> Staged:
+def landing_issues(source: DataFrame, json_columns: Sequence[str] = ()) -> Column | None:
+    """Values of a row that have no canonical form: column, code and raw text; None if no column can have one."""
+    items = []
+    for field in source.schema.fields:
+        if _is_document(field.name, field.dataType, json_columns):
+            code, text = json_issue(column(field.name), field.dataType), json_text(column(field.name), field.dataType)
+            found = F.struct(F.lit(field.name).alias("column_name"), code.alias("code"), text.alias("raw_text"))
+            items.append(F.when(code.isNotNull(), found))
+    return F.array_compact(F.array(*items)) if items else None
+
+
+def stage(
+    source: DataFrame,
+    transport_id: str | uuid.UUID,
+    database: str,
+    *,
+    required: Sequence[str] = (),
+    json_columns: Sequence[str] = (),
+    quarantine: bool = False,
+    rules: Callable[[DataFrame], dict[str, Column]] | None = None,
+) -> Staged:
     """Write the source to a new staging table and prove that every row arrived.
 
-    One narrow write job. The observed count sits in the writing stage, whose tasks
+    One narrow write job. The observed counts sit in the writing stage, whose tasks
     count once however often they are retried; the stored count comes from reading
     the files back without any column. A difference, like any failure, drops the table.
+
+    ``required`` columns must not hold NULL; stored files do not enforce it, so the writing job counts. Rows with a document
+    that has no canonical form are refused, or with ``quarantine`` left out and written with their reason to a table of
+    their own; only then the source is read again. ``rules`` name conditions on the landed frame whose hits are counted along.
     """
     spark = source.sparkSession
     relation = f"{quote(database)}.{quote(staging_name(transport_id))}"
     if spark.catalog.tableExists(f"{database}.{staging_name(transport_id)}"):
-        raise TransferError("The staging table exists already.", "STAGING_EXISTS")
-    observed = Observation()
+        raise TransferError("The staging table exists already.", "STAGING_EXISTS", "STAGING_EXISTS")
+    observed, issues = Observation(), landing_issues(source, json_columns)
+    rejected = F.lit(False) if issues is None else F.size("__issues") > 0
+    frame = landed(source, json_columns) if issues is None else source.select(*_landed_columns(source, json_columns), issues.alias("__issues"))
+    counted = {f"null:{name}": ~rejected & column(name).isNull() for name in required}
+    counted |= {f"rule:{name}": ~rejected & rule for name, rule in (rules(frame.drop("__issues")) if rules else {}).items()}
+    metrics = [F.count(F.lit(1)).alias("rows"), F.count_if(rejected).alias("rejected"), *[F.count_if(hit).alias(name) for name, hit in counted.items()]]
+    kept = frame.observe(observed, *metrics)
+    if issues is not None:
+        kept = kept.filter(~rejected).drop("__issues")
     try:
-        (
-            landed(source)
-            .observe(observed, F.count(F.lit(1)).alias("rows"))
-            .write.mode("errorifexists").format("parquet").saveAsTable(relation)
-        )
+        kept.write.mode("errorifexists").format("parquet").saveAsTable(relation)
         written, files = _stored(spark.table(relation))
-        read = observed.get["rows"]
-        if read != written:
-            raise TransferError(f"Read {read} rows but stored {written}.", "STAGING_LOAD_FAILED")
+        counts = observed.get
+        if counts["rows"] != written + counts["rejected"]:
+            raise TransferError(f"Read {counts['rows']} rows but stored {written}.", "STAGING_LOAD_FAILED")
+        missing = {name[5:]: counts[name] for name in counted if name.startswith("null:") and counts[name]}
+        if missing:
+            raise TransferError(f"Required columns hold NULL: {missing}", "STAGING_LOAD_FAILED", "NULL_IN_REQUIRED_COLUMN")
+        if counts["rejected"] and not quarantine:
+            raise TransferError(f"{counts['rejected']} rows hold unreadable values.", "STAGING_LOAD_FAILED", "UNREADABLE_VALUES")
+        aside = _set_aside(source, transport_id, database, json_columns) if counts["rejected"] else None
     except Exception as error:
         raise _cleaned_up(spark, relation, database, error) from error
-    return Staged(str(transport_id), relation, read, written, files)
+    broken = {name[5:]: counts[name] for name in counted if name.startswith("rule:")}
+    return Staged(str(transport_id), relation, counts["rows"], written, files, counts["rejected"], aside, broken if rules else None)
+
+
+def _set_aside(source: DataFrame, transport_id: str | uuid.UUID, database: str, json_columns: Sequence[str]) -> str:
+    """Write what was rejected, one evidence row per unreadable value, and return the table."""
+    relation = f"{quote(database)}.{quote('REJECTED_' + uuid.UUID(str(transport_id)).hex.upper())}"
+    evidence = source.select(F.explode(landing_issues(source, json_columns)).alias("issue")).select("issue.*")
+    evidence.write.mode("overwrite").format("parquet").saveAsTable(relation)
+    return relation
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """How a transfer ended: its disposition, where it failed, and what was staged."""
+
+    disposition: str
+    reason: str | None = None
+    staged: Staged | None = None
+
+
+def transfer(
+    source: DataFrame,
+    transport_id: str | uuid.UUID,
+    database: str,
+    *,
+    ends: tuple[Endpoint, Endpoint] | None = None,
+    report: Callable[[int, int, int], None] | None = None,
+    **landing: object,
+) -> Outcome:
+    """``stage`` as steps whose failures are told apart: preflight, load, progress report.
+
+    A transfer that its ``ends`` do not permit touches nothing. After a failed load or ``report`` (of files, rows read and rows written)
+    the staging table is dropped, which makes another try safe; if that fails too, the outcome is uncertain.
+    """
+    if ends is not None:
+        try:
+            preflight(*ends, database, None, None)
+        except (PermissionError, ValueError):
+            return Outcome("REFUSED", "TRANSPORT_NOT_PERMITTED")
+    try:
+        staged = stage(source, transport_id, database, **landing)
+    except TransferError as error:
+        uncertain = error.category == "OUTCOME_UNCERTAIN"
+        return Outcome(error.category, "STAGING_OUTCOME_UNCERTAIN" if uncertain else error.reason)
+    try:
+        if report is not None:
+            report(staged.files, staged.rows_read, staged.rows_written)
+    except Exception as error:
+        failed = _cleaned_up(source.sparkSession, staged.relation, database, error)
+        uncertain = failed.category == "OUTCOME_UNCERTAIN"
+        return Outcome(failed.category, "STAGING_OUTCOME_UNCERTAIN" if uncertain else "PROGRESS_REPORTING_FAILED")
+    return Outcome("SUCCEEDED", None, staged)
 
 
 def _stored(frame: DataFrame) -> tuple[int, int]:
@@ -133,8 +231,8 @@ def _cleaned_up(spark: SparkSession, relation: str, database: str, error: Except
     try:
         drop_staging(spark, relation, database)
     except Exception:
-        return TransferError(f"{error} Staging may be left behind.", "OUTCOME_UNCERTAIN")
-    return TransferError(str(error), "CONFIRMED_FAILED_CLEANED_UP")
+        return TransferError(f"{error} Staging may be left behind.", "OUTCOME_UNCERTAIN", "STAGING_OUTCOME_UNCERTAIN")
+    return TransferError(str(error), "CONFIRMED_FAILED_CLEANED_UP", getattr(error, "reason", "STAGING_LOAD_FAILED"))
 
 
 def drop_staging(spark: SparkSession, relation: str, database: str) -> None:

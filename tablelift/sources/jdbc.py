@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelift.plans.limits import DEFAULT_ROWS, MAX_ROWS, effective_limit
+from tablelift.plans.limits import DEFAULT_ROWS, effective_limit
 from tablelift.sources.tables import capped, scan
 
 # Identifier quote of each dialect.
@@ -62,7 +62,7 @@ def scan_options(
     options = {
         "url": url,
         "dbtable": relation.quoted(),
-        "fetchsize": str(effective_limit(fetch_size or DEFAULT_ROWS, MAX_ROWS)),
+        "fetchsize": str(effective_limit(None, DEFAULT_ROWS if fetch_size is None else fetch_size)),
     }
     # A large table takes its time: only a caller who wants an end to it names one.
     if timeout_seconds is not None:
@@ -112,6 +112,6 @@ def write_table(
     frame.write.format("jdbc").mode("append").options(
         url=url,
         dbtable=relation.quoted(),
-        batchsize=str(effective_limit(batch_size, MAX_ROWS)),
+        batchsize=str(effective_limit(None, batch_size)),
         **(credentials or {}),
     ).save()

@@ -12,8 +12,9 @@ from tablelift.operators.metrics import checks_frame, checks_of
 from tablelift.operators.reconcile import reconcile, report, validate
 from tablelift.plans.plan import Plan
 from tablelift.session import assert_session
-from tablelift.sinks.publish import PublishRefused, insert, publish
-from tablelift.sinks.staging import TransferError, drop_staging, stage
+from tablelift.plans.limits import Endpoint
+from tablelift.sinks.publish import PublishRefused, insert, publish, publish_rules
+from tablelift.sinks.staging import drop_staging, transfer
 
 RUN_LOG = "RUN_LOG"
 STEP_SCHEMA = (
@@ -22,9 +23,14 @@ STEP_SCHEMA = (
 )
 
 
-def load(source: DataFrame, plan: Plan, target: str, database: str, transport_id: str | uuid.UUID) -> DataFrame:
+def load(
+    source: DataFrame, plan: Plan, target: str, database: str, transport_id: str | uuid.UUID, *,
+    ends: tuple[Endpoint, Endpoint] | None = None, report: Callable[[int, int, int], None] | None = None, landing: dict | None = None,
+) -> DataFrame:
     """Stage, publish and drop staging. Stops at the first step that fails; the rest stay unrun.
 
+    ``ends``, ``report`` and the ``landing`` options are those of ``transfer``; the reason of a failed step is its detail.
+
     A run that was published before is not repeated: its evidence is read from the run log of the staging database.
     Staging is dropped after the insert committed or provably wrote nothing; an insert of unknown outcome keeps it.
     """
@@ -42,22 +48,31 @@ def load(source: DataFrame, plan: Plan, target: str, database: str, transport_id
             return replayed(earlier, run_id, plan)
         record("STAGING", "FAILED", None, "RUN_ID_REUSED")
         return spark.createDataFrame(steps, STEP_SCHEMA)
-    _run(source, plan, target, database, transport_id, record)
+    _run(source, plan, target, database, transport_id, record, ends, report, landing)
     done = spark.createDataFrame(steps, STEP_SCHEMA)
     insert(spark, done.coalesce(1), f"{database}.{RUN_LOG}")
     return done
 
 
-def _run(source: DataFrame, plan: Plan, target: str, database: str, transport_id: str | uuid.UUID, record: Callable) -> None:
+def _run(
+    source: DataFrame, plan: Plan, target: str, database: str, transport_id: str | uuid.UUID, record: Callable,
+    ends: tuple[Endpoint, Endpoint] | None, report: Callable[[int, int, int], None] | None, landing: dict | None,
+) -> None:
     spark = source.sparkSession
+    # The publish rules are counted by the job that writes the staging table.
+    landing = {"rules": lambda frame: publish_rules(frame, plan)} | (landing or {})
     try:
-        staged = stage(source, transport_id, database)
+        outcome = transfer(source, transport_id, database, ends=ends, report=report, **landing)
     except Exception as error:
-        record("STAGING", "FAILED", None, error.category if isinstance(error, TransferError) else type(error).__name__)
+        record("STAGING", "FAILED", None, type(error).__name__)
+        return
+    if outcome.disposition != "SUCCEEDED":
+        record("STAGING", "FAILED", None, outcome.reason)
         return
+    staged = outcome.staged
     record("STAGING", "SUCCEEDED", staged.rows_written, staged.relation)
     try:
-        record("EXECUTING", "SUCCEEDED", publish(staged.frame(spark), plan, target), target)
+        record("EXECUTING", "SUCCEEDED", publish(staged.frame(spark), plan, target, broken=staged.broken), target)
     except PublishRefused as error:
         record("EXECUTING", "FAILED", None, type(error).__name__)
     except Exception:

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 from tablelift.functions.catalog import (
     is_fixed_code, optional_bool, optional_int, optional_nullable, optional_text, pick, schema_class,
 )
-from tablelift.functions.json import canonical_json, canonical_row, fingerprint, redacted
+from tablelift.functions.json import canonical_json, canonical_row, fingerprint, redacted, redacted_json, richness
 from tablelift.functions.types import canonical_type, decimal_digits
 from tablelift.operators.arrays import array_chains
 from tablelift.operators.catalog import facet_coverage, mark_membership, normalize_columns, objects, richest
+from tablelift.operators.documents import scan_outcomes
 from tablelift.operators.constraints import (
-    accept_primary_keys, foreign_key_coverage, foreign_keys, key_constraints, key_coverage,
+    accept_primary_keys, foreign_key_coverage, foreign_key_pairs, foreign_keys, key_constraints, key_coverage,
 )
 
 
@@ -45,7 +46,7 @@ def test_binary_precision(spark, bits, digits):
 
 
 def test_optional_values(spark):
-    texts = [(" 7 ", 7), ("+3", 3), ("12.5", None), ("", None), ("invalid", None), (None, None), ("٣", None)]
+    texts = [(" 7 ", 7), ("+3", 3), ("12.5", None), ("", None), ("invalid", None), (None, None), ("٣", None), ("\t8\n", 8), ("\u00a09\u3000", 9), ("1e3", None), ("- 1", None)]
     for text, expected in texts:
         frame = spark.createDataFrame([(text,)], "v string")
         assert frame.select(optional_int(F.col("v"))).first()[0] == expected
@@ -92,12 +93,12 @@ def test_canonical_json_and_fingerprint(spark):
     assert text == '{"a":1,"b":[1,{"a":"x","z":null}]}'
     assert one(spark, fingerprint(F.lit("abc")), v=1).startswith("ba7816bf")
     frame = spark.sql("SELECT 2 AS b, CAST(NULL AS STRING) AS a, 'x' AS vendor_metadata")
-    assert frame.select(canonical_row(frame.columns)).first()[0] == '{"a":null,"b":2}'
+    assert frame.select(canonical_row(frame)).first()[0] == '{"a":null,"b":2}'
 
 
 def test_redaction_drops_exact_keys_only(spark):
     frame = spark.sql("SELECT map('Pass-Word', 1, 'PASSWORD', 2, 'token_count', 3, ' api key ', 4, 'user', 5) AS m")
-    assert frame.select(redacted(F.col("m"))).first()[0] == {"Pass-Word": 1, "token_count": 3}
+    assert frame.select(redacted(F.col("m"), frame.schema["m"].dataType)).first()[0] == {"Pass-Word": 1, "token_count": 3}
 
 
 KEYS = (
@@ -160,7 +161,7 @@ def test_foreign_keys(spark):
         ("v", "3", "fk", "a", None, "r", 1, 1),
     ]
     frame = spark.createDataFrame(rows, FOREIGN).repartition(3)
-    got = {row.table_id: (row.local_columns, row.referenced_columns) for row in foreign_keys(frame).collect()}
+    got = {row.table_id: (row.local_columns, row.referenced_columns) for row in foreign_keys(foreign_key_pairs(frame)).collect()}
     assert got == {"t": (["first", "second"], ["id1", "id2"]), "u": (["a"], ["b"])}
     coverage = {row.table_id: row.coverage for row in foreign_key_coverage(frame).collect()}
     assert coverage == {"t": "PARTIAL", "u": "COMPLETE", "v": "PARTIAL"}
@@ -225,3 +226,44 @@ def test_empty_type_filter_reads_nothing(spark, sf_dir):
     )
     empty = objects(orders, "postgresql", [])
     assert "FileScan" not in empty._jdf.queryExecution().executedPlan().toString() and empty.count() == 0
+
+
+def test_rows_without_an_id_belong_together_by_name_or_stay_alone(spark):
+    rows = [
+        ("t", "u", "", "uq", "b", 2, None), ("t", "u", None, "uq", "a", 1, None), ("t", "u", "", " ", "c", 1, None),
+        ("t", "u", " ", None, "d", 1, None), ("t", "u", "7", "uq", "e", 1, None),
+    ]
+    got = sorted(row.columns for row in key_constraints(key_rows(spark, rows)).collect())
+    assert got == [["a", "b"], ["c"], ["d"], ["e"]]
+
+
+def test_rows_with_whole_member_lists(spark):
+    schema = "table_id string, constraint_type string, constraint_id string, constraint_name string, column_names array<string>, column_name string, key_sequence int"
+    rows = [
+        ("list", "u", "1", "k", ["b", "a"], None, None), ("mixed", "u", "1", "k", ["b", "a"], None, None), ("mixed", "u", "1", "k", None, "z", None),
+        ("empty", "u", "1", "k", [], None, None),
+    ]
+    frame = spark.createDataFrame(rows, schema)
+    assert {row.table_id: row.columns for row in key_constraints(frame).collect()} == {"list": ["b", "a"], "mixed": ["b", "a", "z"], "empty": []}
+    coverage = {row.table_id: row.coverage for row in key_coverage(frame, "u").collect()}
+    assert coverage == {"list": "COMPLETE", "mixed": "PARTIAL", "empty": "PARTIAL"}
+
+
+def test_a_failed_scan_is_unavailable_only_without_privilege(spark):
+    tables = spark.createDataFrame([("a",), ("b",)], "table_id string")
+    outcome = "table_id string, facet string, sqlstate string"
+    read = {row.table_id: (row["columns"], row["keys"]) for row in scan_outcomes(tables, spark.createDataFrame([("a", "keys", "42501")], outcome)).collect()}
+    assert read == {"a": (True, False), "b": (True, True)}
+    with pytest.raises(Exception, match="Scan of keys failed with state 57014"):
+        scan_outcomes(tables, spark.createDataFrame([("a", "keys", "57014")], outcome)).collect()
+
+
+def test_nested_values_count_and_redact(spark):
+    frame = spark.sql("""SELECT array(1, NULL, 2) AS a, named_struct('token', 'x', 'm', map('k', array(named_struct('Secret', 1, 'v', NULL)))) AS s,
+        parse_json('{"k":[1,null,{"z":":"}],"t":true}') AS v, CAST(NULL AS STRUCT<x: INT>) AS n""")
+    assert frame.select(richness(frame)).first()[0] == 2 + 2 + 3
+    kinds = {field.name: field.dataType for field in frame.schema.fields}
+    cleaned = frame.select(redacted(F.col("s"), kinds["s"]).alias("s"), redacted(F.col("n"), kinds["n"]).alias("n")).first()
+    assert cleaned.s.asDict(True) == {"m": {"k": [{"v": None}]}} and cleaned.n is None
+    text = one(spark, redacted_json(F.col("v")), v='[{"User": 1, "n": 1.000}, "ValueError: x", {"users": [{"pwd": 2}]}]')
+    assert text == '[{"n":1.000},"[REDACTED_EXCEPTION]",{"users":[{}]}]'

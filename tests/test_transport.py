@@ -198,7 +198,7 @@ def test_bounded_query_and_scan(spark):
 def test_jdbc_options():
     relation = Relation("snowflake", "S", 'a"b', "DB")
     options = scan_options("jdbc:x", relation, fetch_size=50_000, timeout_seconds=None, split=Split("id", "0", "9", 4))
-    assert options["dbtable"] == '"DB"."S"."a""b"' and options["fetchsize"] == "10000"
+    assert options["dbtable"] == '"DB"."S"."a""b"' and options["fetchsize"] == "50000"
     assert options["numPartitions"] == "4" and "queryTimeout" not in options
     timed = scan_options("jdbc:x", relation, fetch_size=None, timeout_seconds=90, split=None)
     assert timed["queryTimeout"] == "90"
@@ -223,3 +223,36 @@ def test_stream_load_is_bounded_and_repeatable(spark):
     # A retry that lost its progress replays the same batches over the same folders.
     load_stream(read_files(spark, f"{run}/in", schema, 2), plan(), f"{run}/out", f"{run}/state-lost")
     assert loaded(spark, f"{run}/out").count() == 40
+
+
+def test_required_columns_are_enforced_by_the_writing_job(spark, database):
+    source = customers(spark, [*CUSTOMERS, (None, "Nobody")])
+    with pytest.raises(TransferError) as error:
+        stage(source, uuid.uuid4(), database, required=["full_name", "customer_id"])
+    assert error.value.reason == "NULL_IN_REQUIRED_COLUMN" and "'customer_id': 1" in str(error.value)
+    assert stage(source, uuid.uuid4(), database, required=["full_name"]).rows_written == 4
+
+
+def test_documents_land_with_every_digit_or_are_set_aside(spark, database):
+    texts = ['{"b": 1.10, "a": 123456789012345678901234567890}', "{", '{"a":1,"a":1}', None, ' [1E+5, "1.50", "\\u0001"] ', "[NaN]"]
+    source = spark.createDataFrame([(n, text) for n, text in enumerate(texts)], "id int, doc string")
+    transport = uuid.uuid4()
+    staged = stage(source, transport, database, json_columns=["doc"], quarantine=True)
+    assert (staged.rows_read, staged.rows_written, staged.rows_rejected) == (6, 3, 3)
+    assert {row.id: row.doc for row in staged.frame(spark).collect()} == {
+        0: '{"a":123456789012345678901234567890,"b":1.10}', 3: None, 4: '[1E+5,"1.50","\\u0001"]',
+    }
+    assert {(row.code, row.raw_text) for row in spark.table(staged.rejected).collect()} == {("UNREADABLE_JSON", texts[n]) for n in (1, 2, 5)}
+    with pytest.raises(TransferError) as error:
+        stage(source, uuid.uuid4(), database, json_columns=["doc"])
+    assert error.value.reason == "UNREADABLE_VALUES"
+
+
+def test_the_load_counts_the_publish_rules(spark, database, monkeypatch):
+    target = people(spark, database)
+    monkeypatch.setattr("tablelift.sinks.publish.broken_rows", lambda *_, **__: pytest.fail("a pass of its own"))
+    steps = load(customers(spark), plan(), target, database, uuid.uuid4())
+    assert [row.status for row in steps.orderBy("step").collect()] == ["SUCCEEDED"] * 3 and spark.table(target).count() == 3
+    broken = load(customers(spark, [(None, "x"), (2**40, "y")]), plan(), target, database, uuid.uuid4())
+    assert [(row.stage, row.status) for row in broken.orderBy("step").collect()][1] == ("EXECUTING", "FAILED")
+    assert spark.table(target).count() == 3
