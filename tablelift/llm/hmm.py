@@ -16,22 +16,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelift.llm.text import as_bytes, blocks, held, ship_package
+from tablelift.llm.text import as_bytes, blocks, give_back, held, ship_package
 from tablelift.session import materialize
 
 #: Latent states, most frequent words that are symbols of their own, classes of the other words.
 STATES, FREQUENT, CLASSES = 12, 1 << 16, 512
-#: Training texts, and the longest of them, of the bounded sample that the states start from, and rounds over it.
-SAMPLE_ROWS, SAMPLE_LONGEST, SAMPLE_ROUNDS = 1_500, 40_000, 12
-#: Baum-Welch rounds over all training texts.
-ROUNDS = 2
+#: Baum-Welch rounds over all training texts, after the one that draws a state for each of them.
+ROUNDS = 6
 #: Pull of transitions towards staying, in counts.
 STAY = 5.0
-#: Bytes of text whose chains run in step, and distinct words that a task counts before it hands them on.
-BLOCK, COUNTED = 2_000_000, 500_000
+#: Bytes of text, or of four-byte symbols, whose chains run in step; distinct words that a task counts before it hands them on.
+BLOCK, COUNTED = 1_500_000, 500_000
 
 _KEY = "_row"
 
@@ -210,71 +208,115 @@ def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.
     return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def start_model(lexicon_: Lexicon, texts: list[bytes], states: int = STATES, seed: int = 3) -> Hmm:
-    """Baum-Welch on a bounded sample; at first every text leans towards a state drawn for it."""
-    shares, chooser = lexicon_.shares(), np.random.default_rng(seed)
-    ids, sizes, _ = symbols_of(lexicon_, texts)
-    lean = np.repeat(chooser.dirichlet(np.full(states, 0.3), len(texts)), sizes, axis=0) if len(texts) else np.zeros((0, states))
-    emit = np.stack([np.bincount(ids, lean[:, k], lexicon_.symbols) for k in range(states)], axis=1)
-    model = maximised(np.zeros(states), 50.0 * np.eye(states), emit, shares)
-    for _ in range(SAMPLE_ROUNDS if len(texts) else 0):
-        sums = [np.zeros(states), np.zeros((states, states)), np.zeros((lexicon_.symbols, states))]
-        for a, b in blocks(texts, BLOCK):
-            ids, sizes, _ = symbols_of(lexicon_, texts[a:b])
-            for total, part in zip(sums, expected(model, ids, sizes), strict=True):
-                total += part
-        model = maximised(*sums, shares)
-    return model
+def leaning(ids: list[bytes], lexicon_: Lexicon, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the first round: every text leans towards states drawn by a hash of its symbols, so copies lean alike."""
+    sizes = np.array([len(one) // 4 for one in ids], np.int64)
+    lean = [np.random.default_rng(zlib.crc32(one)).dirichlet(np.full(states, 0.3)) for one in ids]
+    symbols, shares = np.frombuffer(b"".join(ids), np.int32), np.repeat(np.array(lean).reshape(-1, states), sizes, axis=0)
+    emit = np.stack([np.bincount(symbols, shares[:, k], lexicon_.symbols) for k in range(states)], axis=1)
+    return np.zeros(states), np.zeros((states, states)), emit
+
+
+ENCODED = "ids binary, rare array<struct<word: binary, n: int>>"
+
+
+def encode(documents: DataFrame, lexicon_: Lexicon) -> DataFrame:
+    """Symbols of every whole text and its words that are not frequent, with all columns but text, written once.
+
+    Words are looked up here and nowhere else: rounds and scores read the symbols.
+    """
+    spark = documents.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(lexicon_)
+    kept = [name for name in documents.columns if name != "text"]
+    head = "".join(f"`{name}` {documents.schema[name].dataType.simpleString()}, " for name in kept)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+        for batch in batches:
+            texts = as_bytes(batch.column(batch.schema.get_field_index("text")))
+            for a, b in blocks(texts, BLOCK):
+                ids, sizes, rare = symbols_of(shared.value, texts[a:b])
+                cuts = np.concatenate(([0], np.cumsum(sizes)))
+                columns = [batch.column(batch.schema.get_field_index(name)).slice(a, b - a) for name in kept]
+                columns.append(pa.array([ids[low:high].tobytes() for low, high in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+                columns.append(pa.array([[{"word": word, "n": n} for word, n in Counter(words).items()] for words in rare], rare_type))
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "rare"])
+        give_back()
 
-def baum_welch(training: DataFrame, lexicon_: Lexicon, model: Hmm) -> Hmm:
-    """One round over all training texts: every task sums its expected counts, Spark sums the tasks' rows."""
-    spark, states = training.sparkSession, len(model.start)
+    return materialize(documents.mapInArrow(run, head + ENCODED), "hmm-symbols")
+
+
+def baum_welch(encoded: DataFrame, lexicon_: Lexicon, model: Hmm | None, states: int = STATES) -> Hmm:
+    """One round over the symbols (ids) of all training texts: every task sums its expected counts, Spark sums the
+    tasks' rows. Without a model it is the round that draws the states."""
+    spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast((lexicon_, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_lexicon, own = shared.value
         sums = [np.zeros(states), np.zeros((states, states)), np.zeros((own_lexicon.symbols, states))]
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for a, b in blocks(texts, BLOCK):
-                ids, sizes, _ = symbols_of(own_lexicon, texts[a:b])
-                for total, part in zip(sums, expected(own, ids, sizes), strict=True):
+            ids = batch.column(0).to_pylist()
+            for a, b in blocks(ids, BLOCK):
+                if own is None:
+                    parts = leaning(ids[a:b], own_lexicon, states)
+                else:
+                    parts = expected(own, np.frombuffer(b"".join(ids[a:b]), np.int32), np.array([len(one) // 4 for one in ids[a:b]], np.int64))
+                for total, part in zip(sums, parts, strict=True):
                     total += part
         every = np.vstack((sums[2], sums[1], sums[0][None, :]))
         places = np.flatnonzero(every.any(axis=1))
         columns = [pa.array(places, pa.int64()), *(pa.array(every[places, k]) for k in range(states))]
         yield pa.RecordBatch.from_arrays(columns, names=["place", *(f"s{k}" for k in range(states))])
+        give_back()
 
     schema = "place long, " + ", ".join(f"s{k} double" for k in range(states))
-    found = training.select("text").mapInArrow(run, schema)
+    found = encoded.select("ids").mapInArrow(run, schema)
+    # One row per symbol and state number, whatever the number of texts.
     sums = found.groupBy("place").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states)))
     every = np.zeros((lexicon_.symbols + states + 1, states))
     table = sums.toArrow()
     if table.num_rows:
         every[table["place"].to_numpy()] = np.column_stack([table[f"s{k}"].to_numpy() for k in range(states)])
     shared.unpersist()
+    if model is None:
+        every[lexicon_.symbols : -1] += 50.0 * np.eye(states)
     return maximised(every[-1], every[lexicon_.symbols : -1], every[: lexicon_.symbols], lexicon_.shares())
 
 
+def fit(encoded: DataFrame, lexicon_: Lexicon, rounds: int = ROUNDS, states: int = STATES) -> Hmm:
+    """All rounds, the first included, over the symbols of all training texts."""
+    model = baum_welch(encoded, lexicon_, None, states)
+    for _ in range(rounds):
+        model = baum_welch(encoded, lexicon_, model, states)
+    return model
+
+
+def counted(training: DataFrame) -> tuple[DataFrame, Lexicon]:
+    """Word counts (a table) and lexicon of the texts of ``training`` (text)."""
+    counts = materialize(count_words(training), "hmm-counts")
+    return counts, lexicon(counts)
+
+
 def learn(training: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Lexicon, Hmm]:
     """Word counts (a table), lexicon and model of the texts of ``training`` (text)."""
-    counts = materialize(count_words(training), "hmm-counts")
-    lexicon_ = lexicon(counts)
-    total = max(1, lexicon_.ends)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE_ROWS / total) * (1 << 30)))
-    short = F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_LONGEST
-    # Copies of one text share a draw, so they are folded before they are taken.
-    sample = training.select("text").filter(draw & short).distinct()
-    model = start_model(lexicon_, sorted((row["text"] or "").encode() for row in sample.toLocalIterator()))
-    for _ in range(rounds):
-        model = baum_welch(training, lexicon_, model)
-    return counts, lexicon_, model
+    counts, lexicon_ = counted(training)
+    return counts, lexicon_, fit(encode(training.select("text"), lexicon_), lexicon_, rounds)
+
+
+def learn_and_score(documents: DataFrame, is_training: Column) -> DataFrame:
+    """``score_texts`` of all documents by a model of those that are for training; every text is looked up once."""
+    counts, lexicon_ = counted(documents.filter(is_training).select("text"))
+    encoded = encode(_keyed(documents).withColumn("_trains", is_training), lexicon_)
+    return _scores(encoded.drop("_trains"), counts, lexicon_, fit(encoded.filter("_trains"), lexicon_))
+
 
+SCORED = "n_tokens long, n_frequent long, base_part double, score_part double"
 
-SCORED = (
-    "n_tokens long, n_frequent long, base_part double, score_part double, rare array<struct<word: binary, n: int>>"
-)
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.withColumn(_KEY, F.monotonically_increasing_id())
 
 
 def score_texts(documents: DataFrame, counts: DataFrame, lexicon_: Lexicon, model: Hmm) -> DataFrame:
@@ -283,23 +325,24 @@ def score_texts(documents: DataFrame, counts: DataFrame, lexicon_: Lexicon, mode
     A null or empty text is its end alone. Without training tokens every token has base probability 1. Repeated rows
     repeat, a null doc_id is kept. Words that are not frequent meet their counts in a join, summed by row again.
     """
-    spark = documents.sparkSession
-    ship_package(spark)
+    return _scores(encode(_keyed(documents), lexicon_), counts, lexicon_, model)
+
+
+def _scores(encoded: DataFrame, counts: DataFrame, lexicon_: Lexicon, model: Hmm) -> DataFrame:
+    spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast((lexicon_, model))
-    kept = [name for name in documents.columns if name != "text"]
-    keyed = documents.select(*kept, "text").withColumn(_KEY, F.monotonically_increasing_id())
-    head = ", ".join(f"`{name}` {keyed.schema[name].dataType.simpleString()}" for name in [*kept, _KEY])
+    kept = [name for name in encoded.columns if name not in ("ids", "rare", _KEY)]
+    head = ", ".join(f"`{name}` {encoded.schema[name].dataType.simpleString()}" for name in [*kept, _KEY])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, trained = shared.value
         base = math.log10(own.tokens + own.distinct + 1)
         known = np.concatenate((np.log10(own.counts + 1.0), np.zeros(CLASSES), [math.log10(own.ends + 1)])) - base
         inside = -np.log10(own.class_total)
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
         for batch in batches:
-            texts = as_bytes(batch.column(batch.schema.get_field_index("text")))
-            for a, b in blocks(texts, BLOCK):
-                ids, sizes, rare = symbols_of(own, texts[a:b])
+            every = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+            for a, b in blocks(every, BLOCK):
+                ids, sizes = np.frombuffer(b"".join(every[a:b]), np.int32), np.array([len(one) // 4 for one in every[a:b]], np.int64)
                 logs, _, _ = forward(trained, ids, sizes)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 classes = ids - len(own.words)
@@ -312,19 +355,18 @@ def score_texts(documents: DataFrame, counts: DataFrame, lexicon_: Lexicon, mode
                     pa.array(sizes - np.bincount(owner[is_rare], minlength=len(sizes)) - (own.ends == 0)),
                     pa.array(np.bincount(owner, known[ids], len(sizes))),
                     pa.array(score),
-                    pa.array([[{"word": word, "n": n} for word, n in Counter(words).items()] for words in rare], rare_type),
                 ]
-                names = [*kept, _KEY, *(one.split()[0] for one in SCORED.split(", ")[:4]), "rare"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, _KEY, *(one.split()[0] for one in SCORED.split(", "))])
+        give_back()
 
-    parts = materialize(keyed.mapInArrow(run, f"{head}, {SCORED}"), "hmm-scored")
-    words = parts.select(_KEY, F.explode("rare").alias("one")).select(_KEY, "one.word", "one.n")
+    parts = encoded.select(*kept, _KEY, "ids").mapInArrow(run, f"{head}, {SCORED}")
+    words = encoded.select(_KEY, F.explode("rare").alias("one")).select(_KEY, "one.word", "one.n")
     rare = counts.filter(F.col("c") < lexicon_.least).select("word", "c")
     met = words.join(rare, "word").groupBy(_KEY).agg(
         F.sum("n").alias("_seen"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_logs")
     )
     seen, logs = F.coalesce("_seen", F.lit(0)), F.coalesce("_logs", F.lit(0.0))
-    return parts.drop("rare").join(met, _KEY, "left").select(
+    return parts.join(met, _KEY, "left").select(
         *kept,
         "n_tokens",
         (F.col("n_frequent") + seen).cast("long").alias("n_known"),

@@ -23,7 +23,7 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base score's terms of words that are not frequent come from the same join as the model's."""
     held_out = (id_remainder(F.col("doc_id"), 7) == 2).alias("held_out")
     documents = table(spark, sf_dir, "documents").select("doc_id", held_out, "text")
-    return hmm.score_texts(documents, *hmm.learn(documents.filter(~F.col("held_out")).select("text")))
+    return hmm.learn_and_score(documents, ~F.col("held_out"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

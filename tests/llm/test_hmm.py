@@ -65,8 +65,7 @@ def check(frame, training, frequent):
     """Base score, counts and total mass against plain counting."""
     counts_frame = hmm.materialize(hmm.count_words(training), "test-counts")
     lexicon = hmm.lexicon(counts_frame, frequent)
-    model = hmm.start_model(lexicon, [(row["text"] or "").encode() for row in training.collect()], states=3)
-    model = hmm.baum_welch(training, lexicon, model)
+    model = hmm.fit(hmm.encode(training, lexicon), lexicon, rounds=1, states=3)
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1) and np.isclose(model.start.sum(), 1)
     counts = Counter()
     for row in training.collect():
@@ -86,6 +85,21 @@ def check(frame, training, frequent):
     return lexicon, model, counts
 
 
+def test_one_encoding_gives_the_same_scores(documents):
+    frame = documents.select("doc_id", "text").limit(60)
+    both = [hmm.learn_and_score(frame, documents["doc_id"] % 2 == 0), hmm.score_texts(frame, *hmm.learn(frame.filter("doc_id % 2 = 0").select("text")))]
+    one, other = ({row["doc_id"]: (row["n_known"], round(row["base_score"], 6), round(row["score"], 6)) for row in found.collect()} for found in both)
+    assert one == other
+
+
+def test_copies_lean_alike():
+    lexicon = hmm.Lexicon("t", [b"a", b"b"], np.array([2, 2]), np.ones(hmm.CLASSES, np.int64), 6, 2, 2, 1)
+    chain = np.array([0, 1, 2 + hmm.CLASSES], np.int32).tobytes()
+    _, _, once = hmm.leaning([chain], lexicon, 3)
+    _, _, twice = hmm.leaning([chain, chain], lexicon, 3)
+    assert np.allclose(2 * once, twice) and np.isclose(once.sum(), 3)
+
+
 def test_scores_of_odd_rows(odd):
     frame = odd.select("doc_id", "text")
     check(frame, frame.filter("doc_id > 3").select("text"), 3)
