@@ -82,8 +82,7 @@ def repeated_run(spark, sf_dir):
     source, run, database, target = customer_source(spark, sf_dir), uuid.uuid4(), staging_database(spark), target_table(spark)
     load(source, CUSTOMER_PLAN, target, database, run)
     again = load(source, CUSTOMER_PLAN, target, database, run)
-    rows = spark.table(target).agg(F.count(F.lit(1)).alias("target_rows"))
-    return again.select("step", "stage", "status", "rows").join(rows)
+    return again.select("step", "stage", "status", "rows", F.lit(spark.table(target).count()).alias("target_rows"))
 
 
 def refused_run(spark, sf_dir):
@@ -94,8 +93,7 @@ def refused_run(spark, sf_dir):
     source = null_out(customer_source(spark, sf_dir), "c_nationkey", "7")
     target, database = target_table(spark), staging_database(spark)
     steps = load(source, plan, target, database, uuid.uuid4())
-    rows = spark.table(target).agg(F.count(F.lit(1)).alias("target_rows"))
-    return steps.select("step", "stage", "status", "rows").join(rows)
+    return steps.select("step", "stage", "status", "rows", F.lit(spark.table(target).count()).alias("target_rows"))
 
 
 def lineitem_evidence(spark, sf_dir):
