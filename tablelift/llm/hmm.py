@@ -25,7 +25,9 @@ from tablelift.session import materialize
 #: Latent states, most frequent words that are symbols of their own, classes of the other words.
 STATES, FREQUENT, CLASSES = 12, 1 << 16, 512
 #: Baum-Welch rounds over all training texts, after the one that draws a state for each of them.
-ROUNDS = 6
+ROUNDS = 4
+#: Symbols of a chain that Baum-Welch works on. Longer texts are several chains there, all of which count; scores take texts whole.
+CHAIN = 256
 #: Pull of transitions towards staying, in counts.
 STAY = 5.0
 #: Bytes of text, or of four-byte symbols, whose chains run in step; distinct words that a task counts before it hands them on.
@@ -247,9 +249,18 @@ def encode(documents: DataFrame, lexicon_: Lexicon) -> DataFrame:
     return materialize(documents.mapInArrow(run, head + ENCODED), "hmm-symbols")
 
 
+def _chains(ids: list[bytes]) -> np.ndarray:
+    """Sizes of the chains that texts are cut into. Steps run as long as the longest chain of a block."""
+    sizes = np.array([len(one) // 4 for one in ids], np.int64)
+    whole = np.maximum(1, -(-sizes // CHAIN))
+    chains = np.full(int(whole.sum()), CHAIN, np.int64)
+    chains[np.cumsum(whole) - 1] = sizes - (whole - 1) * CHAIN
+    return chains
+
+
 def baum_welch(encoded: DataFrame, lexicon_: Lexicon, model: Hmm | None, states: int = STATES) -> Hmm:
-    """One round over the symbols (ids) of all training texts: every task sums its expected counts, Spark sums the
-    tasks' rows. Without a model it is the round that draws the states."""
+    """One round over the symbols (ids) of all training texts, in chains: every task sums its expected counts, Spark
+    sums the tasks' rows. Without a model it is the round that draws the states."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast((lexicon_, model))
 
@@ -262,7 +273,7 @@ def baum_welch(encoded: DataFrame, lexicon_: Lexicon, model: Hmm | None, states:
                 if own is None:
                     parts = leaning(ids[a:b], own_lexicon, states)
                 else:
-                    parts = expected(own, np.frombuffer(b"".join(ids[a:b]), np.int32), np.array([len(one) // 4 for one in ids[a:b]], np.int64))
+                    parts = expected(own, np.frombuffer(b"".join(ids[a:b]), np.int32), _chains(ids[a:b]))
                 for total, part in zip(sums, parts, strict=True):
                     total += part
         every = np.vstack((sums[2], sums[1], sums[0][None, :]))

@@ -92,6 +92,11 @@ def test_one_encoding_gives_the_same_scores(documents):
     assert one == other
 
 
+def test_chains_cover_all_symbols(monkeypatch):
+    monkeypatch.setattr(hmm, "CHAIN", 4)
+    assert hmm._chains([b"\0" * 4 * n for n in (1, 4, 5, 12)]).tolist() == [1, 4, 4, 1, 4, 4, 4] and hmm._chains([]).tolist() == []
+
+
 def test_copies_lean_alike():
     lexicon = hmm.Lexicon("t", [b"a", b"b"], np.array([2, 2]), np.ones(hmm.CLASSES, np.int64), 6, 2, 2, 1)
     chain = np.array([0, 1, 2 + hmm.CLASSES], np.int32).tobytes()
