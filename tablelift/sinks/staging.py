@@ -103,17 +103,31 @@ def landed(source: DataFrame, json_columns: Sequence[str] = ()) -> DataFrame:
     return source.select(*_landed_columns(source, json_columns))
 
 
-def _landed_columns(source: DataFrame, json_columns: Sequence[str]) -> list[Column]:
+def _landed_columns(source: DataFrame, json_columns: Sequence[str], rendered: dict[str, str] | None = None) -> list[Column]:
+    """Columns in their staging types; ``rendered`` names the columns that hold a document's canonical JSON already."""
     fields = zip(source.schema.fields, staging_schema(source.schema).fields, strict=True)
-    return [landed_value(old.name, old.dataType, new.dataType, json_columns).alias(new.name) for old, new in fields]
+    known = rendered or {}
+    return [
+        (column(known[old.name]) if old.name in known else landed_value(old.name, old.dataType, new.dataType, json_columns)).alias(new.name)
+        for old, new in fields
+    ]
 
 
-def landing_issues(source: DataFrame, json_columns: Sequence[str] = ()) -> Column | None:
+def _rendered(source: DataFrame, json_columns: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The source with the canonical JSON of each document beside it, made once however many steps look at it."""
+    documents = [field for field in source.schema.fields if _is_document(field.name, field.dataType, json_columns)]
+    names = {field.name: f"__canonical_{place}" for place, field in enumerate(documents)}
+    added = [canonical_json(column(field.name), field.dataType).alias(names[field.name]) for field in documents]
+    return source.select(*[column(name) for name in source.columns], *added), names
+
+
+def landing_issues(source: DataFrame, json_columns: Sequence[str] = (), rendered: dict[str, str] | None = None) -> Column | None:
     """Values of a row that have no canonical form: column, code and raw text; None if no column can have one."""
     items = []
     for field in source.schema.fields:
         if _is_document(field.name, field.dataType, json_columns):
-            code, text = json_issue(column(field.name), field.dataType), json_text(column(field.name), field.dataType)
+            canonical = column(rendered[field.name]) if rendered else None
+            code, text = json_issue(column(field.name), field.dataType, canonical), json_text(column(field.name), field.dataType)
             found = F.struct(F.lit(field.name).alias("column_name"), code.alias("code"), text.alias("raw_text"))
             items.append(F.when(code.isNotNull(), found))
     return F.array_compact(F.array(*items)) if items else None
@@ -143,9 +157,10 @@ def stage(
     relation = f"{quote(database)}.{quote(staging_name(transport_id))}"
     if spark.catalog.tableExists(f"{database}.{staging_name(transport_id)}"):
         raise TransferError("The staging table exists already.", "STAGING_EXISTS", "STAGING_EXISTS")
-    observed, issues = Observation(), landing_issues(source, json_columns)
+    wide, rendered = _rendered(source, json_columns)
+    observed, issues = Observation(), landing_issues(source, json_columns, rendered)
     rejected = F.lit(False) if issues is None else F.size("__issues") > 0
-    frame = landed(source, json_columns) if issues is None else source.select(*_landed_columns(source, json_columns), issues.alias("__issues"))
+    frame = landed(source, json_columns) if issues is None else wide.select(*_landed_columns(source, json_columns, rendered), issues.alias("__issues"))
     counted = {f"null:{name}": ~rejected & column(name).isNull() for name in required}
     counted |= {f"rule:{name}": ~rejected & rule for name, rule in (rules(frame.drop("__issues")) if rules else {}).items()}
     metrics = [F.count(F.lit(1)).alias("rows"), F.count_if(rejected).alias("rejected"), *[F.count_if(hit).alias(name) for name, hit in counted.items()]]
@@ -173,7 +188,8 @@ def stage(
 def _set_aside(source: DataFrame, transport_id: str | uuid.UUID, database: str, json_columns: Sequence[str]) -> str:
     """Write what was rejected, one evidence row per unreadable value, and return the table."""
     relation = f"{quote(database)}.{quote('REJECTED_' + uuid.UUID(str(transport_id)).hex.upper())}"
-    evidence = source.select(F.explode(landing_issues(source, json_columns)).alias("issue")).select("issue.*")
+    wide, rendered = _rendered(source, json_columns)
+    evidence = wide.select(F.explode(landing_issues(source, json_columns, rendered)).alias("issue")).select("issue.*")
     evidence.write.mode("overwrite").format("parquet").saveAsTable(relation)
     return relation
 

@@ -95,3 +95,28 @@ def test_special_scores_are_alike_for_small_and_large_pairs(spark, monkeypatch):
     monkeypatch.setattr("tablelift.operators.matching.COMPARED", 0)
     large = special_scores(source, target, pairs).collect()
     assert len(small) > 7 and sorted(small) == sorted(large)
+
+
+def test_a_landed_document_is_rendered_once(spark):
+    from tablelift.sinks.staging import stage, staging_database
+    from uuid import uuid4
+
+    rows = spark.createDataFrame([(1, '{"b":1,"a":2}'), (2, "{"), (3, None), (4, '{"a":1,"a":2}')], "n int, doc string")
+    staged = stage(rows, uuid4(), staging_database(spark), json_columns=["doc"], quarantine=True)
+    assert {tuple(row) for row in spark.table(staged.relation).collect()} == {(1, '{"a":2,"b":1}'), (3, None)}
+    assert {tuple(row) for row in spark.table(staged.rejected).collect()} == {
+        ("doc", "UNREADABLE_JSON", "{"), ("doc", "UNREADABLE_JSON", '{"a":1,"a":2}'),
+    }
+
+
+def test_facets_of_a_table_meet_in_one_shuffle(spark):
+    from tablelift.operators.documents import _gathered
+
+    lists = {
+        "columns": (spark.createDataFrame([("t", 2), ("t", 1)], "table_id string, n int"), [F.col("n").alias("o")]),
+        "checks": (spark.createDataFrame([("u", "c")], "table_id string, e string"), [F.col("e").alias("o")]),
+    }
+    found = _gathered(lists, {"c_columns": spark.createDataFrame([("t", "PARTIAL")], "table_id string, coverage string")})
+    assert plan_of(found).count("Exchange") == 1
+    rows = {row.table_id: ([item.n for item in row.columns], [item.e for item in row.checks], row.c_columns) for row in found.collect()}
+    assert rows == {"t": ([1, 2], [], "PARTIAL"), "u": ([], ["c"], None)}
