@@ -95,6 +95,8 @@ def test_special_scores_are_alike_for_small_and_large_pairs(spark, monkeypatch):
     monkeypatch.setattr("tablelift.operators.matching.COMPARED", 0)
     large = special_scores(source, target, pairs).collect()
     assert len(small) > 7 and sorted(small) == sorted(large)
+    monkeypatch.undo()
+    assert sorted(special_scores(source, target, pairs.unionByName(pairs)).collect()) == sorted(2 * small)
 
 
 def test_a_landed_document_is_rendered_once(spark):
