@@ -122,3 +122,23 @@ def test_facets_of_a_table_meet_in_one_shuffle(spark):
     assert plan_of(found).count("Exchange") == 1
     rows = {row.table_id: ([item.n for item in row.columns], [item.e for item in row.checks], row.c_columns) for row in found.collect()}
     assert rows == {"t": ([1, 2], [], "PARTIAL"), "u": ([], ["c"], None)}
+
+
+def test_relations_without_a_strategy_spread_over_tasks(spark):
+    from tablelift.operators.catalog import partitions
+
+    classes = spark.range(4000).selectExpr("id AS relation_id", "CASE WHEN id = 0 THEN 'p' ELSE 'r' END AS relkind")
+    links = spark.sql("SELECT 1L AS child_id, 0L AS parent_id, 'IN (1)' AS partition_bound")
+    strategies = spark.sql("SELECT 0L AS strategy_id, 'h' AS partstrat, 'KEY (a)' AS partition_key")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = partitions(classes, links, strategies, True).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {row.relation_id for row in found if row.partition_strategy == "HASH"} == {0, 1} and len(found) == 4000
+    tasks = [row.task for row in found]
+    assert max(tasks.count(task) for task in set(tasks)) < 2000
