@@ -10,14 +10,15 @@ second round.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,81 +36,113 @@ RANKED, RANK_GROUPS = 1000, 4096
 #: Bytes of words and ids after which a worker's cache of tokenized words is started anew, and what an entry takes besides.
 CACHED_BYTES, ENTRY_BYTES = 64_000_000, 180
 
-_PLAIN = re.compile("([a-zß-öø-ÿ]*)([!#$%&()*+,\\-./:;=?@\\[\\]^_`{|}~]*)")
-_WIDE = re.compile("[^\x00-ÿ]")
+#: Bytes of text that are tokenized at once.
+BLOCK_BYTES = 4_000_000
+
+#: Pre-tokens whose borders are known without the tokenizer, and the text they are known for: ASCII and Latin letters, in
+#: which lower case and composition change no letter's kind and no special token can stand.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ODD = r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|"
+_BETWEEN_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r 0-9a-zß-öø-ÿ]+)"
 
 
 class WordTokens:
-    """Ids of white-space separated words as bytes, cached, equal to those of the tokenizer on the whole text.
+    """Ids of whole texts, equal to those of the tokenizer, which sees every pre-token once.
 
-    It serves tokenizers that drop white space, lower-case, and end every pre-token with a token that carries the
-    word-end suffix. A word of Latin letters and closing punctuation is one or two pre-tokens, so its parts are
-    cached and unknown parts are encoded together; any other word is encoded by itself.
+    It serves tokenizers that drop white space. Where one lower-cases and splits as ``_SPLIT`` says, texts are cut into
+    pre-tokens column-wise, and each that is not cached goes through the tokenizer's model. Any other word, or any word
+    of another tokenizer, is encoded by itself.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        model = json.loads(tokenizer_json)["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for token, number in model["vocab"].items():
-            self.ends[number] = token.endswith(self.suffix)
-        self.size = 0
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, unknown: set[bytes]) -> None:
-        plain, missing, parts = [], set(), self.parts
-        order = list(unknown)
-        # All words are lower-cased at once: no Latin-1 letter changes into a blank or into several letters.
-        text = b" ".join(order).decode()
-        if _WIDE.search(text):
-            order = [word for word in order if not _WIDE.search(word.decode())]
-            text = b" ".join(order).decode()
-            for word in unknown.difference(order):
-                self.words[word] = self._encode(word.decode()).tobytes()
-        for word, found in zip(order, map(_PLAIN.fullmatch, text.lower().split(" ") if order else ()), strict=True):
-            if found and self.suffix:
-                letters, marks = found.groups()
-                plain.append((word, letters, marks))
-                if letters not in parts:
-                    missing.add(letters)
-                if marks not in parts:
-                    missing.add(marks)
-            else:
-                self.words[word] = self._encode(word.decode()).tobytes()
-        order = sorted(missing)
-        for begin in range(0, len(order), 4000):
-            some = order[begin : begin + 4000]
-            ids = self._encode(" ".join(some))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                for part, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                    self.parts[part] = ids[a:b].tobytes()
-            else:
-                self.parts.update((part, self._encode(part).tobytes()) for part in some)
-        for word, letters, marks in plain:
-            self.words[word] = self.parts[letters] + self.parts[marks]
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.splits = _splits_as_known(json.loads(tokenizer_json))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.size, self.ids, self.starts = 0, np.zeros(0, "<u4"), np.zeros(2, np.int64)
+        self.numbers: dict[str, int] = {"": 0}
+
+    def _learn(self, parts: list[str], words: list[str]) -> None:
+        """Ids of new pre-tokens and of new words."""
+        found: list[list[int]] = []
+        if parts:
+            # The line break becomes a letter that no pre-token holds.
+            mapped = self.byte_level.pre_tokenize_str("\n".join(parts))[0][0].split("Ċ")
+            tokenize = self.tokenizer.model.tokenize
+            found += [[token.id for token in tokenize(part)] for part in mapped]
+        found += [self.tokenizer.encode(word, add_special_tokens=False).ids for word in words]
+        new = parts + words
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), "<u4")))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(one) for one in found], dtype=np.int64)))
+        # Ids take four bytes, and few words are of more ids than letters by four.
+        self.size += sum(map(len, new)) * 3 + ENTRY_BYTES * len(new)
+
+    def _numbered(self, parts: list[str], words: list[str]) -> np.ndarray:
+        new = [[one for one in some if one not in self.numbers] for some in (parts, words)]
+        if any(new):
+            if self.size > CACHED_BYTES:
+                self._clear()
+                new = [[one for one in some if one] for some in (parts, words)]
+            self._learn(*new)
+        return np.fromiter(map(self.numbers.__getitem__, chain(parts, words)), np.int64, len(parts) + len(words))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.splits else np.ones(len(texts), bool)
+        units, owner, plain = texts, np.arange(len(texts)), np.ones(len(texts), bool)
+        if odd.any():
+            # Of a text with other letters each word is a unit of its own, all other texts are units as a whole.
+            lists = pc.ascii_split_whitespace(texts.filter(pa.array(odd)))
+            words, sizes = lists.flatten(), np.ones(len(texts), np.int64)
+            sizes[odd] = pc.list_value_length(lists).to_numpy()
+            owner = np.repeat(owner, sizes)
+            places, is_word = np.zeros(len(owner), np.int64), odd[owner]
+            places[~is_word] = np.arange(len(texts) - int(odd.sum()))
+            places[is_word] = np.arange(len(words)) + len(texts) - int(odd.sum())
+            units = pa.concat_arrays([texts.filter(pa.array(~odd)), words]).take(pa.array(places))
+            plain = ~pc.match_substring_regex(units, _ODD).to_numpy(zero_copy_only=False) if self.splits else np.zeros(len(units), bool)
+        spaced = pc.replace_substring_regex(pc.utf8_lower(units.filter(pa.array(plain))), _BETWEEN_LETTERS, r" \1 ")
+        lists = pc.ascii_split_whitespace(spaced)
+        parts, others = lists.flatten().dictionary_encode(), units.filter(pa.array(~plain)).dictionary_encode()
+        numbers = self._numbered(parts.dictionary.to_pylist(), others.dictionary.to_pylist())
+        sizes = np.ones(len(units), np.int64)
+        sizes[plain] = pc.list_value_length(lists).to_numpy()
+        own = np.repeat(plain, sizes)
+        found = np.zeros(len(own), np.int64)
+        found[own] = numbers[parts.indices.to_numpy()]
+        found[~own] = numbers[len(parts.dictionary) + others.indices.to_numpy()]
+        starts = self.starts[found]
+        lengths = self.starts[found + 1] - starts
+        ends = np.cumsum(lengths)
+        places = np.repeat(starts - ends + lengths, lengths)
+        places += np.arange(len(places))
+        totals = np.bincount(np.repeat(owner, sizes), lengths, len(texts)).astype(np.int64)
+        return self.ids[places], totals
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        every = set().union(*split)
-        unknown = every - self.words.keys()
-        if unknown and self.size > CACHED_BYTES:
-            self.words.clear()
-            self.parts = {"": b""}
-            self.size, unknown = 0, every
-        if unknown:
-            self.learn(unknown)
-            # Ids take four bytes, and few words are of more ids than letters by four.
-            self.size += sum(map(len, unknown)) * 3 + ENTRY_BYTES * len(unknown)
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        ids, sizes = self.encode_column(pa.array(texts, pa.binary()).cast(pa.string()))
+        ends = np.cumsum(sizes)
+        return [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _splits_as_known(tokenizer: dict) -> bool:
+    """Lower-cased Latin text is split by ``_SPLIT`` and then handed byte by byte to a BPE model."""
+    normalizers = (tokenizer.get("normalizer") or {}).get("normalizers", [])
+    steps = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    white = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    return (
+        normalizers == [{"type": "NFC"}, white, {"type": "Lowercase"}]
+        and [{k: v for k, v in step.items() if k != "trim_offsets"} for step in steps] == [split, byte_level]
+        and tokenizer["model"].get("type") == "BPE"
+        and all(token["content"].startswith("<|") for token in tokenizer.get("added_tokens", []))
+    )
 
 
 def _worker_tokens(tokenizer_json: str) -> WordTokens:
@@ -136,23 +169,24 @@ def tokenized_pieces(documents: DataFrame, tokenizer_json: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _worker_tokens(tokenizer_json)
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            for begin, stop in blocks(texts):
-                rows, owner = [], []
-                for place, ids in enumerate(tokens.encode(texts[begin:stop]), begin):
-                    ids += end
-                    total = len(ids) // 4
+            for begin, stop in blocks(texts, BLOCK_BYTES):
+                column = pc.fill_null(batch.column(1).slice(begin, stop - begin), "")
+                ids, sizes = tokens.encode_column(column)
+                ids = memoryview(np.insert(ids, np.cumsum(sizes), END_ID)).cast("B")
+                rows, owner, low = [], [], 0
+                for place, total in enumerate((sizes + 1).tolist(), begin):
                     for start in range(0, total, WINDOW):
                         length = min(WINDOW, total - start)
-                        piece = ids[4 * start : 4 * (start + length)]
+                        piece = ids[4 * (low + start) : 4 * (low + start + length)]
                         crc, bins = zlib.crc32(piece), -(-length // BIN)
                         # A hashed place that differs between copies, which else would fill one bin again.
-                        cut = BIN * (1 + zlib.crc32(piece[-64:] + start.to_bytes(8, "little"), crc ^ place) % (bins - 1)) if bins > 2 and length < WINDOW else None
+                        cut = BIN * (1 + zlib.crc32(bytes(piece[-64:]) + start.to_bytes(8, "little"), crc ^ place) % (bins - 1)) if bins > 2 and length < WINDOW else None
                         halves = (cut, zlib.crc32(piece[: 4 * cut]), zlib.crc32(piece[4 * cut :])) if cut else (None,) * 3
                         rows.append((start, length, crc, total, *halves))
                         owner.append(place)
+                    low += total
                 columns = list(zip(*rows, strict=True))
                 ids_of = batch.column(0).take(pa.array(owner, pa.int64()))
                 names = [part.split()[0] for part in PIECES.split(", ")]

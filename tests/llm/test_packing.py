@@ -1,4 +1,6 @@
+import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -80,6 +82,22 @@ def test_a_full_cache_starts_anew(monkeypatch, tokenizer):
         assert np.frombuffer(tokens.encode([text])[0], "<u4").tolist() == tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
 
+def test_latin_text_is_cut_before_the_tokenizer(tokenizer):
+    tokens = packing.WordTokens(packing.tokenizer_json())
+    tokens.tokenizer = SimpleNamespace(model=tokenizer.model)
+    texts = [b'It\'s "quoted", don\'t <b>99 ml</b>', "ÀÉÎ ßtraße, 'LL ''re \x0b\n x-y".encode(), b"", b" \t"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in tokens.encode(texts)]
+    assert got == [tokenizer.encode(text.decode(), add_special_tokens=False).ids for text in texts]
+
+
+def test_any_mix_of_letters_equals_the_tokenizer(tokenizer):
+    chooser, tokens = random.Random(3), packing.WordTokens(packing.tokenizer_json())
+    letters = "abSstTLlmdrREev'09 <>|.\"!\n\x1c\x7fÀéß×²\xa0\u0301İK’日"
+    texts = ["".join(chooser.choices(letters[: chooser.choice((25, 40))], k=chooser.randrange(25))).encode() for _ in range(1000)]
+    for text, ids in zip(texts, tokens.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text.decode(), add_special_tokens=False).ids, text
+
+
 def test_nnls_is_optimal():
     chooser = np.random.default_rng(0)
     for _ in range(20):
