@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelift.functions.catalog import (
-    is_fixed_code, optional_bool, optional_int, optional_nullable, optional_text, pick, schema_class,
+    is_fixed_code, optional_bool, optional_int, optional_nullable, optional_text, pick, raw, schema_class, stripped, whole_number_of,
 )
 from tablelift.functions.json import canonical_json, canonical_row, fingerprint, redacted, redacted_json, richness
 from tablelift.functions.types import canonical_type, decimal_digits
@@ -73,6 +73,18 @@ def test_invalid_catalog_values_become_null(spark):
     assert row.canonical_type == "UNKNOWN" and row.column_name == "c"
 
 
+def test_text_that_is_no_whole_number_is_not_cast(spark):
+    texts = [
+        "1", " 2", "+3", "-4", "- 5", "", "x", "12.5", "1e3", "\x005\x00", "\x7f6\x7f", "9223372036854775807", "9223372036854775808",
+        "-9223372036854775808", "+", "+-1", "1_0", "\xa07", "7\n", None, "00012", "1 2", "\u0663",
+    ]
+    frame = spark.createDataFrame([(text,) for text in texts], "v string")
+    read = frame.select(whole_number_of(raw(F.col("v"))).alias("whole"), stripped(F.col("v")).try_cast("bigint").alias("cast"))
+    assert [row.whole for row in read.collect()] == [row.cast for row in read.collect()]
+    # A failed cast costs an exception per value, so the form is looked at first.
+    assert "RLIKE" in read.select("whole")._jdf.queryExecution().analyzed().toString()
+
+
 def test_schema_prefix_order(spark):
     kinds = {
         "pg_toast_temp_1": "POSTGRESQL_TOAST_TEMPORARY", "pg_toast_9": "POSTGRESQL_TOAST", "pg_toast": "POSTGRESQL_TOAST",
