@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelift.llm.text import as_bytes, blocks, give_back, held, ship_package
-from tablelift.session import materialize
+from tablelift.llm.text import blocks, give_back, held, ship_package
+from tablelift.session import materialize, small_batches
 
 #: Latent states, most frequent words that are symbols of their own, classes of the other words.
 STATES, FREQUENT, CLASSES = 12, 1 << 16, 512
@@ -32,6 +32,8 @@ CHAIN = 256
 STAY = 5.0
 #: Bytes of text, or of four-byte symbols, whose chains run in step; distinct words that a task counts before it hands them on.
 BLOCK, COUNTED = 1_500_000, 500_000
+#: Steps between two scalings of forward values. A step of probability 1e-30 in every state would still be told from zero.
+SCALED = 8
 
 _KEY = "_row"
 
@@ -41,32 +43,60 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different words of a string column, the place there of every word of all texts end to end, words of each text.
+
+    Arrow's ASCII functions know the letters A-Z and the six blanks that ``bytes.lower`` and ``bytes.split`` know.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    encoded = split.flatten().dictionary_encode()
+    words, codes = encoded.dictionary.view(_binary(encoded.dictionary.type)).cast(pa.binary()), encoded.indices.to_numpy()
+    # Blanks at the ends of a text leave an empty word there.
+    real = codes != pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+    sizes = np.bincount(pc.list_parent_indices(split).to_numpy()[real], minlength=len(texts))
+    return words, codes[real], sizes
+
+
+def _binary(kind: pa.DataType) -> pa.DataType:
+    return pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()
+
+
+def _ranges(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of a string column of about BLOCK bytes."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    return ((a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b)
 
 
 def count_words(training: DataFrame) -> DataFrame:
     """(word, class, c) over all texts; c of the empty word counts the ends."""
     ship_package(training.sparkSession)
+    small_batches(training.sparkSession)
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        words = list(counts)
-        columns = [pa.array(words, pa.binary()), pa.array([word_class(w) for w in words], pa.int32()), pa.array(list(counts.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "class", "c"])
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        return found.rename_columns({"c_sum": "c"}).select(["word", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        parts: list[pa.Table] = []
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                counts.update(words_of(text))
-                counts[b""] += 1
-                if len(counts) > COUNTED:
-                    yield rows(counts)
-                    counts = Counter()
-        yield rows(counts)
+            for a, b in _ranges(batch.column(0)):
+                words, codes, sizes = tokens_of(batch.column(0).slice(a, b - a))
+                counts = np.bincount(codes, minlength=len(words))
+                met = pa.table({"word": words, "c": pa.array(counts, pa.int64())}).filter(pa.array(counts > 0))
+                ends = pa.table({"word": pa.array([b""], pa.binary()), "c": pa.array([len(sizes)], pa.int64())})
+                parts += [met, ends]
+                if sum(part.num_rows for part in parts) > 2 * COUNTED:
+                    parts = [summed(parts)]
+                    if parts[0].num_rows > COUNTED:
+                        yield from parts.pop().to_batches(COUNTED // 5)
+        if parts:
+            yield from summed(parts).to_batches(COUNTED // 5)
+        parts.clear()
+        give_back()
 
-    found = training.select("text").mapInArrow(run, "word binary, class int, c long")
-    return found.groupBy("word", "class").agg(F.sum("c").alias("c"))
+    found = training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return found.select("word", (F.crc32(F.substring("word", -3, 3)) % CLASSES).cast("int").alias("class"), "c")
 
 
 @dataclass(frozen=True)
@@ -115,27 +145,33 @@ def lexicon(counts: DataFrame, frequent: int = FREQUENT) -> Lexicon:
     return Lexicon(key, [w for w, _ in top], np.array([c for _, c in top], np.int64), class_total, tokens, distinct, ends, least)
 
 
-def _numbers(lexicon_: Lexicon) -> dict:
-    """Word to symbol, built once per worker and lexicon."""
-    return held(lexicon_.key, lambda: {word: place for place, word in enumerate(lexicon_.words)})
-
-
-def symbols_of(lexicon_: Lexicon, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Symbols of all texts end to end, their numbers, and the words of each text that are not frequent."""
-    known, base = _numbers(lexicon_), len(lexicon_.words)
-    ids, sizes, rare = [], [], []
-    for text in texts:
-        words = words_of(text)
-        found = [known.get(word, -1) for word in words]
-        other = [word for word, place in zip(words, found, strict=True) if place < 0]
-        if other:
-            classes = iter([base + word_class(word) for word in other])
-            found = [next(classes) if place < 0 else place for place in found]
-        found.append(base + CLASSES)
-        ids.append(np.array(found, np.int32))
-        sizes.append(len(found))
-        rare.append(other)
-    return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array(sizes, np.int64), rare
+def _known(lexicon_: Lexicon) -> pa.Array:
+    """Frequent words as a column, built once per worker and lexicon."""
+    return held(lexicon_.key, lambda: pa.array(lexicon_.words, pa.binary()))
+
+
+def symbols_of(lexicon_: Lexicon, texts: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Symbols of all texts end to end, their numbers, and each text's different words that are not frequent, counted."""
+    base = len(lexicon_.words)
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.binary()).view(pa.string())
+    words, codes, sizes = tokens_of(texts)
+    places = pc.index_in(words, value_set=_known(lexicon_)).fill_null(-1).to_numpy().astype(np.int32)
+    other = np.flatnonzero(places < 0)
+    endings = pc.binary_slice(words.take(pa.array(other)), -3).dictionary_encode()
+    places[other] = base + np.array([word_class(ending) for ending in endings.dictionary.to_pylist()], np.int32)[endings.indices.to_numpy()]
+    ends = np.cumsum(sizes + 1) - 1
+    is_word = np.ones(len(codes) + len(sizes), bool)
+    is_word[ends] = False
+    ids = np.full(len(is_word), base + CLASSES, np.int32)
+    ids[is_word] = places[codes]
+    is_rare = places[codes] >= base
+    owners = np.repeat(np.arange(len(sizes)), sizes)[is_rare]
+    pairs, n = np.unique(owners * max(1, len(words)) + codes[is_rare], return_counts=True)
+    owners, codes = np.divmod(pairs, max(1, len(words)))
+    rare = pa.StructArray.from_arrays([words.take(pa.array(codes)), pa.array(n, pa.int32())], names=["word", "n"])
+    firsts = np.searchsorted(owners, np.arange(len(sizes) + 1))
+    return ids, sizes + 1, pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), rare)
 
 
 @dataclass(frozen=True)
@@ -162,39 +198,52 @@ def _steps(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def forward(model: Hmm, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Natural log likelihood of every chain; scaled forward values and the layout, for the backward steps."""
+    """Natural log likelihood of every chain; forward values and the layout, for the backward steps.
+
+    Values are scaled at every step that is a multiple of SCALED, and taken as they are in between. No chain is empty.
+    """
     rows, alive, offsets = _steps(sizes)
-    values = model.emit[ids[rows]]
-    scale = np.empty(len(rows))
+    symbols = ids[rows].astype(np.intp)
+    values = model.emit.take(symbols, axis=0)
+    order = np.argsort(-sizes, kind="stable")
+    found, totals, ones = np.zeros(len(sizes)), {}, np.ones(len(model.start))
     for t in range(len(alive)):
-        a, b = offsets[t], offsets[t + 1]
-        now = values[a:b]
+        now = values[offsets[t] : offsets[t + 1]]
         if t:
             now *= values[offsets[t - 1] : offsets[t - 1] + alive[t]] @ model.move
         else:
             now *= model.start
-        total = now.sum(axis=1)
-        now /= total[:, None]
-        scale[a:b] = total
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    logs = np.bincount(owner[rows], np.log(scale), len(sizes)) if len(rows) else np.zeros(len(sizes))
-    return logs, values, (rows, alive, offsets, scale)
+        if t % SCALED == 0:
+            totals[t] = now @ ones
+            now /= totals[t][:, None]
+            found[: alive[t]] += np.log(totals[t])
+    ends = offsets[sizes[order] - 1] + np.arange(len(order))
+    last = values[ends] @ ones
+    logs = np.empty(len(sizes))
+    logs[order] = found + np.log(last)
+    return logs, values, (symbols, alive, offsets, totals, ends, last)
 
 
 def expected(model: Hmm, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, transitions and emissions (symbols x states) of the chains."""
-    _, alpha, (rows, alive, offsets, scale) = forward(model, ids, sizes)
+    _, alpha, (symbols, alive, offsets, totals, ends, last) = forward(model, ids, sizes)
     states = len(model.start)
-    beta, move = np.ones_like(alpha), np.zeros((states, states))
-    symbols = ids[rows]
+    tails, beta, move = model.emit.take(symbols, axis=0), np.empty_like(alpha), np.zeros((states, states))
+    beta[ends] = 1.0 / last[:, None]
+    back = np.ascontiguousarray(model.move.T)
     for t in range(len(alive) - 1, 0, -1):
         a, b, before = offsets[t], offsets[t + 1], offsets[t - 1]
-        tail = model.emit[symbols[a:b]] * beta[a:b] / scale[a:b, None]
-        beta[before : before + alive[t]] = tail @ model.move.T
+        tail = tails[a:b]
+        tail *= beta[a:b]
+        if t in totals:
+            tail /= totals[t][:, None]
+        beta[before : before + alive[t]] = tail @ back
         move += alpha[before : before + alive[t]].T @ tail
     alpha *= beta
-    emit = np.stack([np.bincount(symbols, alpha[:, k], len(model.emit)) for k in range(states)], axis=1)
-    return alpha[: alive[0]].sum(axis=0) if len(alive) else np.zeros(states), move * model.move, emit
+    del tails, beta
+    starts = alpha[: alive[0]].sum(axis=0) if len(alive) else np.zeros(states)
+    emit = np.stack([np.bincount(symbols, one, len(model.emit)) for one in np.ascontiguousarray(alpha.T)], axis=1)
+    return starts, move * model.move, emit
 
 
 def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.ndarray) -> Hmm:
@@ -214,8 +263,8 @@ def leaning(ids: list[bytes], lexicon_: Lexicon, states: int) -> tuple[np.ndarra
     """Counts of the first round: every text leans towards states drawn by a hash of its symbols, so copies lean alike."""
     sizes = np.array([len(one) // 4 for one in ids], np.int64)
     lean = [np.random.default_rng(zlib.crc32(one)).dirichlet(np.full(states, 0.3)) for one in ids]
-    symbols, shares = np.frombuffer(b"".join(ids), np.int32), np.repeat(np.array(lean).reshape(-1, states), sizes, axis=0)
-    emit = np.stack([np.bincount(symbols, shares[:, k], lexicon_.symbols) for k in range(states)], axis=1)
+    symbols, shares = np.frombuffer(b"".join(ids), np.int32).astype(np.intp), np.array(lean).reshape(-1, states).T
+    emit = np.stack([np.bincount(symbols, np.repeat(share, sizes), lexicon_.symbols) for share in shares], axis=1)
     return np.zeros(states), np.zeros((states, states)), emit
 
 
@@ -229,20 +278,19 @@ def encode(documents: DataFrame, lexicon_: Lexicon) -> DataFrame:
     """
     spark = documents.sparkSession
     ship_package(spark)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(lexicon_)
     kept = [name for name in documents.columns if name != "text"]
     head = "".join(f"`{name}` {documents.schema[name].dataType.simpleString()}, " for name in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
         for batch in batches:
-            texts = as_bytes(batch.column(batch.schema.get_field_index("text")))
-            for a, b in blocks(texts, BLOCK):
-                ids, sizes, rare = symbols_of(shared.value, texts[a:b])
-                cuts = np.concatenate(([0], np.cumsum(sizes)))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for a, b in _ranges(texts):
+                ids, sizes, rare = symbols_of(shared.value, texts.slice(a, b - a))
+                cuts = pa.py_buffer(np.concatenate(([0], np.cumsum(4 * sizes))).astype(np.int32))
                 columns = [batch.column(batch.schema.get_field_index(name)).slice(a, b - a) for name in kept]
-                columns.append(pa.array([ids[low:high].tobytes() for low, high in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
-                columns.append(pa.array([[{"word": word, "n": n} for word, n in Counter(words).items()] for words in rare], rare_type))
+                columns += [pa.Array.from_buffers(pa.binary(), len(sizes), [None, cuts, pa.py_buffer(ids)]), rare]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "rare"])
         give_back()
 
