@@ -3,6 +3,8 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tablelift.llm import hmm
 
@@ -131,3 +133,84 @@ def test_model_beats_base_on_held_out_texts(documents):
     learned = hmm.learn(documents.filter("doc_id % 5 <> 1").select("text"))
     sums = hmm.score_texts(held, *learned).groupBy().sum("score", "base_score").first()
     assert sums[0] > sums[1]
+
+
+def test_python_gets_small_batches(spark):
+    frame = spark.range(0, 1500, 1, 1).selectExpr("repeat('some words ', 1000) AS text")
+    counts = {bytes(row["word"]): row["c"] for row in hmm.count_words(frame).collect()}
+    assert counts == {b"some": 1_500_000, b"words": 1_500_000, b"": 1500}
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    sizes = [row["n"] for row in frame.mapInArrow(run, "n long").collect()]
+    assert max(sizes) < 5_000_000 < sum(sizes)
+
+
+ODD_TEXTS = [None, "", "  a", "A\x1cb  C\x0bd ", "\u00c9\u00a0x a a\r\nA", " \t\n\x0c", "rare RARE ab abcd \u20ac", "a" * 5000]
+
+
+def test_words_are_those_of_bytes():
+    plain = [(text or "").encode().lower().split() for text in ODD_TEXTS]
+    for kind in (pa.string(), pa.large_string()):
+        # A slice, as ranges of a batch are.
+        words, codes, sizes = hmm.tokens_of(pa.array(["x y", *ODD_TEXTS], kind).slice(1))
+        words = words.to_pylist()
+        assert [words[code] for code in codes] == sum(plain, []) and sizes.tolist() == [len(one) for one in plain]
+    lexicon = hmm.Lexicon("odd-words", [b"a", b"b"], np.array([2, 2]), np.ones(hmm.CLASSES, np.int64), 6, 2, 2, 1)
+    ids, sizes, rare = hmm.symbols_of(lexicon, pa.array(ODD_TEXTS))
+    number = {b"a": 0, b"b": 1}
+    assert ids.tolist() == [x for one in plain for x in (*(number.get(w, 2 + hmm.word_class(w)) for w in one), 2 + hmm.CLASSES)]
+    assert sizes.tolist() == [len(one) + 1 for one in plain]
+    assert [{w["word"]: w["n"] for w in one} for one in rare.to_pylist()] == [Counter(w for w in one if w not in number) for one in plain]
+
+
+def test_classes_of_counted_words(spark):
+    frame = spark.createDataFrame([(text,) for text in ODD_TEXTS], "text string")
+    rows = hmm.count_words(frame).collect()
+    plain = Counter(w for text in ODD_TEXTS for w in [*(text or "").encode().lower().split(), b""])
+    assert {bytes(row["word"]): row["c"] for row in rows} == plain and len(rows) == len(plain)
+    assert all(row["class"] == hmm.word_class(bytes(row["word"])) for row in rows)
+
+
+def test_ranges_cover_all_rows(monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK", 5)
+    for texts in ([], [None], ["", "abc", "x" * 40, "", "de", None, "fghi", "j"]):
+        ranges = list(hmm._ranges(pa.array(texts, pa.string())))
+        assert [place for a, b in ranges for place in range(a, b)] == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("scaled", [1, 3, 8])
+def test_scaling_changes_no_result(monkeypatch, scaled):
+    """Chains that end before, at and after steps that are scaled, against unscaled steps of one chain at a time."""
+    monkeypatch.setattr(hmm, "SCALED", scaled)
+    model, chooser = small_model(4, 6), np.random.default_rng(3)
+    chains = [chooser.integers(0, 6, size).astype(np.int32) for size in (1, 8, 30, 7, 9, 1, 17, 2, 16)]
+    ids, sizes = np.concatenate(chains), np.array([len(chain) for chain in chains])
+    logs, starts, moves, emits = [], np.zeros(4), np.zeros((4, 4)), np.zeros((6, 4))
+    for chain in chains:
+        alpha, beta = [model.start * model.emit[chain[0]]], [np.ones(4)]
+        for symbol in chain[1:]:
+            alpha.append(alpha[-1] @ model.move * model.emit[symbol])
+        for symbol in chain[:0:-1]:
+            beta.insert(0, model.move @ (model.emit[symbol] * beta[0]))
+        total = alpha[-1].sum()
+        logs.append(math.log(total))
+        starts += alpha[0] * beta[0] / total
+        for t, symbol in enumerate(chain):
+            emits[symbol] += alpha[t] * beta[t] / total
+            if t:
+                moves += np.outer(alpha[t - 1], model.emit[symbol] * beta[t]) * model.move / total
+    assert np.allclose(hmm.forward(model, ids, sizes)[0], logs, rtol=1e-12)
+    for found, plain in zip(hmm.expected(model, ids, sizes), (starts, moves, emits), strict=True):
+        assert np.allclose(found, plain, rtol=1e-10)
+
+
+def test_long_improbable_chains_stay_finite():
+    emit = np.full((2, 3), 1e-30)
+    emit[1] = 1.0
+    model = hmm.Hmm(np.full(3, 1 / 3), np.full((3, 3), 1 / 3), emit)
+    logs, _, _ = hmm.forward(model, np.zeros(5000, np.int32), np.array([5000]))
+    assert math.isclose(logs[0], 5000 * math.log(1e-30), rel_tol=1e-9)
+    assert all(np.isfinite(part).all() for part in hmm.expected(model, np.zeros(5000, np.int32), np.array([5000])))
