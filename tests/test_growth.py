@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablelift.functions.json import canonical_row
+from tablelift.operators.catalog import richest
 from tablelift.operators.constraints import foreign_key_membership, foreign_keys
 from tablelift.operators.matching import special_scores, suggest_mappings
 from tablelift.session import small_partitions
@@ -142,3 +143,26 @@ def test_relations_without_a_strategy_spread_over_tasks(spark):
     assert {row.relation_id for row in found if row.partition_strategy == "HASH"} == {0, 1} and len(found) == 4000
     tasks = [row.task for row in found]
     assert max(tasks.count(task) for task in set(tasks)) < 2000
+
+
+def shuffles(frame):
+    return plan_of(frame).count("Exchange hashpartitioning")
+
+
+def test_rows_of_a_foreign_key_meet_before_they_are_unpacked(spark):
+    rows = spark.createDataFrame([("t", "f", "a", "x", 1, None, None), ("t", "f", None, None, 2, ["b", None], ["y"])], FRAGMENTS)
+    found = foreign_keys(rows)
+    # One for the attributes and one for both sides; members and JSON are made behind them.
+    assert shuffles(found) == 2
+    plan = plan_of(found)
+    assert max(line.find("Exchange hashpartitioning") for line in plan.splitlines() if "Generate" in line) == -1
+    assert [(row.local_columns, row.referenced_columns) for row in found.collect()] == [(["a", "b"], ["x", "y"])]
+
+
+def test_richest_row_is_chosen_where_its_copies_meet(spark):
+    rows = spark.createDataFrame([("t", "a", None, 2), ("t", "a", "x", 1), ("t", "a", "x", 3), (None, "a", None, None)], "table_id string, name string, note string, n int")
+    kept = richest(rows, ["table_id", "name"])
+    # What folds before the shuffle would carry the JSON of every row through it.
+    below = plan_of(kept).split("Exchange hashpartitioning")[1]
+    assert shuffles(kept) == 1 and "min_by" not in below
+    assert {tuple(row) for row in kept.collect()} == {("t", "a", "x", 1), (None, "a", None, None)}
