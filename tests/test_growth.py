@@ -166,3 +166,11 @@ def test_richest_row_is_chosen_where_its_copies_meet(spark):
     below = plan_of(kept).split("Exchange hashpartitioning")[1]
     assert shuffles(kept) == 1 and "min_by" not in below
     assert {tuple(row) for row in kept.collect()} == {("t", "a", "x", 1), (None, "a", None, None)}
+
+
+def test_membership_coverage_sends_its_rows_once(spark):
+    rows = spark.createDataFrame([("t", "f", "a", "x", 1, None, None), ("t", "f", "b", "y", 2, None, None), ("u", "f", None, None, None, ["a", "b"], ["x"])], FRAGMENTS)
+    found = foreign_key_membership(rows)
+    # Rows for the ordered sides and for what rows say of them, which is the same shuffle, and one row per key for its table.
+    assert shuffles(found) == 3
+    assert {tuple(row) for row in found.collect()} == {("t", "COMPLETE"), ("u", "PARTIAL")}
