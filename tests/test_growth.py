@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablelift.functions.json import canonical_row
-from tablelift.operators.catalog import richest
+from tablelift.operators.catalog import mark_membership, richest
 from tablelift.operators.constraints import foreign_key_membership, foreign_keys
 from tablelift.operators.matching import special_scores, suggest_mappings
 from tablelift.session import small_partitions
@@ -174,3 +174,23 @@ def test_membership_coverage_sends_its_rows_once(spark):
     # Rows for the ordered sides and for what rows say of them, which is the same shuffle, and one row per key for its table.
     assert shuffles(found) == 3
     assert {tuple(row) for row in found.collect()} == {("t", "COMPLETE"), ("u", "PARTIAL")}
+
+
+def test_marks_of_a_table_leave_its_columns_where_they_are(spark):
+    sides = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(sides), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        small_partitions(spark)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        columns = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "a"), (None, "a")], "table_id string, column_name string")
+        coverage = spark.createDataFrame([("t", "COMPLETE"), ("u", "PARTIAL")], "table_id string, coverage string")
+        members = spark.createDataFrame([("t", "a"), ("t", "a"), (None, "a")], "table_id string, column_name string")
+        marked = mark_membership(mark_membership(columns, members, coverage, "one"), members, coverage, "two")
+        # Columns once; per mark its coverage, its members to be distinct and to meet the columns.
+        assert shuffles(marked) == 7
+        assert {tuple(row) for row in marked.collect()} == {
+            ("t", "a", True, True), ("t", "b", False, False), ("u", "a", None, None), (None, "a", None, None),
+        }
+    finally:
+        spark.conf.set(sides, before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
