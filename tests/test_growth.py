@@ -6,6 +6,8 @@ from tablelift.functions.json import canonical_row
 from tablelift.operators.catalog import mark_membership, richest
 from tablelift.operators.constraints import foreign_key_membership, foreign_keys
 from tablelift.operators.matching import special_scores, suggest_mappings
+from tablelift.queries.catalogs import SOURCE_COLUMNS_SQL, TARGET_COLUMNS_SQL, on_spark
+from tablelift.queries.matching import catalogs
 from tablelift.session import small_partitions
 
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -194,3 +196,34 @@ def test_marks_of_a_table_leave_its_columns_where_they_are(spark):
     finally:
         spark.conf.set(sides, before[0])
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+
+
+def test_catalogs_are_made_from_one_written_build(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 1, 5.0), (1, 2, 2, 6.0), (1, 2, 3, 7.0), (None, 7, 4, 8.0), (2, 7, 1, None)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "red box", 3), (2, "blue cup", 4), (7, "red box", None)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1,), (2,), (None,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    source, target, _ = catalogs(spark, str(tmp_path))
+    for found, sql in ((source, SOURCE_COLUMNS_SQL), (target, TARGET_COLUMNS_SQL)):
+        assert "lineitem" not in plan_of(found) and shuffles(found) == 0
+        wanted = on_spark(spark, str(tmp_path), sql)
+        assert found.count() > 0 and found.schema == wanted.schema
+        assert found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty()
+
+
+def test_small_table_pairs_lie_by_source_table(spark):
+    settings = "spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold"
+    before = [spark.conf.get(name) for name in settings]
+    try:
+        for name, value in zip(settings, ("false", "-1")):
+            spark.conf.set(name, value)
+        source = catalog(spark, "s", [(1, "user_id", 1), (2, "name", 1)])
+        target = catalog(spark, "t", [(1, "user_id", 1), (1, "name", 2)])
+        pairs = spark.createDataFrame([("s1", "t1"), ("s2", "t1")], "source_table string, target_table string")
+        # Pairs to both sides, both sides to their tables, and the target's columns to the source table.
+        for found in (suggest_mappings(source, target, pairs), special_scores(source, target, pairs)):
+            assert shuffles(found) <= 6
+        found = suggest_mappings(source, target, pairs)
+        assert {(row.source_table, row.target_column) for row in found.collect()} == {("s1", "user_id"), ("s2", "name")}
+    finally:
+        for name, value in zip(settings, before):
+            spark.conf.set(name, value)
